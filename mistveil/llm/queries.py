@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
 from .lines import dedup_lines
 from .mixing import plan_mix
 from .quality_rules import RULES, STOP_WORDS, SYMBOLS, measure_quality
+from .simhash import simhash_groups
+from .warc import pages_of, read_warc, write_warc
 
 
 def op1_mixing(spark, sf_dir):
@@ -15,6 +17,10 @@ def op1_mixing(spark, sf_dir):
     return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark, sf_dir):
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -25,7 +31,13 @@ def op5_quality_rules(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_line_dedup, op5_quality_rules)}
+def op8_warc(spark, sf_dir):
+    path = scratch(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return pages_of(read_warc(spark, path))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_line_dedup, op5_quality_rules, op8_warc)}
 
 #: DuckDB's form of the characters that separate words.
 _WS = r"[\x20\x09-\x0D]+"
@@ -84,4 +96,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """.replace("\\\\", "\\")
 
 
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_quality_rules": _op5_sql()}
+# SHA-1 in base32: five bytes are eight digits.
+OP8_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  ((('0x' || substr(h, (i // 8 * 10 + 1)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keeper FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to FROM k
+"""
+
+ORACLE_SQL = {"op8_warc": OP8_SQL, "op1_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_quality_rules": _op5_sql()}
