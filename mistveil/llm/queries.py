@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 from .lines import dedup_lines
+from .lm import score_texts, training_rows
 from .mixing import plan_mix
 from .quality_rules import RULES, STOP_WORDS, SYMBOLS, measure_quality
 from .simhash import simhash_groups
@@ -37,7 +38,11 @@ def op8_warc(spark, sf_dir):
     return pages_of(read_warc(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_line_dedup, op5_quality_rules, op8_warc)}
+def op10_lm_scoring(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"), training_rows(F.col("doc_id")))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_line_dedup, op5_quality_rules, op8_warc, op10_lm_scoring)}
 
 #: DuckDB's form of the characters that separate words.
 _WS = r"[\x20\x09-\x0D]+"
