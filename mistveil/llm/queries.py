@@ -10,6 +10,8 @@ from .lm import score_texts, training_rows
 from .mixing import plan_mix
 from .quality_rules import RULES, STOP_WORDS, SYMBOLS, measure_quality
 from .simhash import simhash_groups
+from .site_quality import score_quality, sites_of_pages
+from .toxicity import held_out, score_toxicity
 from .warc import pages_of, read_warc, write_warc
 
 
@@ -32,6 +34,17 @@ def op5_quality_rules(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_toxicity(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    scored = score_toxicity(table(spark, sf_dir, "documents"), labels, ~held_out(labels["doc_id"]))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op7_site_quality(spark, sf_dir):
+    sites = sites_of_pages(table(spark, sf_dir, "pages"))
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"), sites=sites)
+
+
 def op8_warc(spark, sf_dir):
     path = scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
@@ -42,7 +55,7 @@ def op10_lm_scoring(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"), training_rows(F.col("doc_id")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_line_dedup, op5_quality_rules, op8_warc, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_line_dedup, op5_quality_rules, op6_toxicity, op7_site_quality, op8_warc, op10_lm_scoring)}
 
 #: DuckDB's form of the characters that separate words.
 _WS = r"[\x20\x09-\x0D]+"

@@ -81,12 +81,13 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
     return found.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
-_IN_FILE = Window.partitionBy("file").orderBy("block", "row")
+def _in_file(first: int, last: int):
+    return Window.partitionBy("file").orderBy("block", "row").rowsBetween(first, last)
 
 
 def _placed(segments: DataFrame) -> DataFrame:
     """Adds start, the offset of the magic in front of a segment; the first segment of a file has none and gets -7."""
-    before = F.sum(F.col("size") + len(MAGIC)).over(_IN_FILE.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum(F.col("size") + len(MAGIC)).over(_in_file(Window.unboundedPreceding, -1))
     return segments.withColumn("start", F.coalesce(before, F.lit(0)) - len(MAGIC))
 
 
@@ -153,7 +154,7 @@ def _split_payloads(spark: SparkSession, path: str, broken: DataFrame) -> DataFr
     files = broken.select("file").distinct()
     parts = _segments(spark, path).join(files, "file", "left_semi").withColumn("size", F.octet_length("value"))
     parts = _placed(parts).join(broken.select("file", "start", "next_start", "head_size", "length"), ["file", "start"], "left")
-    so_far = _IN_FILE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = _in_file(Window.unboundedPreceding, Window.currentRow)
     columns = ("next_start", "head_size", "length")
     owner = F.last(F.when(F.col("next_start").isNotNull(), F.struct("start", *columns)), ignorenulls=True).over(so_far)
     owned = parts.withColumn("owner", owner).where(F.col("start") < F.col("owner.next_start"))
