@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import scratch, table
+from .decontaminate import find_contaminated
 from .lines import dedup_lines
 from .lm import score_texts, training_rows
 from .mixing import plan_mix
@@ -51,11 +52,15 @@ def op8_warc(spark, sf_dir):
     return pages_of(read_warc(spark, path))
 
 
+def op9_decontamination(spark, sf_dir):
+    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_lm_scoring(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"), training_rows(F.col("doc_id")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_line_dedup, op5_quality_rules, op6_toxicity, op7_site_quality, op8_warc, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_line_dedup, op5_quality_rules, op6_toxicity, op7_site_quality, op8_warc, op9_decontamination, op10_lm_scoring)}
 
 #: DuckDB's form of the characters that separate words.
 _WS = r"[\x20\x09-\x0D]+"
