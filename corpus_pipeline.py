@@ -1,32 +1,56 @@
 """The corpus pipeline: filter, deduplicate, decontaminate and mix documents.
 
 run() applies STAGES one after another; each stage's result is written as
-Parquet to the shared folder and read again by the next.
+Parquet to the shared folder and read again by the next. All stages but the
+last return the columns of documents; the last adds copy, the number of the
+copy of a document that the mix repeats.
 """
 
 from __future__ import annotations
 
 from mistveil.llm.common import stored, table
+from mistveil.llm.decontaminate import drop_contaminated
 from mistveil.llm.lines import dedup_lines
 from mistveil.llm.mixing import mix
 from mistveil.llm.quality_rules import keep_good
+from mistveil.llm.simhash import near_dedup
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+def quality_rules(spark, docs, sf_dir):
+    """Documents that break a rule go."""
+    return keep_good(docs)
 
-def quality(spark, docs, sf_dir):
-    return keep_good(docs).select(*COLUMNS)
 
+def line_dedup(spark, docs, sf_dir):
+    """Lines that many documents hold stay in one of them."""
+    return dedup_lines(docs).select(*docs.columns)
 
-def lines(spark, docs, sf_dir):
-    return dedup_lines(docs).select(*COLUMNS)
 
+def simhash_dedup(spark, docs, sf_dir):
+    """Of each group of near-duplicates one document stays."""
+    return near_dedup(docs)
 
-def mixed(spark, docs, sf_dir):
-    return mix(docs).select(*COLUMNS, "copy")
 
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines), ("mixing", mixed)]
+
+def source_mixing(spark, docs, sf_dir):
+    """Documents as often as the mix takes them."""
+    return mix(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+]
+
+#: Fingerprint components and edit distances are beyond SQL; tests hold run() against a brute-force version.
+ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
@@ -34,7 +58,3 @@ def run(spark, sf_dir):
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-QUERIES = {}
-ORACLE_SQL = {}

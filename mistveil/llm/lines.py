@@ -32,31 +32,31 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_
     empty; rows with equal id and text are treated alike; columns of docs
     named n_lines or n_dropped are replaced.
     """
-    key = [F.col(id).alias("_id"), *[h.alias(f"_t{i}") for i, h in enumerate(digest(F.coalesce(F.col(text), F.lit(""))))]]
-    lines = docs.select(*key, F.posexplode(split_lines(F.col(text))).alias("_pos", "_line"))
-    long_lines = lines.where(F.length("_line") >= min_chars).withColumn("_key", line_key(F.col("_line"))).where(F.length("_key") >= min_chars)
-    hashed = long_lines.select("_id", "_t0", "_t1", "_pos", *[h.alias(f"_k{i}") for i, h in enumerate(digest(F.col("_key")))])
+    key = [F.col(id).alias("_mv_id"), *[h.alias(f"_mv_t{i}") for i, h in enumerate(digest(F.coalesce(F.col(text), F.lit(""))))]]
+    lines = docs.select(*key, F.posexplode(split_lines(F.col(text))).alias("_mv_pos", "_mv_line"))
+    long_lines = lines.where(F.length("_mv_line") >= min_chars).withColumn("_mv_key", line_key(F.col("_mv_line"))).where(F.length("_mv_key") >= min_chars)
+    hashed = long_lines.select("_mv_id", "_mv_t0", "_mv_t1", "_mv_pos", *[h.alias(f"_mv_k{i}") for i, h in enumerate(digest(F.col("_mv_key")))])
 
     # A struct is never null, so that a null id counts as a document.
-    holder = F.struct("_id")
-    common = hashed.groupBy("_k0", "_k1").agg(F.count_distinct(holder).alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_docs)
-    common = stored(common.drop("_n"), "lines")
+    holder = F.struct("_mv_id")
+    common = hashed.groupBy("_mv_k0", "_mv_k1").agg(F.count_distinct(holder).alias("_mv_n"), F.max("_mv_id").alias("_mv_keeper")).where(F.col("_mv_n") >= min_docs)
+    common = stored(common.drop("_mv_n"), "lines")
 
-    drops = hashed.join(common, ["_k0", "_k1"]).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
-    drops = drops.groupBy("_id", "_t0", "_t1").agg(F.collect_set("_pos").alias("_drop"))
-    drops = drops.select(*[F.col(c).alias(f"{c}_d") for c in ("_id", "_t0", "_t1")], "_drop")
+    drops = hashed.join(common, ["_mv_k0", "_mv_k1"]).where(~F.col("_mv_id").eqNullSafe(F.col("_mv_keeper")))
+    drops = drops.groupBy("_mv_id", "_mv_t0", "_mv_t1").agg(F.collect_set("_mv_pos").alias("_mv_drop"))
+    drops = drops.select(*[F.col(c).alias(f"{c}_d") for c in ("_mv_id", "_mv_t0", "_mv_t1")], "_mv_drop")
 
     named = docs.select(*docs.columns, *key)
-    same = F.col("_id").eqNullSafe(F.col("_id_d")) & (F.col("_t0") == F.col("_t0_d")) & (F.col("_t1") == F.col("_t1_d"))
+    same = F.col("_mv_id").eqNullSafe(F.col("_mv_id_d")) & (F.col("_mv_t0") == F.col("_mv_t0_d")) & (F.col("_mv_t1") == F.col("_mv_t1_d"))
     joined = named.join(drops, same, "left")
 
     def kept(lines: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_mv_drop"))
         return F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n")
 
     original = F.coalesce(F.col(text), F.lit(""))
-    new_text = F.when(F.col("_drop").isNull(), original).otherwise(let(split_lines(F.col(text)), kept))
+    new_text = F.when(F.col("_mv_drop").isNull(), original).otherwise(let(split_lines(F.col(text)), kept))
     n_lines = (F.length(original) - F.length(F.replace(original, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    n_dropped = F.coalesce(F.size("_drop"), F.lit(0)).cast("long")
+    n_dropped = F.coalesce(F.size("_mv_drop"), F.lit(0)).cast("long")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(*[new_text.alias(c) if c == text else F.col(c) for c in columns], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

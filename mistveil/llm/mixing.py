@@ -54,19 +54,20 @@ def plan_mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source:
     """
     own = ("size", "source_size", "target", "rate", "copies")
     targets = stored(source_targets(docs, text=text, source=source, weights=weights, cap=cap), "targets")
-    targets = targets.select(F.col("source").alias("_mix_source"), *[F.col(c).alias(f"_mix_{c}") for c in ("source_size", "target", "rate")])
-    sized = docs.withColumn("_mix_size", count_words(F.col(text)))
-    joined = sized.join(targets, F.col(source).cast("string").eqNullSafe(F.col("_mix_source")), "left")
-    rate = F.col("_mix_rate")
+    targets = targets.select(F.col("source").alias("_mv_source"), *[F.col(c).alias(f"_mv_{c}") for c in ("source_size", "target", "rate")])
+    sized = docs.withColumn("_mv_size", count_words(F.col(text)))
+    joined = sized.join(targets, F.col(source).cast("string").eqNullSafe(F.col("_mv_source")), "left")
+    rate = F.col("_mv_rate")
     extra = (uniform(F.col(id), seed) < rate - F.floor(rate)).cast("long")
-    drawn = joined.withColumn("_mix_copies", F.floor(rate).cast("long") + extra)
+    drawn = joined.withColumn("_mv_copies", F.floor(rate).cast("long") + extra)
     kept = [c for c in docs.columns if c not in own]
-    return drawn.select(*kept, *[F.col(f"_mix_{c}").alias(c) for c in own])
+    return drawn.select(*kept, *[F.col(f"_mv_{c}").alias(c) for c in own])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row of docs as many times as planned, with copy = 1, 2, ..."""
-    planned = plan_mix(docs, **options)
+    """The mixed corpus: each row of docs as many times as planned, with copy = 1, 2, ... (a column of docs of that name is replaced)."""
+    names = {k: options.get(k, v) for k, v in (("id", "doc_id"), ("text", "text"), ("source", "source"))}
+    rows = docs.select(F.struct(*docs.columns).alias("_mv_row"), *[F.col(v).alias(k) for k, v in names.items()])
+    planned = plan_mix(rows, **options | {k: k for k in names}).where(F.col("copies") > 0)
     copies = F.sequence(F.lit(1).cast("long"), F.col("copies"))
-    kept = [c for c in planned.columns if c != "copy"]
-    return planned.where(F.col("copies") > 0).select(*kept, F.explode(copies).alias("copy"))
+    return planned.select(*[F.col(f"_mv_row.`{c}`") for c in docs.columns if c != "copy"], F.explode(copies).alias("copy"))

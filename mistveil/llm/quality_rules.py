@@ -128,10 +128,10 @@ def measure_quality(docs: DataFrame, *, text: str = "text", rules=RULES) -> Data
     Null and empty texts have no words and fail. Repeated rows are judged each
     on its own. Columns of docs with the names that this adds are replaced.
     """
-    counts = measures(F.col(text), F.col("_norm"))
-    added = {*counts, "base_failed", "failed_rules", "kept", "_norm"}
+    counts = measures(F.col(text), F.col("_mv_norm"))
+    added = {*counts, "base_failed", "failed_rules", "kept", "_mv_norm"}
     kept = [c for c in docs.columns if c not in added]
-    counted = docs.withColumn("_norm", normalized(F.col(text))).select(*kept, *[v.alias(k) for k, v in counts.items()])
+    counted = docs.withColumn("_mv_norm", normalized(F.col(text))).select(*kept, *[v.alias(k) for k, v in counts.items()])
     failed = F.array_compact(F.array(*[F.when(~passes, F.lit(name)) for name, passes in compile_rules(rules).items()]))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = counted.withColumn("base_failed", base).withColumn("failed_rules", failed)
@@ -140,5 +140,5 @@ def measure_quality(docs: DataFrame, *, text: str = "text", rules=RULES) -> Data
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
-    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col(options.pop("text", "text")).alias("text"))
-    return measure_quality(marked, **options).where("kept").select("_row.*")
+    marked = docs.select(F.struct(*docs.columns).alias("_mv_row"), F.col(options.pop("text", "text")).alias("text"))
+    return measure_quality(marked, **options).where("kept").select("_mv_row.*")

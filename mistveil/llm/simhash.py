@@ -125,10 +125,10 @@ def simhash_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
 
 def near_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """docs less near-duplicates: of each group the row with the smallest id stays; of rows with equal ids, one."""
-    groups = stored(simhash_groups(docs, id=id, text=text, width=width).select(F.col(id).alias("_id"), "component_id"), "members")
-    gone = groups.where(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id")
-    repeated = groups.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id").count().where("count > 1").select("_id")
+    groups = stored(simhash_groups(docs, id=id, text=text, width=width).select(F.col(id).alias("_mv_id"), "component_id"), "members")
+    gone = groups.where(~F.col("_mv_id").eqNullSafe(F.col("component_id"))).select("_mv_id")
+    repeated = groups.where(F.col("_mv_id").eqNullSafe(F.col("component_id"))).groupBy("_mv_id").count().where("count > 1").select("_mv_id")
     repeated = stored(repeated, "repeated")
-    same = docs[id].eqNullSafe(F.col("_id"))
+    same = docs[id].eqNullSafe(F.col("_mv_id"))
     single = docs.join(stored(gone.unionByName(repeated).distinct(), "gone"), same, "left_anti")
     return single.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id]))

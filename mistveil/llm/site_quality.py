@@ -27,7 +27,7 @@ def evidence(docs: DataFrame, labels: DataFrame, *, id: str, text: str, label: s
     dense = F.array(*[v for k, v in ratios().items() if k != "n_words"], F.log1p("n_words"), short)
     table = stored(rates.select("id", *keys, dense.alias("features")), "rates")
     sample = labelled_sample(labels, id=id, label=label, usable=F.lit(True), max_labels=max_labels)
-    known = table.join(F.broadcast(sample), table["id"] == F.col("_id")).select("features", F.col("_label").cast("double").alias("label"))
+    known = table.join(F.broadcast(sample), table["id"] == F.col("_mv_id")).select("features", F.col("_mv_label").cast("double").alias("label"))
     known = stored(known, "learned").select(array_to_vector("features").alias("features"), "label")
     if known.agg(F.count_distinct("label")).first()[0] < 2:
         return table.select("id", *keys, F.lit(0.5).alias("p"))
@@ -61,9 +61,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", tex
     """
     scored = stored(evidence(docs, labels, id=id, text=text, label=label, keys={"host": host.cast("string"), "path": path.cast("string")}, max_labels=max_labels), "evidence")
     if sites is not None:
-        placed = sites.select(F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("path").alias("_path"))
-        better = scored.join(placed, F.col("id") == F.col("_id"), "left")
-        known = F.col("_id").isNotNull()
+        placed = sites.select(F.col("id").alias("_mv_id"), F.col("host").alias("_host"), F.col("path").alias("_path"))
+        better = scored.join(placed, F.col("id") == F.col("_mv_id"), "left")
+        known = F.col("_mv_id").isNotNull()
         scored = stored(better.select("id", "p", *[F.when(known, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("host", "path")]), "placed")
     mean = scored.agg(F.avg("p")).first()[0] or 0.5
     keyed = scored.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})

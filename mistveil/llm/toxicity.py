@@ -37,20 +37,20 @@ WINDOW, NEAR = 50, 5
 
 def labelled_sample(labels: DataFrame, *, id: str, label: str, usable: Column, max_labels: int) -> DataFrame:
     """At most max_labels rows id, label, half (0 or 1), the same ones on each run; ids with several labels take the largest."""
-    rows = labels.where(usable & F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
-    mixed = F.xxhash64(F.lit("sample"), F.col("_id").cast("string"))
-    return stored(rows.orderBy(mixed, "_id").limit(max_labels).withColumn("_half", F.pmod(mixed, F.lit(2)).cast("int")), "labelled")
+    rows = labels.where(usable & F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_mv_id")).agg(F.max(label).cast("int").alias("_mv_label"))
+    mixed = F.xxhash64(F.lit("sample"), F.col("_mv_id").cast("string"))
+    return stored(rows.orderBy(mixed, "_mv_id").limit(max_labels).withColumn("_mv_half", F.pmod(mixed, F.lit(2)).cast("int")), "labelled")
 
 
 def learn_lexicon(docs: DataFrame, sample: DataFrame, *, id: str, text: str, min_docs: int = 4, min_weight: float = 2.0, most: int = 5000) -> dict[str, float]:
     """Words, and word beginnings ending in "*", with their log odds of standing in toxic rather than other texts; at most `most`."""
-    rows = docs.join(F.broadcast(sample.where("_half = 0")), docs[id] == F.col("_id")).select("_label", F.lower(F.col(text)).alias("text"))
-    found = rows.select("_label", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
+    rows = docs.join(F.broadcast(sample.where("_mv_half = 0")), docs[id] == F.col("_mv_id")).select("_mv_label", F.lower(F.col(text)).alias("text"))
+    found = rows.select("_mv_label", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
     starts = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in PREFIXES]
-    terms = found.select("_label", F.explode(F.array_compact(F.array("word", *starts))).alias("term"))
-    toxic = F.sum(F.when(F.col("_label") == 1, 1).otherwise(0))
+    terms = found.select("_mv_label", F.explode(F.array_compact(F.array("word", *starts))).alias("term"))
+    toxic = F.sum(F.when(F.col("_mv_label") == 1, 1).otherwise(0))
     counts = terms.groupBy("term").agg(toxic.alias("p"), (F.count("*") - toxic).alias("n"))
-    n_texts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
+    n_texts = {r["_mv_label"]: r["count"] for r in rows.groupBy("_mv_label").count().collect()}
     p, n = n_texts.get(1, 0), sum(c for k, c in n_texts.items() if k != 1)
     if not p or not n:
         return {}
@@ -153,7 +153,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, *, id: st
     sample = labelled_sample(labels, id=id, label=label, usable=usable, max_labels=max_labels)
     lexicon = learn_lexicon(docs, sample, id=id, text=text)
     dense = stored(features(docs, lexicon, id=id, text=text), "features")
-    known = dense.join(F.broadcast(sample.where("_half = 1")), dense["id"] == F.col("_id")).select(array_to_vector("features").alias("features"), F.col("_label").cast("double").alias("label"))
+    known = dense.join(F.broadcast(sample.where("_mv_half = 1")), dense["id"] == F.col("_mv_id")).select(array_to_vector("features").alias("features"), F.col("_mv_label").cast("double").alias("label"))
     known = stored(known.select(vector_to_array("features").alias("a"), "label"), "learned").select(array_to_vector("a").alias("features"), "label")
     n, positive = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < positive < n:
