@@ -12,6 +12,7 @@ from .mixing import plan_mix
 from .quality_rules import RULES, STOP_WORDS, SYMBOLS, measure_quality
 from .simhash import simhash_groups
 from .site_quality import score_quality, sites_of_pages
+from .substrings import repeated_passages
 from .toxicity import held_out, score_toxicity
 from .warc import pages_of, read_warc, write_warc
 
@@ -25,6 +26,10 @@ def op2_simhash(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark, sf_dir):
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -60,7 +65,7 @@ def op10_lm_scoring(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"), training_rows(F.col("doc_id")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_line_dedup, op5_quality_rules, op6_toxicity, op7_site_quality, op8_warc, op9_decontamination, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_substring_dedup, op4_line_dedup, op5_quality_rules, op6_toxicity, op7_site_quality, op8_warc, op9_decontamination, op10_lm_scoring)}
 
 #: DuckDB's form of the characters that separate words.
 _WS = r"[\x20\x09-\x0D]+"
