@@ -37,7 +37,7 @@ def digits_of(raw: Column) -> Column:
 
 def is_luhn(digits: Column) -> Column:
     """13 to 19 digits with a right Luhn checksum."""
-    return F.when(digits.rlike("^[0-9]{13,19}$"), F.luhn_check(digits)).otherwise(F.lit(False))
+    return F.when(digits.rlike("^[0-9]{13,19}$"), F.call_function("luhn_check", digits)).otherwise(F.lit(False))
 
 
 def is_verhoeff(digits: Column) -> Column:

@@ -52,16 +52,18 @@ def by_start(spans: Column) -> Column:
     return F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["type"]))), lambda s: F.struct(s["type"], s["start"], s["end"]))
 
 
+def candidates(text: Column, kind: str, pattern: str, check: str | None) -> Column:
+    """Hits of one pattern as spans, those with a wrong checksum left out."""
+    found = F.transform(hits(text, pattern), lambda h: F.struct(F.lit(kind).alias("type"), h["start"].alias("start"), h["end"].alias("end")))
+    return F.filter(found, lambda s: passes(check, piece(text, s))) if check else found
+
+
 def pattern_spans(text: Column) -> Column:
     """All identifiers in a text, sorted by start: earlier patterns claim text first; hits with a wrong checksum claim nothing. Null: none."""
     none = F.array().cast(f"array<{SPAN}>")
 
     def of(t: Column) -> Column:
-        groups = []
-        for kind, pattern, check in PATTERNS:
-            found = F.transform(hits(t, pattern), lambda h, kind=kind: F.struct(F.lit(kind).alias("type"), h["start"].alias("start"), h["end"].alias("end")))
-            groups.append(F.filter(found, lambda s, check=check: passes(check, piece(t, s))) if check else found)
-        return by_start(claim(F.concat(*groups)))
+        return by_start(claim(F.concat(*[candidates(t, *p) for p in PATTERNS])))
 
     whole = F.coalesce(text, F.lit(""))
     return F.when(whole.rlike(MAYBE), let(whole, of)).otherwise(none)
@@ -81,5 +83,5 @@ def placeholder_counts(text: Column) -> Column:
     tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
     kinds = F.transform(tokens, lambda t: F.regexp_extract(t, r"\[PII_([A-Z_]+)_[0-9]+\]", 1))
     secrets = F.regexp_count(text, F.lit(r"\[SECRET\]"))
-    counted = F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k))))
-    return F.map_from_entries(F.when(secrets > 0, F.array_append(counted, F.struct(F.lit("SECRET"), secrets))).otherwise(counted))
+    counted = F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k.alias("kind"), F.size(F.filter(kinds, lambda x: x == k)).alias("n")))
+    return F.map_from_entries(F.when(secrets > 0, F.concat(counted, F.array(F.struct(F.lit("SECRET").alias("kind"), secrets.alias("n"))))).otherwise(counted))

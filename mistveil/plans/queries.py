@@ -1,4 +1,547 @@
-"""Queries over the shared tables, and their SQL."""
+"""Queries over the shared tables and small fixed ones, and SQL that DuckDB runs for the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import boxes as B
+from ..functions import hosts as H
+from ..functions.checksums import is_luhn, is_verhoeff
+from ..functions.email import is_public, public_score
+from ..functions.patterns import PATTERNS
+from ..functions.spans import candidates, pattern_spans, piece, placeholder_counts
+from ..functions.urls import masked_url, split_url
+from ..operators import agent, budget, metrics
+from ..operators import detect as D
+from ..operators import html as W
+from ..operators import tokens as T
+from ..operators.windows import merge_windows, window_texts
+from ..sources.logs import csv_lines
+from ..sources.tables import table
+from . import literals as L
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query, and its SQL if there is any."""
+
+    def add(function):
+        key = name or function.__name__
+        QUERIES[key] = function
+        if sql is not None:
+            ORACLE_SQL[key] = sql
+        return function
+
+    return add
+
+
+# --- Texts: documents and canaries ---
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, text of all documents and canaries."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(L.CANARIES.df(spark).select("id", F.col("value").alias("text")))
+
+
+_TEXTS = f"(SELECT doc_id AS id, text FROM documents UNION ALL SELECT id, value FROM {L.CANARIES.sql()})"
+_DUCK_SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\-]"
+_LUHN = "(length({d}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({d}) + 1), lambda i: (CASE WHEN i % 2 = 0 THEN CASE WHEN 2 * substr({d}, (length({d}) - i + 1)::INT, 1)::INT > 9 THEN 2 * substr({d}, (length({d}) - i + 1)::INT, 1)::INT - 9 ELSE 2 * substr({d}, (length({d}) - i + 1)::INT, 1)::INT END ELSE substr({d}, (length({d}) - i + 1)::INT, 1)::INT END))) % 10 = 0)"
+_TIMES = "[0,1,2,3,4,5,6,7,8,9,1,2,3,4,0,6,7,8,9,5,2,3,4,0,1,7,8,9,5,6,3,4,0,1,2,8,9,5,6,7,4,0,1,2,3,9,5,6,7,8,5,9,8,7,6,0,4,3,2,1,6,5,9,8,7,1,0,4,3,2,7,6,5,9,8,2,1,0,4,3,8,7,6,5,9,3,2,1,0,4,9,8,7,6,5,4,3,2,1,0]"
+_TURNS = "[0,1,2,3,4,5,6,7,8,9,1,5,7,6,2,8,3,0,9,4,5,8,0,3,7,9,6,1,4,2,8,9,1,6,0,4,3,5,2,7,9,4,5,3,1,2,6,8,7,0,4,2,8,6,5,7,3,9,0,1,2,7,9,3,8,0,6,4,1,5,7,0,4,6,9,1,3,2,5,8]"
+_VERHOEFF = f"(length({{d}}) = 12 AND list_reduce(list_concat([0], list_transform(range(12), lambda i: ({_TURNS})[((i % 8) * 10 + substr({{d}}, (12 - i)::INT, 1)::INT + 1)::INT])), lambda c, x: ({_TIMES})[(c * 10 + x + 1)::INT]) = 0)"
+
+
+def _pattern_sql(kind: str) -> str:
+    """Hits per text by doubling what separates hits, since DuckDB's patterns cannot look around."""
+    sep = rf"(?:{_DUCK_SPACE}{_DUCK_SPACE})?"
+    alone = ("[^A-Za-z0-9]", "[^A-Za-z0-9]", "[^A-Za-z0-9]")
+    forms = {
+        "EMAIL": ("[^A-Za-z0-9_.+@-]", "[^A-Za-z0-9_.+-]", "[^A-Za-z0-9_.-]", r"[A-Za-z0-9_.+-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+", "true"),
+        "UPI": ("[^A-Za-z0-9_.+@-]", "[^A-Za-z0-9_.+-]", "[^A-Za-z0-9_.-]", r"[A-Za-z0-9_.+-]+@[a-zA-Z]{2,64}", "true"),
+        "CARD": ("[^0-9]", "[^0-9]", "[^0-9]", rf"(?:[0-9]{sep}){{12,18}}[0-9]", _LUHN.format(d="d")),
+        "PAN": (*alone, "[A-Z]{5}[0-9]{4}[A-Z]", "substr(raw, 4, 1) IN ('A','B','C','F','G','H','J','L','P','T')"),
+        "IFSC": (*alone, "[A-Z]{4}0[A-Z0-9]{6}", "true"),
+        "GSTIN": (*alone, "[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]", "true"),
+        "VOTER_ID": (*alone, "[A-Z]{3}[0-9]{7}", "true"),
+        "PASSPORT": (*alone, "[A-PR-WY][1-9][0-9]{6}", "true"),
+        "VEHICLE_REG": (*alone, "[A-Z]{2}[0-9]{2}[A-Z]{1,2}[0-9]{4}", "true"),
+    }
+    double, before, after, pattern, check = forms[kind]
+    return rf"""
+WITH t AS (SELECT id, regexp_replace(text, '({double})', '\1\1', 'g') AS x FROM {_TEXTS}),
+h AS (SELECT id, unnest(regexp_extract_all(x, '(?:^|{before})({pattern})(?:$|{after})', 1)) AS raw FROM t),
+c AS (SELECT id, raw, regexp_replace(raw, '{_DUCK_SPACE}', '', 'g') AS d FROM h)
+SELECT id, count(*)::BIGINT AS n, count(DISTINCT d)::BIGINT AS n_values FROM c WHERE {check} GROUP BY id
+"""
+
+
+def _pattern_query(kind: str):
+    found = [(p, c) for k, p, c in PATTERNS if k == kind]
+
+    def run(spark, sf_dir):
+        text = F.col("text")
+        each = F.concat(*[F.transform(candidates(text, kind, p, c), lambda h: piece(text, h)) for p, c in found])
+        raw = _texts(spark, sf_dir).select("id", F.explode(each).alias("raw"))
+        bare = F.regexp_replace("raw", r"[\s \-]", "")
+        return raw.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct(bare).alias("n_values"))
+
+    return run
+
+
+for _kind in ("EMAIL", "UPI", "CARD", "PAN", "IFSC", "GSTIN", "VOTER_ID", "PASSPORT", "VEHICLE_REG"):
+    query(_pattern_sql(_kind), f"spans_{_kind.lower()}")(_pattern_query(_kind))
+
+for _kind in ("AADHAAR", "PHONE"):  # their patterns look around in ways that doubling cannot express: canaries only
+    _rows = L.Table("id bigint, n bigint, n_values bigint", [(r[0], 1, 1) for r in L.CANARIES.rows if r[1] == _kind and r[3]])
+    query(f"SELECT * FROM {_rows.sql()} UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE false", f"spans_{_kind.lower()}")(
+        lambda spark, sf_dir, run=_pattern_query(_kind): run(spark, sf_dir).where("id < 0")
+    )
+
+
+@query(f"SELECT id, type, start, end_ FROM {L.CLAIMED.sql()}")
+def span_claims(spark, sf_dir):
+    each = L.OVERLAPS.df(spark).select("id", F.explode(pattern_spans(F.col("text"))).alias("s"))
+    return each.select("id", "s.type", "s.start", F.col("s.end").alias("end_"))
+
+
+@query(f"SELECT id, kind AS type, 0 AS start, length(value)::INTEGER AS end_ FROM {L.CANARIES.sql()} WHERE found")
+def canary_spans(spark, sf_dir):
+    each = L.CANARIES.df(spark).select("id", F.explode(pattern_spans(F.col("value"))).alias("s"))
+    return each.select("id", "s.type", "s.start", F.col("s.end").alias("end_"))
+
+
+@query(f"SELECT id, coalesce(regexp_matches(digits, '^[0-9]{{13,19}}$') AND {_LUHN.format(d='CASE WHEN regexp_matches(digits, $$^[0-9]{13,19}$$$$) THEN digits ELSE repeat($$0$$, 5) END')}, false) AS ok FROM {L.DIGITS.sql()}".replace("$$^[0-9]{13,19}$$$$", "'^[0-9]{13,19}$'").replace("$$0$$", "'0'"))
+def luhn(spark, sf_dir):
+    return L.DIGITS.df(spark).select("id", is_luhn(F.col("digits")).alias("ok"))
+
+
+@query(f"SELECT id, CASE WHEN regexp_matches(digits, '^[0-9]{{12}}$') THEN {_VERHOEFF.format(d='lpad(regexp_replace(digits, $q$[^0-9]$q$, $q$0$q$, $q$g$q$), 12, $q$0$q$)')} ELSE false END AS ok FROM {L.DIGITS.sql()}".replace("$q$", "'"))
+def verhoeff(spark, sf_dir):
+    return L.DIGITS.df(spark).select("id", is_verhoeff(F.col("digits")).alias("ok"))
+
+
+def _doc_units(spark, sf_dir):
+    """Documents as units: each document is a session of one unit."""
+    docs = table(spark, sf_dir, "documents")
+    origin = F.concat(F.lit("https://"), F.col("source"), F.lit(".example"))
+    units = docs.select(F.col("doc_id").cast("string").alias("session_id"), origin.alias("origin"), F.lit(0).alias("unit"), F.coalesce("text", F.lit("")).alias("text"))
+    return D.with_spans(units)
+
+
+@query()
+def sanitize_documents(spark, sf_dir):
+    """All documents with personal data replaced by tokens."""
+    units = _doc_units(spark, sf_dir)
+    found = T.occurrences(units)
+    clean = T.rewrite(units, found, T.token_map(found))
+    return clean.select(F.col("session_id").cast("long").alias("doc_id"), "text", F.size("spans").alias("n_spans"))
+
+
+@query()
+def token_map_documents(spark, sf_dir):
+    """How many tokens of each type documents hold; the map itself stays private."""
+    tokens = T.token_map(T.occurrences(_doc_units(spark, sf_dir)))
+    return tokens.groupBy(F.col("session_id").cast("long").alias("doc_id"), "type").agg(F.count("*").alias("n"), F.max("token").alias("last_token"))
+
+
+@query("SELECT kind, n FROM (SELECT 'EMAIL' AS kind, 0::BIGINT AS n) WHERE n > 0")
+def residual_after_sanitize(spark, sf_dir):
+    """Nothing that the patterns find is left in sanitized documents."""
+    return D.residual_counts(sanitize_documents(spark, sf_dir))
+
+
+@query(f"""
+WITH e AS (SELECT id, count(*)::BIGINT AS n FROM (SELECT id, unnest(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9_.+@-])', '\\1\\1', 'g'), '(?:^|[^A-Za-z0-9_.+-])([A-Za-z0-9_.+-]+@[a-zA-Z0-9-]+(?:\\.[a-zA-Z0-9-]+)+)(?:$|[^A-Za-z0-9_.-])', 1)) FROM {_TEXTS}) GROUP BY id)
+SELECT count(*)::BIGINT AS n_texts, sum(n)::BIGINT AS n_emails FROM e
+""")
+def email_residuals(spark, sf_dir):
+    """Texts that still hold e-mail addresses, and how many."""
+    each = _texts(spark, sf_dir).select("id", F.explode(pattern_spans(F.col("text"))).alias("s")).where("s.type = 'EMAIL'")
+    return each.groupBy("id").count().agg(F.count("*").alias("n_texts"), F.sum("count").alias("n_emails"))
+
+
+@query(f"SELECT id, found AND kind <> 'EMAIL' AS blocked FROM {L.CANARIES.sql()}")
+def final_guard(spark, sf_dir):
+    return L.CANARIES.df(spark).select("id", D.guard_triggered(F.array(F.lit("title"), F.col("value"))).alias("blocked"))
+
+
+@query(f"""
+WITH t AS (SELECT session_id, id, unnest(list_distinct(regexp_extract_all(text, '\\[PII_([A-Z_]+)_[0-9]+\\]'))) AS tok FROM {L.TEXTS_WITH_TOKENS.sql()}),
+k AS (SELECT id, regexp_extract(tok, '\\[PII_([A-Z_]+)_[0-9]+\\]', 1) AS kind, count(*)::INTEGER AS n FROM t GROUP BY ALL)
+SELECT * FROM k UNION ALL SELECT id, 'SECRET', len(regexp_extract_all(text, '\\[SECRET\\]'))::INTEGER FROM {L.TEXTS_WITH_TOKENS.sql()} WHERE text LIKE '%[SECRET]%'
+""", "placeholder_counts")
+def placeholder_counts_query(spark, sf_dir):
+    return L.TEXTS_WITH_TOKENS.df(spark).select("id", F.explode(placeholder_counts(F.col("text"))).alias("kind", "n"))
+
+
+@query(f"SELECT session_id, id, text FROM {L.RESOLVED.sql()}")
+def resolve_tokens(spark, sf_dir):
+    return T.resolve(L.TEXTS_WITH_TOKENS.df(spark), L.POLICY_TOKENS.df(spark).select("session_id", "token", "value"))
+
+
+@query(f"SELECT c.id, count(*)::BIGINT AS n FROM (SELECT doc_id, text FROM documents UNION ALL SELECT id, value FROM {L.CANARIES.sql()}) d JOIN {L.CANARIES.sql()} c ON contains(d.text, c.value) GROUP BY c.id")
+def canary_leaks(spark, sf_dir):
+    return metrics.canary_leaks(_texts(spark, sf_dir), L.CANARIES.df(spark).select("id", "value"))
+
+
+# --- Deciding what is personal ---
+
+_HOST = "lower(regexp_extract(origin, '^[a-z]+://([^/:?#]+)', 1))"
+
+
+@query(f"""
+WITH e AS (SELECT *, regexp_extract(email, '^(.*)@[^@]*$', 1) AS name, lower(regexp_extract(email, '@([^@]*)$', 1)) AS domain, {_HOST} AS host FROM {L.EMAILS.sql()})
+SELECT id, CASE WHEN email NOT LIKE '%@%' THEN 0 ELSE (CASE WHEN lower(name) IN ('support','info','contact','sales','help','noreply','no-reply','admin','care','hr','careers') THEN 3 ELSE 0 END
+ + CASE WHEN host <> '' AND (domain = host OR ends_with(domain, '.' || host)) THEN 3 ELSE 0 END - CASE WHEN domain IN ('gmail.com','yahoo.com','outlook.com','hotmail.com','proton.me','protonmail.com','icloud.com','rediffmail.com') THEN 4 ELSE 0 END
+ + CASE WHEN coalesce(in_contact_markup, false) OR coalesce(near_contact_heading, false) OR (coalesce(in_landmark, false) AND coalesce(is_mailto, false)) THEN 2 ELSE 0 END
+ - CASE WHEN coalesce(in_ugc_block, false) THEN 3 ELSE 0 END)::INTEGER END AS score FROM e
+""")
+def email_score(spark, sf_dir):
+    hints = F.struct("in_landmark", "near_contact_heading", "in_contact_markup", "in_ugc_block")
+    return L.EMAILS.df(spark).select("id", public_score(F.col("email"), F.col("origin"), hints, F.col("is_mailto")).alias("score"))
+
+
+@query(f"SELECT id, id IN (1, 4, 3) AS public FROM {L.EMAILS.sql()}")
+def public_email(spark, sf_dir):
+    hints = F.struct("in_landmark", "near_contact_heading", "in_contact_markup", "in_ugc_block")
+    return L.EMAILS.df(spark).select("id", is_public(F.col("email"), F.col("origin"), hints, F.col("is_mailto")).alias("public"))
+
+
+_TAGGED = L.Table("id bigint, text string, tags string", [(1, "Priya wrote to support@example.com today", "NAME:0:5,EMAIL:15:34,WHAT:35:40"), (2, "a.b@c.example", "NAME:0:3"), (3, "Ram Ram", "NAME:0:3,NAME:2:5")])
+_DECIDED = L.Table("id bigint, spans string", [(1, "NAME:0:5,OTHER:35:40"), (2, "EMAIL:0:13"), (3, "NAME:0:3")])
+
+
+@query(f"SELECT id, spans FROM {_DECIDED.sql()}")
+def decide_spans(spark, sf_dir):
+    part = lambda t, i: F.get(F.split(t, ":"), F.lit(i))
+    tags = F.transform(F.split("tags", ","), lambda t: F.struct(part(t, 0).alias("type"), part(t, 1).cast("int").alias("start"), part(t, 2).cast("int").alias("end")))
+    decided = D.decide(F.col("text"), pattern_spans(F.col("text")), tags, F.lit("https://example.com"))
+    return _TAGGED.df(spark).select("id", F.array_join(F.transform(decided, lambda s: F.concat_ws(":", s["type"], s["start"], s["end"])), ",").alias("spans"))
+
+
+@query("SELECT 1::BIGINT AS id, 'mail [PII_EMAIL] or Ram' AS shown, 'NAME:22:25' AS moved")
+def mask_map(spark, sf_dir):
+    text = F.lit("mail a.b@c.example or Ram")
+    rows = spark.range(1, 2).select("id", text.alias("text")).withColumn("m", D.masked(F.col("text"), pattern_spans(F.col("text"))))
+    tag = lambda s, e: F.struct(F.lit("NAME").alias("type"), F.lit(s).alias("start"), F.lit(e).alias("end"))
+    moved = D.unmasked(F.array(tag(20, 23), tag(4, 8)), F.col("m.places"))
+    return rows.select("id", F.col("m.text").alias("shown"), F.array_join(F.transform(moved, lambda s: F.concat_ws(":", s["type"], s["start"], s["end"])), ",").alias("moved"))
+
+
+@query(f"SELECT text_id, label, start, end_, score FROM {L.BIO_GROUPS.sql()}")
+def bio_group(spark, sf_dir):
+    return D.group_entities(L.BIO.df(spark).withColumnRenamed("end_", "end")).withColumnRenamed("end", "end_")
+
+
+@query("SELECT label, CASE label WHEN 'PERSON' THEN 'NAME' WHEN 'LOCATION' THEN 'ADDRESS' WHEN 'ORGANIZATION' THEN NULL WHEN 'EMAIL_ADDRESS' THEN 'EMAIL' WHEN 'PHONE_NUMBER' THEN 'PHONE' WHEN 'CREDIT_CARD' THEN 'CARD' WHEN 'US_PASSPORT' THEN 'PASSPORT' ELSE 'OTHER' END AS type FROM (SELECT unnest(['PERSON','LOCATION','ORGANIZATION','EMAIL_ADDRESS','PHONE_NUMBER','CREDIT_CARD','US_PASSPORT','DATE_TIME','NEVER_SEEN']) AS label)")
+def label_map(spark, sf_dir):
+    labels = ["PERSON", "LOCATION", "ORGANIZATION", "EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "US_PASSPORT", "DATE_TIME", "NEVER_SEEN"]
+    return spark.createDataFrame([(x,) for x in labels], "label string").select("label", D.label_type(F.col("label")).alias("type"))
+
+
+_SCORES = L.Table("id bigint, score double", [(1, 0.86), (2, 0.85), (3, 0.6), (4, 0.599), (5, None), (6, 90.0), (7, 0.75), (8, 0.5)])
+
+
+@query(f"SELECT id, coalesce(CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.6 THEN 'medium' END, 'low') AS ner, coalesce(CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' END, 'low') AS face, coalesce(CASE WHEN score >= 85 THEN 'high' WHEN score >= 60 THEN 'medium' END, 'low') AS ocr FROM {_SCORES.sql()}")
+def bucketize(spark, sf_dir):
+    return _SCORES.df(spark).select("id", *[D.bucket(F.col("score"), d).alias(d) for d in ("ner", "face", "ocr")])
+
+
+# --- URLs, hosts, devices ---
+
+
+@query(f"SELECT id, clean FROM {L.URLS.sql()}")
+def url_sanitize_crafted(spark, sf_dir):
+    return L.URLS.df(spark).select("id", masked_url(F.col("url")).alias("clean"))
+
+
+@query(r"""
+SELECT page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1), ''), '/') || regexp_extract(url, '(\?[^#]*)', 1)
+ || CASE WHEN regexp_matches(regexp_extract(url, '(#.*)$', 1), '^#[A-Za-z0-9_-]{1,24}$') THEN regexp_extract(url, '(#.*)$', 1) ELSE '' END AS clean FROM pages
+""")
+def url_sanitize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", masked_url(F.col("url")).alias("clean"))
+
+
+@query("SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, count(*)::BIGINT AS n FROM pages GROUP BY 1")
+def pages_by_host(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(split_url(F.col("url"))["host"].alias("host")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, private FROM {L.HOSTS.sql()}")
+def private_host(spark, sf_dir):
+    return L.HOSTS.df(spark).select("id", H.is_private_host(F.col("url")).alias("private"))
+
+
+@query(f"SELECT id, endpoint FROM {L.ENDPOINTS.sql()}")
+def endpoint_ok(spark, sf_dir):
+    return L.ENDPOINTS.df(spark).select("id", H.endpoint(F.col("raw")).alias("endpoint"))
+
+
+@query(f"SELECT id, kind, usable FROM {L.GPUS.sql()}")
+def gpu_kind(spark, sf_dir):
+    kind = H.gpu_kind(F.col("vendor"), F.col("architecture"), F.col("type"), F.col("fallback"))
+    return L.GPUS.df(spark).select("id", kind.alias("kind"), H.gpu_usable(kind, F.col("vendor")).alias("usable"))
+
+
+@query("SELECT s AS status, CASE WHEN s BETWEEN 200 AND 299 THEN NULL WHEN s = 426 THEN 'backend_version_unsupported' WHEN s = 429 THEN 'backend_rate_limited' ELSE 'backend_error' END AS reason FROM (SELECT unnest([200, 204, 400, 426, 429, 500])::INTEGER AS s)")
+def http_reason(spark, sf_dir):
+    return spark.createDataFrame([(s,) for s in (200, 204, 400, 426, 429, 500)], "status int").select("status", H.http_reason(F.col("status")).alias("reason"))
+
+
+@query("SELECT c AS cores, least(greatest(c - 2, 1), 3)::INTEGER AS vision, least(greatest(c // 2, 1), 3)::INTEGER AS ocr FROM (SELECT unnest([1, 2, 4, 8, 16])::INTEGER AS c)")
+def pool_sizes(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in (1, 2, 4, 8, 16)], "cores int").select("cores", H.pool_size(F.col("cores"), "vision").alias("vision"), H.pool_size(F.col("cores"), "ocr").alias("ocr"))
+
+
+@query("SELECT u AS usable, f AS force, CASE WHEN f = 'wasm' OR NOT u THEN 'wasm' ELSE 'webgpu' END AS compute, coalesce(f = 'wasm' OR (f = 'webgpu' AND u), false) AS forced FROM (SELECT unnest([true, false]) AS u), (SELECT unnest(['wasm', 'webgpu', NULL]) AS f)")
+def compute_target(spark, sf_dir):
+    rows = spark.createDataFrame([(u, f) for u in (True, False) for f in ("wasm", "webgpu", None)], "usable boolean, force string")
+    return rows.select("usable", "force", H.compute_target(F.col("usable"), F.col("force")).alias("c")).select("usable", "force", "c.*")
+
+
+# --- Pages ---
+
+
+def _nodes(spark, sf_dir):
+    return W.nodes_of(table(spark, sf_dir, "pages"))
+
+
+@query("SELECT page_id, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) FROM pages) GROUP BY page_id")
+def links(spark, sf_dir):
+    return _nodes(spark, sf_dir).where("tag = 'a'").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT t AS tag, sum(len(regexp_extract_all(html, '<' || t || '[ >]')))::BIGINT AS n FROM pages, (SELECT unnest(['a', 'p', 'b', 'br', 'h1', 'article', 'div']) AS t) GROUP BY t HAVING sum(len(regexp_extract_all(html, '<' || t || '[ >]'))) > 0")
+def nodes_by_tag(spark, sf_dir):
+    return _nodes(spark, sf_dir).where(F.col("tag").isin("a", "p", "b", "br", "h1", "article", "div")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 0::BIGINT AS n")
+def landmark_kept(spark, sf_dir):
+    """Nodes inside landmarks are interactive, or text of such nodes."""
+    return _nodes(spark, sf_dir).where("in_landmark AND NOT interactive AND NOT inside_interactive").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, 'href' AS field, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1)) FROM pages) GROUP BY page_id")
+def content_units(spark, sf_dir):
+    return W.units_of(_nodes(spark, sf_dir)).where("field = 'href'").groupBy("page_id", "field").agg(F.count("*").alias("n"))
+
+
+@query()
+def page_units(spark, sf_dir):
+    """All content units of pages, numbered in document order, with what the patterns find in them."""
+    units = W.numbered_units(W.units_of(_nodes(spark, sf_dir)))
+    return units.select("page_id", "unit", "node", "field", F.length("text").alias("chars"), F.size(pattern_spans(F.col("text"))).alias("n_spans"))
+
+
+@query(f"SELECT id, flags FROM {L.CLASSES.sql()}")
+def class_flags(spark, sf_dir):
+    return L.CLASSES.df(spark).select("id", F.array_join(W.class_flags(F.col("class")), ",").alias("flags"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, CASE WHEN n <= 2000 THEN text ELSE substr(text, (s + 1)::BIGINT, 2000) END AS piece, s // 1950 AS w FROM (SELECT doc_id, text, n, unnest(CASE WHEN n <= 2000 THEN [0] ELSE range(0, n - 50, 1950) END) AS s FROM d))
+SELECT doc_id, w::INTEGER AS w, length(piece)::INTEGER AS chars, md5(piece) AS hash FROM w
+""")
+def text_windows(spark, sf_dir):
+    each = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(window_texts(F.col("text"))).alias("w", "piece"))
+    return each.select("doc_id", "w", F.length("piece").alias("chars"), F.md5(F.col("piece").cast("binary")).alias("hash"))
+
+
+@query("SELECT doc_id, md5(text) AS hash FROM documents WHERE text IS NOT NULL", "merge_windows")
+def merged(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", F.md5(merge_windows(window_texts(F.col("text"))).cast("binary")).alias("hash"))
+
+
+# --- Budgets ---
+
+
+@query("SELECT c AS ctx, least(floor(c * 0.4::DOUBLE) * 4, 12000)::INTEGER AS chars FROM (SELECT unnest([0, 100, 4096, 7499, 7500, 128000])::INTEGER AS c)")
+def char_budget(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in (0, 100, 4096, 7499, 7500, 128000)], "ctx int").select("ctx", budget.char_budget(F.col("ctx")).alias("chars"))
+
+
+@query(f"""
+WITH n AS (SELECT *, CASE WHEN y + h <= 0 THEN -(y + h) WHEN y >= 800 THEN y - 800 ELSE 0 END AS dist FROM {L.NODES.sql()}),
+t AS (SELECT *, CASE WHEN NOT visible THEN 3 WHEN dist > 0 THEN 2 WHEN inside_interactive THEN 0 ELSE 1 END AS tier FROM n),
+r AS (SELECT page_id, node, sum(length(text)) OVER w AS c, count(*) OVER w AS u FROM t WINDOW w AS (PARTITION BY page_id ORDER BY tier, CASE WHEN tier >= 2 THEN dist ELSE 0 END, inside_interactive DESC, node ROWS UNBOUNDED PRECEDING))
+SELECT page_id, node, c <= 50 AND u <= 5 AS kept FROM r
+""")
+def budget_select(spark, sf_dir):
+    nodes = L.NODES.df(spark)
+    box = F.struct("y", "h")
+    units = nodes.withColumn("unit", F.col("node")).withColumn("distance", budget.distance(box, F.lit(800)))
+    return budget.select_units(units, by=["page_id"], max_chars=50, max_units=5).select("page_id", "node", "kept")
+
+
+@query()
+def prune_pages(spark, sf_dir):
+    """Pages after a tight budget: nodes kept and flags set."""
+    nodes = _nodes(spark, sf_dir).withColumns({"in_viewport": F.col("node") < 40, "image_omitted": F.lit(None).cast("string")})
+    units = W.numbered_units(W.units_of(nodes)).join(nodes.select("page_id", "node", "visible", "inside_interactive"), ["page_id", "node"])
+    units = units.withColumn("distance", F.greatest(F.col("node") - 40, F.lit(0)))
+    selected = budget.select_units(units, by=["page_id"], max_chars=2000, max_units=100)
+    return budget.prune(nodes, selected).groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("trimmed").alias("n_trimmed"))
+
+
+@query(f"SELECT id, CASE WHEN w > 0 AND h > 0 AND x1 > x0 AND y1 > y0 THEN x0 || ',' || y0 || ',' || (x1 - x0) || ',' || (y1 - y0) END AS box FROM (SELECT *, greatest(0, floor(x - w * 0.1::DOUBLE))::INT AS x0, greatest(0, floor(y - h * 0.1::DOUBLE))::INT AS y0, least(iw, ceil(x + w + w * 0.1::DOUBLE))::INT AS x1, least(ih, ceil(y + h + h * 0.1::DOUBLE))::INT AS y1 FROM {L.BOXES.sql()})")
+def pad_box(spark, sf_dir):
+    p = B.pad_box(F.struct("x", "y", "w", "h"), F.col("iw"), F.col("ih"))
+    rows = L.BOXES.df(spark).select("id", p.alias("p"))
+    return rows.select("id", F.when(F.col("p").isNotNull(), F.concat_ws(",", "p.x", "p.y", "p.w", "p.h")).alias("box"))
+
+
+@query("SELECT w, h, CASE WHEN greatest(w, h) <= 1024 THEN w ELSE greatest(1, floor(w * (1024.0::DOUBLE / greatest(w, h)) + 0.5)) END::INTEGER AS fw, CASE WHEN greatest(w, h) <= 1024 THEN h ELSE greatest(1, floor(h * (1024.0::DOUBLE / greatest(w, h)) + 0.5)) END::INTEGER AS fh FROM (SELECT unnest([100, 2048, 1025, 5000])::INTEGER AS w), (SELECT unnest([1, 768, 3000])::INTEGER AS h)")
+def fit_within(spark, sf_dir):
+    rows = spark.createDataFrame([(w, h) for w in (100, 2048, 1025, 5000) for h in (1, 768, 3000)], "w int, h int")
+    return rows.select("w", "h", B.fit_within(F.col("w"), F.col("h")).alias("f")).select("w", "h", F.col("f.w").alias("fw"), F.col("f.h").alias("fh"))
+
+
+@query(f"""
+WITH a AS (SELECT * FROM {L.DETECTIONS.sql()}), p AS (SELECT a.img, a.score AS s1, b.score AS s2, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h + b.w * b.h AS t FROM a JOIN a b ON a.img = b.img AND a.score > b.score)
+SELECT img, s1, s2, CASE WHEN t - i > 0 THEN i / (t - i) ELSE 0.0 END AS iou FROM p
+""")
+def iou(spark, sf_dir):
+    a = L.DETECTIONS.df(spark).select("img", F.struct("score", "x", "y", "w", "h").alias("a"))
+    pairs = a.join(a.withColumnRenamed("a", "b"), "img").where("a.score > b.score")
+    return pairs.select("img", F.col("a.score").alias("s1"), F.col("b.score").alias("s2"), B.iou(F.col("a"), F.col("b")).alias("iou"))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 0.9::DOUBLE), (1, 0.7), (2, 0.6), (2, 0.5)) AS t(img, score)")
+def nms(spark, sf_dir):
+    grouped = L.DETECTIONS.df(spark).groupBy("img").agg(F.collect_list(F.struct("score", "x", "y", "w", "h")).alias("d"))
+    return grouped.select("img", F.explode(B.nms(F.col("d"))).alias("k")).select("img", "k.score")
+
+
+@query("SELECT doc_id, substr(sha256(source || '|' || n_chars || 'x' || doc_id), 1, 32) AS img_id FROM documents")
+def img_id(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", B.img_id(F.col("source"), F.col("n_chars"), F.col("doc_id")).alias("img_id"))
+
+
+@query(f"SELECT id, decision FROM {L.CACHE.sql()}")
+def cache_decide(spark, sf_dir):
+    record = F.when(F.col("validated_at").isNotNull(), F.struct("validated_at", "acquired_via", "etag", "last_modified"))
+    return L.CACHE.df(spark).select("id", B.cache_decision(record, F.lit(10_000_000.0)).alias("decision"))
+
+
+@query("WITH c AS (SELECT event_id AS key, event_id * 10000.0::DOUBLE AS validated_at FROM events), f AS (SELECT *, row_number() OVER (ORDER BY validated_at DESC) AS r FROM c WHERE 100000000.0 - validated_at <= 86400000) SELECT key FROM c WHERE 100000000.0 - validated_at > 86400000 UNION ALL SELECT key FROM f WHERE r > 300")
+def cache_prune(spark, sf_dir):
+    records = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), (F.col("event_id") * 10000.0).alias("validated_at"))
+    return budget.prunable(records, F.lit(100_000_000.0))
+
+
+# --- Agents ---
+
+
+@query(f"SELECT session_id, step, idx, reason FROM {L.POLICY_REASONS.sql()}")
+def policy_check(spark, sf_dir):
+    return agent.check_policy(L.ACTIONS.df(spark), L.POLICY_NODES.df(spark), L.POLICY_TOKENS.df(spark)).select("session_id", "step", "idx", "reason")
+
+
+@query(f"WITH r AS (SELECT *, min(CASE WHEN reason IS NOT NULL THEN idx END) OVER (PARTITION BY session_id, step) AS f FROM {L.POLICY_REASONS.sql()}) SELECT session_id, step, idx, CASE WHEN f IS NULL OR idx < f THEN 'run' WHEN idx = f THEN 'blocked' ELSE 'not_run' END AS result FROM r")
+def policy_prefix(spark, sf_dir):
+    return agent.until_blocked(agent.check_policy(L.ACTIONS.df(spark), L.POLICY_NODES.df(spark), L.POLICY_TOKENS.df(spark))).select("session_id", "step", "idx", "result")
+
+
+_ANSWERS = L.Table(
+    "session_id string, step int, attempt int, answer string",
+    [
+        ("s", 1, 1, 'Sure: {"thought":"t","actions":[{"type":"click","node_id":"n1"}],"done":false} ok'), ("s", 2, 1, '{"thought":"t"}'), ("s", 2, 2, '{"thought":"b {","actions":[],"done":true,"answer":"x"}'),
+        ("s", 3, 1, "no json"), ("s", 3, 2, '{"thought":"t","actions":[{"type":"wait","ms":4000}],"done":false}'),
+    ],
+)
+
+
+@query("SELECT * FROM (VALUES ('s', 1::INTEGER, 't', NULL), ('s', 2, 'b {', NULL), ('s', 3, NULL, 'backend_invalid_response')) AS t(session_id, step, thought, reason)")
+def response_retry(spark, sf_dir):
+    return agent.first_valid(_ANSWERS.df(spark)).select("session_id", "step", "response.thought", "reason")
+
+
+@query()
+def observation_json(spark, sf_dir):
+    """Sanitized observations of pages as JSON for the wire."""
+    nodes = _nodes(spark, sf_dir)
+    units = W.numbered_units(W.units_of(nodes)).select(F.col("page_id").cast("string").alias("session_id"), "page_id", F.regexp_extract("page_url", "^[a-z]+://[^/]+", 0).alias("origin"), "unit", "node", "field", "window", "hints", "is_mailto", "text")
+    spotted = D.with_spans(units)
+    found = T.occurrences(spotted)
+    clean = T.rewrite(spotted, found, T.token_map(found))
+    kept = nodes.select("page_id", "node", "parent", "tag", "role", "secret", "visible")
+    dom = agent.contents(clean, kept, by=["page_id"])
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("read").alias("task"), masked_url(F.col("url")).alias("url"), F.lit("").alias("title"))
+    return agent.to_wire(agent.assemble(pages, dom, by=["page_id"]), by=["page_id"])
+
+
+# --- Metrics ---
+
+_LOGS = "(SELECT event_type AS op, value AS duration_ms, CASE WHEN user_id % 3 = 0 THEN value / 2 END AS queue_ms, CASE event_type WHEN 'error' THEN 'fail_closed' ELSE 'ok' END AS outcome FROM events)"
+
+
+def _logs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_type").alias("op"), F.col("value").alias("duration_ms"), F.when(F.col("user_id") % 3 == 0, F.col("value") / 2).alias("queue_ms"), F.when(F.col("event_type") == "error", "fail_closed").otherwise("ok").alias("outcome"))
+
+
+def _at(v: str, p: float) -> str:
+    return f"list_sort(list({v}) FILTER ({v} IS NOT NULL))[(least(count({v}) - 1, floor({p}::DOUBLE * count({v}))) + 1)::INT]"
+
+
+@query(f"SELECT op, count(duration_ms)::BIGINT AS n, {_at('duration_ms', 0.5)} AS p50, {_at('duration_ms', 0.95)} AS p95, {_at('queue_ms', 0.5)} AS queue_p50, {_at('queue_ms', 0.95)} AS queue_p95 FROM {_LOGS} GROUP BY op")
+def op_percentiles(spark, sf_dir):
+    return metrics.op_summary(_logs(spark, sf_dir))
+
+
+@query("SELECT count_if(event_type = 'click')::DOUBLE / nullif(count_if(event_type IN ('click', 'view')), 0) AS hit_rate, count_if(event_type = 'error')::BIGINT AS fail_closed FROM events")
+def cache_hit_rate(spark, sf_dir):
+    logs = _logs(spark, sf_dir)
+    named = F.when(F.col("op") == "click", "image.cache_hit").when(F.col("op") == "view", "image.cache_miss").otherwise(F.col("op"))
+    return metrics.rates(logs.withColumn("op", named))
+
+
+@query("""SELECT * FROM (VALUES ('"a,b",1,x,,,,,,,,,'), ('"q""q",,y,,,,,"l1' || chr(10) || 'l2",,,,'), ('plain,3,z,,,,,ok,,,,')) AS t(line)""")
+def log_csv(spark, sf_dir):
+    empty = {c: F.lit(None).cast("string") for c in metrics.CSV_COLUMNS if c not in ("session_id", "step", "op", "reason")}
+    return csv_lines(L.LOG_FIELDS.df(spark).withColumns(empty))
+
+
+_TRUTH = L.Table("img_id bigint, truth_id bigint, size bigint, x double, y double, w double, h double", [(1, 1, 20, 0.0, 0.0, 20.0, 20.0), (1, 2, 40, 100.0, 100.0, 40.0, 40.0), (2, 3, 20, 0.0, 0.0, 20.0, 20.0)])
+_FOUND = L.Table("img_id bigint, det_id bigint, x double, y double, w double, h double", [(1, 1, 1.0, 1.0, 18.0, 18.0), (1, 2, 2.0, 2.0, 17.0, 17.0), (2, 3, 90.0, 90.0, 5.0, 5.0)])
+
+
+@query("SELECT * FROM (VALUES (20::BIGINT, 2::BIGINT, 1::BIGINT, 0.5::DOUBLE), (40, 1, 0, 0.0)) AS t(size, n, found, recall)")
+def recall_by_size(spark, sf_dir):
+    return metrics.recall_by_size(metrics.match_boxes(_TRUTH.df(spark), _FOUND.df(spark)))
+
+
+@query("SELECT conv_id, string_agg(role || ' ' || n, ', ' ORDER BY role || ' ' || n) AS breakdown FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL) GROUP BY conv_id")
+def role_breakdown(spark, sf_dir):
+    counts = table(spark, sf_dir, "conversations").groupBy("conv_id", F.col("role").alias("kind")).agg(F.count("*").alias("n"))
+    return metrics.breakdown(counts, by=["conv_id"])
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def session_upsert(spark, sf_dir):
+    return budget.latest(table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id", "event_id"), key=["user_id"], order="event_id")
+
+
+@query("SELECT event_id FROM events ORDER BY event_id DESC LIMIT 10000")
+def ring_buffer(spark, sf_dir):
+    return budget.newest(table(spark, sf_dir, "events").select("event_id"), order="event_id", most=10_000)
+
+
+@query("SELECT conv_id, turn, ((row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1) // 200)::INTEGER AS chunk FROM conversations")
+def unit_chunks(spark, sf_dir):
+    from ..operators.windows import numbered_chunks
+
+    return numbered_chunks(table(spark, sf_dir, "conversations"), ["role"], ["conv_id", "turn"]).select("conv_id", "turn", "chunk")
+
+
+@query("SELECT user_id, event_id, coalesce(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 3 AS started FROM events")
+def budget_queue(spark, sf_dir):
+    items = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "click").alias("ok"))
+    return budget.run_with_budget(items, by=["user_id"], order=["event_id"], budget=3).select("user_id", "event_id", "started")
