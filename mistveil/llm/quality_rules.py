@@ -122,23 +122,33 @@ def compile_rules(rules) -> dict[str, Column]:
     return out
 
 
-def measure_quality(docs: DataFrame, *, text: str = "text", rules=RULES) -> DataFrame:
-    """docs with its counts, base_failed, failed_rules and kept.
+def _judged(docs: DataFrame, text: str, rules) -> DataFrame:
+    """measure_quality() with a row number _mv_at.
 
-    Null and empty texts have no words and fail. Repeated rows are judged each
-    on its own. Columns of docs with the names that this adds are replaced.
+    A filter that uses _mv_at stays above the counts: pushed below them, it
+    would compute them anew for each rule that names them.
     """
     counts = measures(F.col(text), F.col("_mv_norm"))
-    added = {*counts, "base_failed", "failed_rules", "kept", "_mv_norm"}
+    added = {*counts, "base_failed", "failed_rules", "kept", "_mv_norm", "_mv_at"}
     kept = [c for c in docs.columns if c not in added]
-    counted = docs.withColumn("_mv_norm", normalized(F.col(text))).select(*kept, *[v.alias(k) for k, v in counts.items()])
+    normal = docs.withColumn("_mv_norm", normalized(F.col(text)))
+    counted = normal.select(*kept, *[v.alias(k) for k, v in counts.items()], F.monotonically_increasing_id().alias("_mv_at"))
     failed = F.array_compact(F.array(*[F.when(~passes, F.lit(name)) for name, passes in compile_rules(rules).items()]))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = counted.withColumn("base_failed", base).withColumn("failed_rules", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
+def measure_quality(docs: DataFrame, *, text: str = "text", rules=RULES) -> DataFrame:
+    """docs with its counts, base_failed, failed_rules and kept.
+
+    Null and empty texts have no words and fail. Repeated rows are judged each
+    on its own. Columns of docs with the names that this adds are replaced.
+    """
+    return _judged(docs, text, rules).drop("_mv_at")
+
+
+def keep_good(docs: DataFrame, *, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
-    marked = docs.select(F.struct(*docs.columns).alias("_mv_row"), F.col(options.pop("text", "text")).alias("text"))
-    return measure_quality(marked, **options).where("kept").select("_mv_row.*")
+    marked = docs.select(F.struct(*docs.columns).alias("_mv_row"), F.col(text).alias("text"))
+    return _judged(marked, "text", rules).where("kept AND _mv_at >= 0").select("_mv_row.*")
