@@ -45,13 +45,16 @@ def fingerprint_of(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * counts > n).view(">i8")[0])
 
 
-def fingerprint(text: Column, width: int = 3) -> Column:
-    @F.pandas_udf("long")
-    def compute(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([fingerprint_of(x, width) for x in batch], dtype="int64")
+def fingerprints(docs: DataFrame, *, id: str, text: str, width: int) -> DataFrame:
+    """id and fp for each row of docs."""
 
-    return compute(text)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "fp": np.array([fingerprint_of(x, width) for x in frame["text"]], np.int64)})
+
+    # A node of its own: a Python function over a column takes no texts that come straight from lambda expressions.
+    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInPandas(run, f"id {docs.schema[id].dataType.simpleString()}, fp long")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -112,7 +115,7 @@ def simhash_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
     other. Null ids never are the smallest but where a group has no others;
     rows with equal ids stay rows of their own.
     """
-    prints = stored(docs.select(F.col(id).alias("id"), fingerprint(F.col(text), width).alias("fp")), "prints")
+    prints = stored(fingerprints(docs, id=id, text=text, width=width), "prints")
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("low")), "fingerprints")
     roots = components(similar_prints(nodes.select("fp")))
     # Only fingerprints with a link to another one are in roots.

@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from mistveil.llm import decontaminate, lines, mixing, quality_rules, simhash
+from mistveil.llm.common import stored
 from mistveil.llm.queries import ORACLE_SQL, QUERIES
 
 COLUMNS = {
@@ -66,7 +67,9 @@ def test_pipeline(spark, folder):
     ids = {r.doc_id for r in rows}
     assert ids <= single - holds and all(r.text == kept[r.doc_id] for r in rows)
     left = docs.where(docs.doc_id.isin(*(single - holds)))
-    out = corpus_pipeline.STAGES[3][1](spark, corpus_pipeline.STAGES[2][1](spark, corpus_pipeline.STAGES[1][1](spark, corpus_pipeline.STAGES[0][1](spark, docs, folder), folder), folder), folder)
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stored(stage(spark, out, folder), name)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {r.doc_id for r in left.collect()}
     planned = {r.doc_id: r.copies for r in mixing.plan_mix(out).collect()}
     assert sorted((r.doc_id, r.copy) for r in rows) == sorted((i, k + 1) for i, n in planned.items() for k in range(n))
