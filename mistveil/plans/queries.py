@@ -58,24 +58,34 @@ def _pattern_sql(kind: str) -> str:
     """Hits per text by doubling what separates hits, since DuckDB's patterns cannot look around."""
     sep = rf"(?:{_DUCK_SPACE}{_DUCK_SPACE})?"
     alone = ("[^A-Za-z0-9]", "[^A-Za-z0-9]", "[^A-Za-z0-9]")
+    digits = ("[^0-9]", "[^0-9]", "[^0-9]")
     forms = {
         "EMAIL": ("[^A-Za-z0-9_.+@-]", "[^A-Za-z0-9_.+-]", "[^A-Za-z0-9_.-]", r"[A-Za-z0-9_.+-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+", "true"),
         "UPI": ("[^A-Za-z0-9_.+@-]", "[^A-Za-z0-9_.+-]", "[^A-Za-z0-9_.-]", r"[A-Za-z0-9_.+-]+@[a-zA-Z]{2,64}", "true"),
-        "CARD": ("[^0-9]", "[^0-9]", "[^0-9]", rf"(?:[0-9]{sep}){{12,18}}[0-9]", _LUHN.format(d="d")),
+        "CARD": (*digits, rf"(?:[0-9]{sep}){{12,18}}[0-9]", _LUHN.format(d="d")),
         "PAN": (*alone, "[A-Z]{5}[0-9]{4}[A-Z]", "substr(raw, 4, 1) IN ('A','B','C','F','G','H','J','L','P','T')"),
         "IFSC": (*alone, "[A-Z]{4}0[A-Z0-9]{6}", "true"),
         "GSTIN": (*alone, "[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]", "true"),
         "VOTER_ID": (*alone, "[A-Z]{3}[0-9]{7}", "true"),
         "PASSPORT": (*alone, "[A-PR-WY][1-9][0-9]{6}", "true"),
+        "AADHAAR": (*digits, rf"[0-9]{{4}}{sep}[0-9]{{4}}{sep}[0-9]{{4}}", f"d[1] NOT IN ('0', '1') AND {_VERHOEFF.format(d='d')}"),
+        "AADHAAR masked": ("[^A-Za-z0-9]", "[^A-Za-z0-9]", "[^0-9]", rf"[Xx]{{4}}{sep}[Xx]{{4}}{sep}[0-9]{{4}}", "true"),
+        # A plus sign is doubled too: one of the two is the boundary.
+        "PHONE": (*digits, rf"(?:[+]91{sep}|0)?[6-9][0-9]{{4}}{sep}[0-9]{{5}}", "true"),
+        "PHONE abroad": (*digits, r"[+][1-9][0-9]{7,14}", "true"),
         "VEHICLE_REG": (*alone, "[A-Z]{2}[0-9]{2}[A-Z]{1,2}[0-9]{4}", "true"),
     }
-    double, before, after, pattern, check = forms[kind]
-    return rf"""
-WITH t AS (SELECT id, regexp_replace(text, '({double})', '\1\1', 'g') AS x FROM {_TEXTS}),
+    parts = []
+    for name in (k for k in forms if k.split(" ")[0] == kind):
+        double, before, after, pattern, check = forms[name]
+        parts.append(
+            rf"""
+(WITH t AS (SELECT id, regexp_replace(text, '({double})', '\1\1', 'g') AS x FROM {_TEXTS}),
 h AS (SELECT id, unnest(regexp_extract_all(x, '(?:^|{before})({pattern})(?:$|{after})', 1)) AS raw FROM t),
 c AS (SELECT id, raw, regexp_replace(raw, '{_DUCK_SPACE}', '', 'g') AS d FROM h)
-SELECT id, count(*)::BIGINT AS n, count(DISTINCT d)::BIGINT AS n_values FROM c WHERE {check} GROUP BY id
-"""
+SELECT id, d FROM c WHERE {check})"""
+        )
+    return f"SELECT id, count(*)::BIGINT AS n, count(DISTINCT d)::BIGINT AS n_values FROM ({' UNION ALL '.join(parts)}) GROUP BY id"
 
 
 def _pattern_query(kind: str):
@@ -91,16 +101,9 @@ def _pattern_query(kind: str):
     return run
 
 
-for _kind in ("EMAIL", "UPI", "CARD", "PAN", "IFSC", "GSTIN", "VOTER_ID", "PASSPORT", "VEHICLE_REG"):
+for _kind in ("EMAIL", "UPI", "CARD", "PAN", "IFSC", "GSTIN", "VOTER_ID", "PASSPORT", "VEHICLE_REG", "AADHAAR", "PHONE"):
     query(_pattern_sql(_kind), f"spans_{_kind.lower()}")(_pattern_query(_kind))
 
-for _kind in ("AADHAAR", "PHONE"):  # their patterns look around in ways that doubling cannot express: canaries only
-    _rows = L.Table("id bigint, n bigint, n_values bigint", [(r[0], 1, 1) for r in L.CANARIES.rows if r[1] == _kind and r[3]])
-    query(f"SELECT * FROM {_rows.sql()} UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE false", f"spans_{_kind.lower()}")(
-        lambda spark, sf_dir, run=_pattern_query(_kind): run(spark, sf_dir).where("id < 0")
-    )
-
-
 @query(f"SELECT id, type, start, end_ FROM {L.CLAIMED.sql()}")
 def span_claims(spark, sf_dir):
     each = L.OVERLAPS.df(spark).select("id", F.explode(pattern_spans(F.col("text"))).alias("s"))
