@@ -53,6 +53,17 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def hash_sample(rows: DataFrame, key: list[str], most: int) -> DataFrame:
+    """All rows if there are at most `most`, else about 95 % of `most` of them, chosen by a hash of key: the same ones on each run.
+
+    A threshold, unlike a sort with a limit, sends nothing to the driver.
+    """
+    n = rows.count()
+    steps = 2**40
+    place = F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(steps))
+    return rows if n <= most else rows.where(place < int(steps * 0.95 * most / n))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     sc = spark.sparkContext

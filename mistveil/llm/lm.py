@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_crc, stored, words
+from .common import ascii_lower, hash_sample, id_crc, stored, words
 
 #: The token at the end of each text; a space, so that no word equals it.
 END = " "
@@ -31,7 +31,7 @@ END = " "
 
 @dataclass(frozen=True)
 class Settings:
-    """lexicon bounds what is broadcast; own_classes <= lexicon words have a class each; sample_docs bounds the documents that give the starting point."""
+    """lexicon bounds what is broadcast; own_classes <= lexicon words have a class each; about sample_docs documents give the starting point."""
 
     lexicon: int = 65_536
     own_classes: int = 1024
@@ -67,6 +67,24 @@ def count_tokens(docs: DataFrame, text: str) -> DataFrame:
     return exploded.groupBy("word").agg(F.count("*").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """The most frequent words, at most `most`, falling by count.
+
+    Words are counted by sixteenths of powers of two of their count, which
+    gives a bounded table; the largest whole classes that fit are taken, so no
+    more than `most` rows reach the driver from all tasks together.
+    """
+    level = F.floor(F.log2("c") * 16)
+    lowest, total = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
+        total += r["count"]
+        if total > most:
+            break
+        lowest = r.level
+    rows = [] if lowest is None else counts.where(level >= lowest).collect()
+    return sorted(rows, key=lambda r: (-r.c, r.word))
+
+
 # --- Sequences, many at a time: rows of a batch are padded to the longest. ---
 
 
@@ -223,7 +241,7 @@ def score_texts(docs: DataFrame, training, *, id: str = "doc_id", text: str = "t
     counts = stored(count_tokens(rows.where("NOT held_out"), "text"), "token-counts")
     n, v, texts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))).first()
 
-    frequent = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(s.lexicon).collect()
+    frequent = most_frequent(counts.where(F.col("word") != END), s.lexicon)
     own = [r.word.encode("utf-8", "replace") for r in frequent[: s.own_classes]]
     top = [(r.word.encode("utf-8", "replace"), r.c) for r in frequent] + [(END.encode(), texts)] * bool(texts)
     class_of = {w: i for i, w in enumerate(own)} | {END.encode(): s.classes - 1}
@@ -248,7 +266,7 @@ def score_texts(docs: DataFrame, training, *, id: str = "doc_id", text: str = "t
     sc = docs.sparkSession.sparkContext
     encoded = stored(_encode(rows.select(F.monotonically_increasing_id().alias("row"), "*"), sc.broadcast(lexicon), s), "encoded")
     learned = encoded.where("NOT held_out")
-    sample = learned.where("n_tokens BETWEEN 20 AND 2000").orderBy(F.xxhash64("row", "id")).select("classes").limit(s.sample_docs).collect()
+    sample = hash_sample(learned.where("n_tokens BETWEEN 20 AND 2000").select("row", "id", "classes"), ["row", "id"], s.sample_docs).collect()
     model = starting_point([np.frombuffer(r.classes, "<u2") for r in sample], base, s)
     if n:
         for _ in range(s.rounds):
