@@ -19,7 +19,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, stored
+from .common import hash_sample, id_crc, stored
 
 #: Common insults.
 INSULTS = ("idiot", "moron", "stupid", "dumb", "loser", "scum", "trash", "garbage", "worthless", "pathetic", "disgusting", "clown", "fool", "imbecile", "jerk", "retard", "bastard", "bitch", "whore", "slut", "crap", "asshole", "vermin", "filth")
@@ -36,10 +36,10 @@ WINDOW, NEAR = 50, 5
 
 
 def labelled_sample(labels: DataFrame, *, id: str, label: str, usable: Column, max_labels: int) -> DataFrame:
-    """At most max_labels rows id, label, half (0 or 1), the same ones on each run; ids with several labels take the largest."""
+    """About max_labels rows id, label, half (0 or 1) at most, the same ones on each run; ids with several labels take the largest."""
     rows = labels.where(usable & F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_mv_id")).agg(F.max(label).cast("int").alias("_mv_label"))
-    mixed = F.xxhash64(F.lit("sample"), F.col("_mv_id").cast("string"))
-    return stored(rows.orderBy(mixed, "_mv_id").limit(max_labels).withColumn("_mv_half", F.pmod(mixed, F.lit(2)).cast("int")), "labelled")
+    half = F.pmod(F.xxhash64(F.lit("half"), "_mv_id"), F.lit(2)).cast("int")
+    return stored(hash_sample(rows, ["_mv_id"], max_labels).withColumn("_mv_half", half), "labelled")
 
 
 def learn_lexicon(docs: DataFrame, sample: DataFrame, *, id: str, text: str, min_docs: int = 4, min_weight: float = 2.0, most: int = 5000) -> dict[str, float]:
