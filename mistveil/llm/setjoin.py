@@ -1,0 +1,104 @@
+"""Exact join of word-shingle sets by Jaccard similarity, with prefix filtering.
+
+Under one fixed order of all shingles, two sets of similarity s or more share
+one of their first n - ceil(s * n) + 1 shingles, n being a set's size. The join
+key is a shingle of that prefix, and candidates are confirmed on the whole
+sets, so that no pair is missed. Any order is exact. Shingles of rare buckets
+come first, which keeps common ones out of prefixes.
+"""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import digest, stored
+
+#: Shingles are counted in so many buckets for their order; this bounds what reaches the driver and the tasks.
+BUCKETS = 1 << 18
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Distinct hashes of the shingles of a text's words, A-Z lower-cased, in rising order; a shorter text is one shingle."""
+    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    if not tokens:
+        return np.zeros(0, np.int64)
+    if len(tokens) < width:
+        grams, n = [b" ".join(tokens)], 1
+    else:
+        n = len(tokens) - width + 1
+        grams = map(b" ".join, zip(*(tokens[i:] for i in range(width)), strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, n).view(np.int64))
+
+
+def shared_at_least(n: int, similarity: float) -> int:
+    """How many shingles of a set of n any set of the given similarity or more holds."""
+    return int(np.ceil(similarity * n - 1e-9))
+
+
+def shingle_sets(docs: DataFrame, *, id: str, text: str, width: int) -> DataFrame:
+    """A row for each row of docs: id, the 128-bit digest of the text (t1, t2) and of its set (s1, s2), n, shingles."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for text_ in frame["text"]:
+                found = shingle_set(text_, width).tobytes()
+                out.append((*(h - (1 << 63) for h in (xxhash.xxh64_intdigest(found, 1), xxhash.xxh64_intdigest(found, 2))), len(found) // 8, found))
+            yield frame[["id", "t1", "t2"]].join(pd.DataFrame(out, columns=["s1", "s2", "n", "shingles"], index=frame.index))
+
+    t1, t2 = digest(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    rows = docs.select(F.col(id).alias("id"), t1.alias("t1"), t2.alias("t2"), F.col(text).cast("string").alias("text"))
+    return rows.mapInPandas(run, f"id {docs.schema[id].dataType.simpleString()}, t1 long, t2 long, s1 long, s2 long, n int, shingles binary")
+
+
+def _bucket_counts(sets: DataFrame) -> np.ndarray:
+    def run(frames):
+        total = np.zeros(BUCKETS, np.int64)
+        for frame in frames:
+            total += np.bincount(np.frombuffer(b"".join(frame["shingles"]), "<i8") & (BUCKETS - 1), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
+
+    summed = sets.select("shingles").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[summed.bucket.to_numpy()] = summed.n.to_numpy()
+    return counts
+
+
+def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets: distinct node, n, shingles. Pairs u < v of nodes whose sets have the given Jaccard similarity or more, each once."""
+    counts = sets.sparkSession.sparkContext.broadcast(_bucket_counts(sets))
+
+    def run(frames):
+        order = counts.value
+        for frame in frames:
+            keys = []
+            for blob in frame["shingles"]:
+                x = np.frombuffer(blob, "<i8")
+                first = np.lexsort((x, order[x & (BUCKETS - 1)]))
+                keys.append(x[first[: len(x) - shared_at_least(len(x), similarity) + 1]])
+            yield pd.DataFrame({"node": frame["node"], "n": frame["n"], "keys": keys})
+
+    prefixes = sets.where("n > 0").select("node", "n", "shingles").mapInPandas(run, "node long, n int, keys array<long>")
+    keyed = prefixes.select("node", "n", F.explode("keys").alias("key"))
+    a, b = keyed.select(F.col("node").alias("u"), F.col("n").alias("nu"), "key"), keyed.select(F.col("node").alias("v"), F.col("n").alias("nv"), "key")
+    like = F.least("nu", "nv") >= F.ceil(F.lit(similarity) * F.greatest("nu", "nv") - F.lit(1e-9))
+    pairs = stored(a.join(b, "key").where((F.col("u") < F.col("v")) & like).select("u", "v").distinct(), "set-pairs")
+
+    def confirmed(frames):
+        for frame in frames:
+            keep = []
+            for x, y in zip(frame["a"], frame["b"], strict=True):
+                x, y = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield frame.loc[keep, ["u", "v"]]
+
+    whole = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    return whole.select("u", "v", "a", "b").mapInPandas(confirmed, "u long, v long")

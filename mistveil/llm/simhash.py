@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .graph import components
+from .setjoin import shingle_sets, similar_sets
 
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 4, 16, 3
 
@@ -126,9 +127,23 @@ def simhash_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
     return prints.join(grouped, "fp").select(F.col("id").alias(id), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """docs less near-duplicates: of each group the row with the smallest id stays; of rows with equal ids, one."""
-    groups = stored(simhash_groups(docs, id=id, text=text, width=width).select(F.col(id).alias("_mv_id"), "component_id"), "members")
+def near_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs less near-duplicates: of each group the row with the smallest id stays; of rows with equal ids, one.
+
+    Links are between rows whose sets of `width`-word shingles have the given
+    Jaccard similarity or more. Fingerprints lie 10 bits apart or so there,
+    too far for segments of 64 bits to select by, so the exact join of sets
+    finds the links. Texts without words have equal sets.
+    """
+    sets = stored(shingle_sets(docs, id=id, text=text, width=width), "shingle-sets")
+    nodes = sets.groupBy("s1", "s2").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    nodes = stored(nodes.withColumn("node", F.xxhash64("s1", "s2")), "sets")
+    roots = components(similar_sets(nodes, similarity))
+    lows = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = lows.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = stored(lows.join(lowest, "root").select("node", "component_id"), "named")
+    members = sets.select(F.col("id").alias("_mv_id"), F.xxhash64("s1", "s2").alias("node")).join(named, "node")
+    groups = stored(members.select("_mv_id", "component_id"), "members")
     gone = groups.where(~F.col("_mv_id").eqNullSafe(F.col("component_id"))).select("_mv_id")
     repeated = groups.where(F.col("_mv_id").eqNullSafe(F.col("component_id"))).groupBy("_mv_id").count().where("count > 1").select("_mv_id")
     repeated = stored(repeated, "repeated")
