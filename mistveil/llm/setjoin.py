@@ -42,7 +42,7 @@ def shared_at_least(n: int, similarity: float) -> int:
 
 
 def shingle_sets(docs: DataFrame, *, id: str, text: str, width: int) -> DataFrame:
-    """A row for each row of docs: id, the 128-bit digest of the text (t1, t2) and of its set (s1, s2), n, shingles."""
+    """A row for each row of docs: a number (fixed once stored), id, the 128-bit digest of the text (t1, t2) and of its set (s1, s2), n, shingles."""
 
     def run(frames):
         for frame in frames:
@@ -50,11 +50,11 @@ def shingle_sets(docs: DataFrame, *, id: str, text: str, width: int) -> DataFram
             for text_ in frame["text"]:
                 found = shingle_set(text_, width).tobytes()
                 out.append((*(h - (1 << 63) for h in (xxhash.xxh64_intdigest(found, 1), xxhash.xxh64_intdigest(found, 2))), len(found) // 8, found))
-            yield frame[["id", "t1", "t2"]].join(pd.DataFrame(out, columns=["s1", "s2", "n", "shingles"], index=frame.index))
+            yield frame[["row", "id", "t1", "t2"]].join(pd.DataFrame(out, columns=["s1", "s2", "n", "shingles"], index=frame.index))
 
     t1, t2 = digest(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id).alias("id"), t1.alias("t1"), t2.alias("t2"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(run, f"id {docs.schema[id].dataType.simpleString()}, t1 long, t2 long, s1 long, s2 long, n int, shingles binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), t1.alias("t1"), t2.alias("t2"), F.col(text).cast("string").alias("text"))
+    return rows.mapInPandas(run, f"row long, id {docs.schema[id].dataType.simpleString()}, t1 long, t2 long, s1 long, s2 long, n int, shingles binary")
 
 
 def _bucket_counts(sets: DataFrame) -> np.ndarray:
@@ -100,5 +100,7 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield frame.loc[keep, ["u", "v"]]
 
-    whole = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    ends = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "candidates")
+    held = stored(sets.select("node", "shingles").join(ends, "node", "left_semi"), "candidate-sets")
+    whole = pairs.join(held.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     return whole.select("u", "v", "a", "b").mapInPandas(confirmed, "u long, v long")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import digest, stored
 from .graph import components
 from .setjoin import shingle_sets, similar_sets
 
@@ -128,7 +128,11 @@ def simhash_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
 
 
 def near_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs less near-duplicates: of each group the row with the smallest id stays; of rows with equal ids, one.
+    """docs less near-duplicates: of each group one row stays, the one with the smallest id, then the smallest digest of its text.
+
+    Rows are told apart by id and text, so repeated and null ids take no row
+    of another text along; a null id comes after all others. Of rows equal in
+    both one stays, the first by its columns as JSON.
 
     Links are between rows whose sets of `width`-word shingles have the given
     Jaccard similarity or more. Fingerprints lie 10 bits apart or so there,
@@ -136,17 +140,20 @@ def near_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width
     finds the links. Texts without words have equal sets.
     """
     sets = stored(shingle_sets(docs, id=id, text=text, width=width), "shingle-sets")
-    nodes = sets.groupBy("s1", "s2").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    nodes = stored(nodes.withColumn("node", F.xxhash64("s1", "s2")), "sets")
-    roots = components(similar_sets(nodes, similarity))
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "t1", "t2")
+    nodes = stored(sets.groupBy("s1", "s2").agg(F.min(row).alias("low"), F.min("row").alias("node")), "sets")
+    copies = stored(sets.select("row", "s1", "s2").join(nodes, ["s1", "s2"]).where("row <> node").select("row"), "copies")
+    single = sets.select("row", "n", "shingles").join(copies, "row", "left_anti").withColumnRenamed("row", "node")
+    roots = components(similar_sets(single, similarity))
     lows = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = lows.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = stored(lows.join(lowest, "root").select("node", "component_id"), "named")
-    members = sets.select(F.col("id").alias("_mv_id"), F.xxhash64("s1", "s2").alias("node")).join(named, "node")
-    groups = stored(members.select("_mv_id", "component_id"), "members")
-    gone = groups.where(~F.col("_mv_id").eqNullSafe(F.col("component_id"))).select("_mv_id")
-    repeated = groups.where(F.col("_mv_id").eqNullSafe(F.col("component_id"))).groupBy("_mv_id").count().where("count > 1").select("_mv_id")
-    repeated = stored(repeated, "repeated")
-    same = docs[id].eqNullSafe(F.col("_mv_id"))
-    single = docs.join(stored(gone.unionByName(repeated).distinct(), "gone"), same, "left_anti")
-    return single.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id]))
+    lowest = lows.groupBy("root").agg(F.min("low").alias("low"))
+    rows = sets.groupBy("id", "t1", "t2").agg(F.count("*").alias("n"))
+    stays = lowest.select("low.*").drop("no_id").withColumnRenamed("id", "_mv_id")
+    same_row = F.col("id").eqNullSafe(F.col("_mv_id")) & (rows["t1"] == stays["t1"]) & (rows["t2"] == stays["t2"])
+    chosen = stored(rows.join(stays, same_row).select("_mv_id", F.struct(rows["t1"], rows["t2"]).alias("_mv_text"), "n"), "chosen")
+    hashes = F.struct(*[h.alias(f"t{i}") for i, h in enumerate(digest(F.coalesce(F.col(text).cast("string"), F.lit(""))), 1)])
+    same = docs[id].eqNullSafe(F.col("_mv_id")) & (hashes == F.col("_mv_text"))
+    single = docs.join(chosen.where("n = 1"), same, "left_semi")
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    again = docs.join(chosen.where("n > 1"), same).groupBy("_mv_id", "_mv_text").agg(F.min_by(whole, F.to_json(whole)).alias("_mv_row"))
+    return single.unionByName(again.select("_mv_row.*"))

@@ -36,3 +36,14 @@ def test_near_copies_at_jaccard_of_at_least_08_go(spark):
             group[a] = group[b] = min(group[a], group[b])
     frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
     assert {r.doc_id for r in simhash.near_dedup(frame).collect()} == {i for i, g in enumerate(group) if i == g}
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    rng = random.Random(21)
+    a, b, c, d, e = (" ".join(text_of(rng, 80)) for _ in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, d), (2, e), (2, e), (3, e), (None, None), (4, "")]
+    frame = spark.createDataFrame([(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)], SCHEMA)
+    kept = simhash.near_dedup(frame)
+    assert kept.columns == frame.columns
+    got = sorted((repr(r.doc_id), r.text or "") for r in kept.collect())
+    assert got == sorted((repr(i), t) for i, t in [(1, a), (None, b), (None, c), (2, d), (2, e), (4, "")])
