@@ -47,12 +47,27 @@ def token_sources(found: DataFrame, tokens: DataFrame) -> DataFrame:
     return joined.groupBy("session_id", "origin", "token").agg(F.array_sort(F.collect_list(F.struct("unit", "start"))).alias("sources"))
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """left with right's other columns where keys are equal, null to null."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def rewrite(units: DataFrame, found: DataFrame, tokens: DataFrame) -> DataFrame:
-    """units with their spans replaced by tokens in column text; other columns stay."""
-    parts = found.join(tokens.select(*KEY, "token"), list(KEY)).groupBy("session_id", "unit")
-    parts = parts.agg(F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("parts"))
+    """units with their spans replaced by tokens in column text; other columns stay.
+
+    Null keys are keys like others. Rows equal in session, origin, unit and
+    text share their spans. A row whose spans are not in found stays, but its
+    text is null, so that nothing gets out.
+    """
+    key = ("session_id", "origin", "unit")
+    parts = _joined(found, tokens.select(*KEY, "token"), KEY).groupBy(*key)
+    parts = parts.agg(F.array_sort(F.collect_set(F.struct("start", "end", "token"))).alias("parts"))
     plain, touched = units.where(F.size("spans") == 0), units.where(F.size("spans") > 0)
-    changed = touched.join(parts, ["session_id", "unit"]).withColumn("text", replaced(F.col("text"), F.col("parts"))).drop("parts")
+    changed = _joined(touched, parts, key, "left").withColumn("text", F.when(F.col("parts").isNotNull(), replaced(F.col("text"), F.col("parts")))).drop("parts")
     return plain.unionByName(changed.select(*plain.columns))
 
 

@@ -127,10 +127,10 @@ def verhoeff(spark, sf_dir):
 
 
 def _doc_units(spark, sf_dir):
-    """Documents as units: each document is a session of one unit."""
+    """Documents as units: each document is a session; rows that repeat an id are units of it, numbered by a hash of source and text."""
     docs = table(spark, sf_dir, "documents")
     origin = F.concat(F.lit("https://"), F.col("source"), F.lit(".example"))
-    units = docs.select(F.col("doc_id").cast("string").alias("session_id"), origin.alias("origin"), F.lit(0).alias("unit"), F.coalesce("text", F.lit("")).alias("text"))
+    units = docs.select(F.col("doc_id").cast("string").alias("session_id"), origin.alias("origin"), F.xxhash64("source", "text").alias("unit"), F.coalesce("text", F.lit("")).alias("text"))
     return D.with_spans(units)
 
 
