@@ -1,6 +1,8 @@
 """Sources, sinks, metrics and streams."""
 
 import json
+from datetime import datetime, timedelta
+from threading import Thread
 
 from pyspark.sql import functions as F
 
@@ -89,18 +91,30 @@ def test_responses(spark):
 
 
 def test_session_stream(spark, tmp_path):
-    schema = "session_id string, origin string, unit long, text string, ends boolean"
+    schema = "session_id string, origin string, unit long, ts timestamp, text string, ends boolean"
+    at = lambda minute: datetime(2024, 1, 1) + timedelta(minutes=minute)
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
     q = sessions.session_tokens(stream).writeStream.format("memory").queryName("tokens_out").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    batches = [
+        [("s", "o", 1, at(0), "a@b.example and c@d.example", False), ("t", "o", 1, at(0), "x@y.example", False)],
+        [("s", "p", 2, at(1), "C@d.example", False), ("s", "o", 3, at(2), "a@b.example", True)],
+        [("s", "o", 4, at(3), "new@x.example", False), ("s", "o", 5, None, "lost@x.example", False)],
+        [("u", "o", 1, at(60), "late@x.example", False)],  # the watermark ends session t
+        [("t", "o", 9, at(61), "z@y.example", False)],
+    ]
     try:
-        for i, rows in enumerate(([("s", "o", 1, "a@b.example and c@d.example", False)], [("s", "p", 2, "C@d.example", False), ("s", "o", 3, "a@b.example", True)], [("s", "o", 4, "new@x.example", False)])):
+        for rows in batches:
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-            q.processAllAvailable()
+            ran = Thread(target=q.processAllAvailable, daemon=True)
+            ran.start()
+            ran.join(60)
+            assert not ran.is_alive()
     finally:
         q.stop()
-    got = [(r.unit, r.token) for r in spark.table("tokens_out").orderBy("unit", "start").collect()]
-    assert got == [(1, "[PII_EMAIL_1]"), (1, "[PII_EMAIL_2]"), (2, "[PII_EMAIL_3]"), (3, "[PII_EMAIL_1]"), (4, "[PII_EMAIL_1]")]
+    got = [(r.session_id, r.unit, r.token) for r in spark.table("tokens_out").orderBy("session_id", "unit", "start").collect()]
+    first = [("s", 1, "[PII_EMAIL_1]"), ("s", 1, "[PII_EMAIL_2]"), ("s", 2, "[PII_EMAIL_3]"), ("s", 3, "[PII_EMAIL_1]"), ("s", 4, "[PII_EMAIL_1]")]
+    assert got == [*first, ("t", 1, "[PII_EMAIL_1]"), ("t", 9, "[PII_EMAIL_1]"), ("u", 1, "[PII_EMAIL_1]")]
 
 
 def test_log_stream(spark, tmp_path):
