@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,11 +66,37 @@ def hash_sample(rows: DataFrame, key: list[str], most: int) -> DataFrame:
     return rows if n <= most else rows.where(place < int(steps * 0.95 * most / n))
 
 
+def maybe_among(keys: DataFrame, column: str, most_bits: int = 1 << 27):
+    """A function of a column of longs: false only for values that keys does not hold in `column`.
+
+    A bitmap of eight bits a key, of most_bits (16 MB) at most, decides; beyond
+    that it lets more values pass. It only saves work before an exact join.
+    """
+    n = keys.count()
+    bits = min(most_bits, 1 << max(10, (8 * n).bit_length()))
+    spot = lambda c: F.pmod(F.xxhash64(F.lit("spot"), c), F.lit(bits))
+    at = spot(F.col(column))
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(at % 64 AS INT))")
+    found = keys.select(at.alias("at")).groupBy(F.expr("CAST(at DIV 64 AS INT)").alias("i")).agg(F.bit_or(bit).alias("x")).toPandas()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[found["i"].to_numpy()] = found["x"].to_numpy()
+    held = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def check(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((held.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda c: check(spot(c))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on this machine."""
     sc = spark.sparkContext
-    if found := sc.getConf().get("spark.checkpoint.dir"):
+    if found := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
+    if not sc.master.split("[")[0] == "local" and not sc._jsc.sc().getCheckpointDir().isDefined():
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="mistveil-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")

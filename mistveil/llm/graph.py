@@ -19,14 +19,14 @@ def _lowest(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = _both_ways(edges)
-    linked = both.join(_lowest(both), "u").where(F.col("v") > F.col("u"))
+    linked = both.join(_lowest(both).hint("merge"), "u").where(F.col("v") > F.col("u"))
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     lowest = _lowest(down)
-    to_low = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    to_low = down.join(lowest.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return to_low.unionByName(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 

@@ -1,17 +1,28 @@
 """SimHash near-dedup with pigeonring filtering.
 
-Fingerprints of 64 bits link at a few differing bits. A fingerprint is a ring
-of segments. If two differ in at most t bits over m segments, then from some
-segment on every chain of k segments has at most k * t / m differences. With
-m = t + 1 that is 0 in the first segment, 1 in the first two, and so on. The
-join key is the first segment and the second with up to one bit changed; the
-rest of the chain is checked inside the join, before the full distance.
+A fingerprint is a ring of segments. If two differ in at most t bits over m
+segments, then from some segment on every chain of k segments has at most
+k * t / m differences. Chains are checked inside joins, before the distance of
+the whole fingerprints.
+
+simhash_groups() links fingerprints of 64 bits at 3 or fewer differing bits,
+exactly: with m = t + 1 a chain has 0 differences in its first segment, 1 in
+the first two, and so on; the join key is the first segment and the second
+with up to one bit changed.
+
+near_dedup() links texts by the Jaccard similarity of their shingle sets. At a
+similarity of 0.8 fingerprints differ in 15 % of their bits, too far for 64
+bits to tell apart from others, so they have 512 bits here. Keys are equal
+chains at several places of the ring, as many as the wanted recall takes; the
+rest of the ring follows in chains with budgets, and exact sets confirm.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, repeat
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -19,9 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, stored
+from .common import digest, maybe_among, stored
 from .graph import components
-from .setjoin import shingle_sets, similar_sets
 
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 4, 16, 3
 
@@ -114,20 +124,194 @@ def simhash_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
     component_id is the smallest id reachable over links (the own id
     included). Documents without words have fingerprint zero, linked like any
     other. Null ids never are the smallest but where a group has no others;
-    rows with equal ids stay rows of their own.
+    rows with equal ids stay rows of their own. An empty table gives no rows;
+    no other column of docs is read, whatever its name.
     """
     prints = stored(fingerprints(docs, id=id, text=text, width=width), "prints")
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("low")), "fingerprints")
     roots = components(similar_prints(nodes.select("fp")))
     # Only fingerprints with a link to another one are in roots.
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    linked = stored(rooted.join(lowest, "root").select("fp", "component"), "linked")
-    grouped = stored(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id")), "groups")
-    return prints.join(grouped, "fp").select(F.col("id").alias(id), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    linked = stored(rooted.join(lowest.hint("merge"), "root").select("fp", "component"), "linked")
+    grouped = stored(nodes.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id")), "groups")
+    return prints.join(grouped.hint("merge"), "fp").select(F.col("id").alias(id), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+#: Longs of a wide fingerprint.
+LONGS = 8
+WIDE = 64 * LONGS
+_ODD = np.random.default_rng(3).integers(1 << 62, 1 << 63, LONGS, dtype=np.uint64) * 2 + 1
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Distinct hashes of the shingles of a text's words, A-Z lower-cased, in rising order; a shorter text is one shingle."""
+    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    if not tokens:
+        return np.zeros(0, np.int64)
+    if len(tokens) < width:
+        grams, n = [b" ".join(tokens)], 1
+    else:
+        n = len(tokens) - width + 1
+        grams = map(b" ".join, zip(*(tokens[i:] for i in range(width)), strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, n).view(np.int64))
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of WIDE bits of a set of hashes, each turned into LONGS of its own."""
+    counts = np.zeros(WIDE, np.int64)
+    for at in range(0, len(hashes), 8192):
+        turned = hashes[at : at + 8192].view(np.uint64)[:, None] * _ODD
+        turned ^= turned >> np.uint64(29)
+        turned *= np.uint64(0x9E3779B97F4A7C15)
+        turned ^= turned >> np.uint64(32)
+        counts += np.unpackbits(turned.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * counts > len(hashes)).view(np.int64)
+
+
+@dataclass(frozen=True)
+class Ring:
+    """How wide fingerprints are compared.
+
+    bits: of a key, so many that about `crowd` unrelated texts share one at any
+    size of the corpus. places: where on the ring keys start, as many as give
+    two texts at the similarity the wanted chance of an equal key. The budget
+    of a chain is proportional to its length, and a margin of two standard
+    deviations of what two such texts differ by.
+    """
+
+    bits: int
+    places: int
+    rate: float
+
+    @classmethod
+    def of(cls, n: int, similarity: float, recall: float, crowd: int = 512) -> Ring:
+        rate = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+        bits = max(8, ceil(log2(max(n, 1) / crowd)))
+        hit = (1 - rate) ** bits
+        return cls(bits, 1 if hit >= 1 else ceil(log(1 - recall) / log(1 - hit)), rate)
+
+    def budget(self, bits: int) -> int:
+        return int(bits * self.rate + 2 * sqrt(bits * self.rate * (1 - self.rate)))
+
+    def turned(self, place: int) -> list[Column]:
+        """The columns f0, f1, ... of a fingerprint, turned so that the place stands in front."""
+        at, by = divmod(place * WIDE // self.places, 64)
+        long = lambda k: F.col(f"f{(at + k) % LONGS}")
+        return [F.shiftleft(long(k), by).bitwiseOR(F.shiftrightunsigned(long(k + 1), 64 - by)) if by else long(k) for k in range(LONGS)]
+
+    def keyed(self, nodes: DataFrame, *columns: str, longs: int = LONGS) -> DataFrame:
+        """A row for each node and place: key, the first longs of the turned fingerprint, the given columns."""
+        rows = []
+        for i in range(self.places):
+            turned = self.turned(i)
+            key = F.shiftleft(F.lit(i).cast("long"), self.bits).bitwiseOR(F.shiftrightunsigned(turned[0], 64 - self.bits))
+            rows.append(F.struct(key.alias("key"), *[t.alias(f"r{k}") for k, t in enumerate(turned[:longs])]))
+        return nodes.select(*columns, F.inline(F.array(*rows)))
+
+    def close(self, longs: int = LONGS) -> Column:
+        """Whether every chain of 1, 2, 4, ... longs of a and b stays within its budget."""
+        out, so_far = F.lit(True), F.lit(0)
+        for k in range(longs):
+            so_far = so_far + F.bit_count(F.col(f"a.r{k}").bitwiseXOR(F.col(f"b.r{k}")))
+            if (k + 1) & k == 0:
+                out = out & (so_far <= self.budget(64 * (k + 1)))
+        return out
+
+
+def _like_sizes(similarity: float) -> Column:
+    return F.least("a.n", "b.n") >= F.ceil(F.lit(similarity) * F.greatest("a.n", "b.n") - F.lit(1e-9))
+
+
+def _wide_prints(docs: DataFrame, *, id: str, text: str, width: int) -> DataFrame:
+    """A row for each row of docs: a number (fixed once stored), id, the 128-bit digests of its text (t1, t2) and of its set (s1, s2), n, f0, f1, ..."""
+
+    def run(frames):
+        for frame in frames:
+            out, prints = [], np.zeros((len(frame), LONGS), np.int64)
+            for k, text_ in enumerate(frame["text"]):
+                found = shingle_set(text_, width)
+                raw = found.tobytes()
+                out.append((*(h - (1 << 63) for h in (xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2))), len(found)))
+                prints[k] = wide_print(found)
+            own = pd.DataFrame(out, columns=["s1", "s2", "n"], index=frame.index).assign(**{f"f{k}": prints[:, k] for k in range(LONGS)})
+            yield frame[["row", "id", "t1", "t2"]].join(own)
+
+    t1, t2 = digest(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), t1.alias("t1"), t2.alias("t2"), F.col(text).cast("string").alias("text"))
+    longs = ", ".join(f"f{k} long" for k in range(LONGS))
+    return rows.mapInPandas(run, f"row long, id {docs.schema[id].dataType.simpleString()}, t1 long, t2 long, s1 long, s2 long, n int, {longs}")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, *, id: str, text: str, width: int, similarity: float) -> DataFrame:
+    """The pairs u, v of nodes whose shingle sets have the given similarity. Only texts of such nodes are shuffled."""
+
+    def sets(frames):
+        for frame in frames:
+            yield pd.DataFrame({"node": frame["node"], "shingles": [shingle_set(t, width).tobytes() for t in frame["text"]]})
+
+    def confirm(frames):
+        for frame in frames:
+            keep = []
+            for x, y in zip(frame["x"], frame["y"], strict=True):
+                x, y = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield frame.loc[keep, ["u", "v"]]
+
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    ends = stored(nodes.select("node", "low").join(ends.hint("merge"), "node").select("node", F.col("low.id").alias("_id"), F.col("low.t1").alias("_t1"), F.col("low.t2").alias("_t2")), "candidates")
+    t1, t2 = digest(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    texts = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), t1.alias("t1"), t2.alias("t2")).where(maybe_among(ends, "_t1")(t1))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
+    held = texts.join(ends.hint("merge"), same).dropDuplicates(["node"]).select("node", "text")
+    held = stored(held.mapInPandas(sets, "node long, shingles binary"), "candidate-sets")
+    x, y = (held.select(F.col("node").alias(e), F.col("shingles").alias(s)).hint("merge") for e, s in (("u", "x"), ("v", "y")))
+    return stored(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInPandas(confirm, "u long, v long"), "links")
+
+
+def similar_nodes(nodes: DataFrame, docs: DataFrame, *, id: str, text: str, width: int, similarity: float, recall: float) -> DataFrame:
+    """Components (node, root) of distinct sets: nodes has node, low (id, t1, t2 of a row), n, f0, f1, ...
+
+    A large group of near copies has links by the square of its size. So each
+    node is first tried with two nodes of each key, chosen by hash; what these
+    links join is a part. Then pairs of different parts are tried, all of
+    them; in a key that one part fills, its nodes are not compared with one
+    another again, and all others are compared with every node.
+    """
+    options = {"id": id, "text": text, "width": width, "similarity": similarity}
+    nodes_ = nodes.where("n > 0")
+    ring = Ring.of(nodes_.count(), similarity, recall)
+    short = ring.keyed(nodes_, "node", "n", longs=1)
+    by_hash = F.struct(F.xxhash64("node", "key").alias("h"), "node", "n", "r0")
+    leaders = stored(short.groupBy("key").agg(F.min(by_hash).alias("first"), F.max(by_hash).alias("last"), F.count("*").alias("size")).where("size > 1"), "leaders")
+    each = F.explode(F.array_distinct(F.array("first", "last")))
+    tried = short.alias("a").join(leaders.select("key", each.alias("b")).hint("merge"), "key")
+    tried = tried.where((F.col("a.node") != F.col("b.node")) & ring.close(1) & _like_sizes(similarity))
+    tried = stored(tried.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct(), "tried")
+    links = _confirmed(tried, nodes, docs, **options)
+    parts = components(links)
+
+    whole = nodes_.join(parts.hint("merge"), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    whole = stored(whole.select("node", "n", "part", *[f"f{k}" for k in range(LONGS)]), "parts")
+    lead = leaders.select("key", F.col("first.node").alias("node")).join(parts.hint("merge"), "node", "left").select("key", F.coalesce("root", "node").alias("lead"))
+    lead = stored(lead, "lead-parts")
+    rows = ring.keyed(whole, "node", "n", "part")
+    others = rows.join(lead.hint("merge"), "key").where("part <> lead")
+    once = (F.col("a.node") < F.col("b.node")) | (F.col("b.part") == F.col("a.lead"))
+    met = others.alias("a").join(rows.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & once & ring.close() & _like_sizes(similarity))
+    met = stored(met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct(), "met")
+    more = _confirmed(met, nodes, docs, **options)
+    # A part stands for its nodes: only links between parts are joined up again.
+    part_of = whole.select("node", "part")
+    for end in ("u", "v"):
+        more = more.join(part_of.withColumnsRenamed({"node": end, "part": f"{end}p"}).hint("merge"), end)
+    roots = components(more.select(F.col("up").alias("u"), F.col("vp").alias("v")))
+    joined = part_of.join(roots.select(F.col("node").alias("part"), "root").hint("merge"), "part", "left")
+    return joined.select("node", F.coalesce("root", "part").alias("root"))
+
+
+def near_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
     """docs less near-duplicates: of each group one row stays, the one with the smallest id, then the smallest digest of its text.
 
     Rows are told apart by id and text, so repeated and null ids take no row
@@ -135,25 +319,25 @@ def near_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width
     both one stays, the first by its columns as JSON.
 
     Links are between rows whose sets of `width`-word shingles have the given
-    Jaccard similarity or more. Fingerprints lie 10 bits apart or so there,
-    too far for segments of 64 bits to select by, so the exact join of sets
-    finds the links. Texts without words have equal sets.
+    Jaccard similarity or more, all confirmed on the whole sets; `recall` is
+    the chance that fingerprints of two texts right at the similarity meet
+    (more alike texts meet more surely). Null and empty texts have equal
+    sets; an empty table gives no rows; columns of any names stay as they are.
     """
-    sets = stored(shingle_sets(docs, id=id, text=text, width=width), "shingle-sets")
+    sets = stored(_wide_prints(docs, id=id, text=text, width=width), "wide-prints")
     row = F.struct(F.col("id").isNull().alias("no_id"), "id", "t1", "t2")
-    nodes = stored(sets.groupBy("s1", "s2").agg(F.min(row).alias("low"), F.min("row").alias("node")), "sets")
-    copies = stored(sets.select("row", "s1", "s2").join(nodes, ["s1", "s2"]).where("row <> node").select("row"), "copies")
-    single = sets.select("row", "n", "shingles").join(copies, "row", "left_anti").withColumnRenamed("row", "node")
-    roots = components(similar_sets(single, similarity))
-    lows = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    wide = [F.first(f"f{k}").alias(f"f{k}") for k in range(LONGS)]
+    nodes = stored(sets.groupBy("s1", "s2").agg(F.min(row).alias("low"), F.min("row").alias("node"), F.first("n").alias("n"), *wide), "sets")
+    roots = similar_nodes(nodes, docs, id=id, text=text, width=width, similarity=similarity, recall=recall)
+    lows = nodes.select("node", "low").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = lows.groupBy("root").agg(F.min("low").alias("low"))
     rows = sets.groupBy("id", "t1", "t2").agg(F.count("*").alias("n"))
     stays = lowest.select("low.*").drop("no_id").withColumnRenamed("id", "_mv_id")
     same_row = F.col("id").eqNullSafe(F.col("_mv_id")) & (rows["t1"] == stays["t1"]) & (rows["t2"] == stays["t2"])
-    chosen = stored(rows.join(stays, same_row).select("_mv_id", F.struct(rows["t1"], rows["t2"]).alias("_mv_text"), "n"), "chosen")
+    chosen = stored(rows.join(stays.hint("merge"), same_row).select("_mv_id", F.struct(rows["t1"], rows["t2"]).alias("_mv_text"), "n"), "chosen")
     hashes = F.struct(*[h.alias(f"t{i}") for i, h in enumerate(digest(F.coalesce(F.col(text).cast("string"), F.lit(""))), 1)])
     same = docs[id].eqNullSafe(F.col("_mv_id")) & (hashes == F.col("_mv_text"))
-    single = docs.join(chosen.where("n = 1"), same, "left_semi")
+    single = docs.join(chosen.where("n = 1").hint("merge"), same, "left_semi")
     whole = F.struct(*[docs[c] for c in docs.columns])
-    again = docs.join(chosen.where("n > 1"), same).groupBy("_mv_id", "_mv_text").agg(F.min_by(whole, F.to_json(whole)).alias("_mv_row"))
+    again = docs.join(chosen.where("n > 1").hint("merge"), same).groupBy("_mv_id", "_mv_text").agg(F.min_by(whole, F.to_json(whole)).alias("_mv_row"))
     return single.unionByName(again.select("_mv_row.*"))

@@ -50,15 +50,12 @@ def test_pipeline(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     good = {r.doc_id for r in quality_rules.measure_quality(docs).where("kept").collect()}
     kept = {r.doc_id: r.text for r in lines.dedup_lines(docs.where(docs.doc_id.isin(*good))).collect()}
-    prints = {i: simhash.fingerprint_of(t, 5) % 2**64 for i, t in kept.items()}
-    group = {i: i for i in prints}
-    changed = True
-    while changed:  # smallest id reachable over links
-        changed = False
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 3 and group[b] < group[a]:
-                    group[a], changed = group[b], True
+    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in kept.items()}
+    group = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in links:  # smallest id reachable over links
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
     single = {i for i in group if group[i] == i}
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     words = lambda t: b" " + b" ".join(decontaminate.split_words(t)) + b" "
