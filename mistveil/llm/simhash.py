@@ -12,7 +12,7 @@ with up to one bit changed.
 
 near_dedup() links texts by the Jaccard similarity of their shingle sets. At a
 similarity of 0.8 fingerprints differ in 15 % of their bits, too far for 64
-bits to tell apart from others, so they have 512 bits here. Keys are equal
+bits to tell apart from others, so they have 1,024 bits here. Keys are equal
 chains at several places of the ring, as many as the wanted recall takes; the
 rest of the ring follows in chains with budgets, and exact sets confirm.
 """
@@ -139,7 +139,7 @@ def simhash_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
 
 
 #: Longs of a wide fingerprint.
-LONGS = 8
+LONGS = 16
 WIDE = 64 * LONGS
 _ODD = np.random.default_rng(3).integers(1 << 62, 1 << 63, LONGS, dtype=np.uint64) * 2 + 1
 
@@ -185,7 +185,7 @@ class Ring:
     rate: float
 
     @classmethod
-    def of(cls, n: int, similarity: float, recall: float, crowd: int = 512) -> Ring:
+    def of(cls, n: int, similarity: float, recall: float, crowd: int = 1024) -> Ring:
         rate = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
         bits = max(8, ceil(log2(max(n, 1) / crowd)))
         hit = (1 - rate) ** bits
@@ -243,13 +243,25 @@ def _wide_prints(docs: DataFrame, *, id: str, text: str, width: int) -> DataFram
     return rows.mapInPandas(run, f"row long, id {docs.schema[id].dataType.simpleString()}, t1 long, t2 long, s1 long, s2 long, n int, {longs}")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, *, id: str, text: str, width: int, similarity: float) -> DataFrame:
-    """The pairs u, v of nodes whose shingle sets have the given similarity. Only texts of such nodes are shuffled."""
+def _sets_of(ends: DataFrame, nodes: DataFrame, docs: DataFrame, *, id: str, text: str, width: int) -> DataFrame:
+    """node and shingles (binary) for each node in ends. Only texts of such nodes are shuffled."""
 
     def sets(frames):
         for frame in frames:
             yield pd.DataFrame({"node": frame["node"], "shingles": [shingle_set(t, width).tobytes() for t in frame["text"]]})
 
+    rows = nodes.select("node", "low").join(ends.select("node").distinct().hint("merge"), "node")
+    rows = stored(rows.select("node", F.col("low.id").alias("_id"), F.col("low.t1").alias("_t1"), F.col("low.t2").alias("_t2")), "candidates")
+    t1, t2 = digest(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    texts = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), t1.alias("t1"), t2.alias("t2")).where(maybe_among(rows, "_t1")(t1))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
+    held = texts.join(rows.hint("merge"), same).dropDuplicates(["node"]).select("node", "text")
+    return stored(held.mapInPandas(sets, "node long, shingles binary"), "candidate-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs u, v of nodes whose shingle sets have the given similarity."""
+
     def confirm(frames):
         for frame in frames:
             keep = []
@@ -259,54 +271,89 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, *, id: str,
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield frame.loc[keep, ["u", "v"]]
 
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    ends = stored(nodes.select("node", "low").join(ends.hint("merge"), "node").select("node", F.col("low.id").alias("_id"), F.col("low.t1").alias("_t1"), F.col("low.t2").alias("_t2")), "candidates")
-    t1, t2 = digest(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    texts = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), t1.alias("t1"), t2.alias("t2")).where(maybe_among(ends, "_t1")(t1))
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
-    held = texts.join(ends.hint("merge"), same).dropDuplicates(["node"]).select("node", "text")
-    held = stored(held.mapInPandas(sets, "node long, shingles binary"), "candidate-sets")
-    x, y = (held.select(F.col("node").alias(e), F.col("shingles").alias(s)).hint("merge") for e, s in (("u", "x"), ("v", "y")))
+    x, y = (sets.select(F.col("node").alias(e), F.col("shingles").alias(s)).hint("merge") for e, s in (("u", "x"), ("v", "y")))
     return stored(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInPandas(confirm, "u long, v long"), "links")
 
 
+#: So many sets, about, are compared with so many others at a time.
+BLOCK = 64
+
+
+def _confirmed_parts(near: DataFrame, whole: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows node, part of near where the node has a link to some node of the part: all of them are tried, block by block."""
+
+    def confirm(frames):
+        for frame in frames:
+            out = []
+            for part, mine, theirs in zip(frame["part"], frame["mine"], frame["theirs"], strict=True):
+                theirs = [np.frombuffer(m["shingles"], "<i8") for m in theirs]
+                sizes = np.array([len(x) for x in theirs])
+                every, owner = np.concatenate(theirs), np.repeat(np.arange(len(theirs)), sizes)
+                order = np.argsort(every, kind="stable")
+                every, owner = every[order], owner[order]
+                for m in mine:
+                    x = np.frombuffer(m["shingles"], "<i8")
+                    low, high = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
+                    n = high - low
+                    spots = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    both = np.bincount(owner[spots], minlength=len(theirs))
+                    if (both >= similarity * (sizes + len(x) - both) - 1e-9).any():
+                        out.append((m["node"], part))
+            yield pd.DataFrame(out, columns=["node", "part"])
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        counts = rows.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        placed = rows.join(counts.hint("merge"), "part").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        return placed.join(sets.hint("merge"), "node").groupBy("part", "block").agg(F.collect_list(F.struct("node", "shingles")).alias(name)).drop("block")
+
+    members = whole.select("node", "part").join(near.select("part").distinct().hint("merge"), "part")
+    both = blocks(near, "mine").join(blocks(members, "theirs").hint("merge"), "part")
+    return stored(both.mapInPandas(confirm, "node long, part long").distinct(), "part-links")
+
+
 def similar_nodes(nodes: DataFrame, docs: DataFrame, *, id: str, text: str, width: int, similarity: float, recall: float) -> DataFrame:
     """Components (node, root) of distinct sets: nodes has node, low (id, t1, t2 of a row), n, f0, f1, ...
 
     A large group of near copies has links by the square of its size. So each
     node is first tried with two nodes of each key, chosen by hash; what these
-    links join is a part. Then pairs of different parts are tried, all of
-    them; in a key that one part fills, its nodes are not compared with one
-    another again, and all others are compared with every node.
+    links join is a part. Of each key the largest part leads. Any other node
+    that comes close to a node of it is compared with the part's sets, in
+    blocks that give one row a node; pairs of nodes of other parts are tried
+    one by one. So no pair of close fingerprints is left out, and rows grow
+    with nodes, not with pairs in a group.
     """
-    options = {"id": id, "text": text, "width": width, "similarity": similarity}
+    options = {"id": id, "text": text, "width": width}
     nodes_ = nodes.where("n > 0")
     ring = Ring.of(nodes_.count(), similarity, recall)
     short = ring.keyed(nodes_, "node", "n", longs=1)
     by_hash = F.struct(F.xxhash64("node", "key").alias("h"), "node", "n", "r0")
-    leaders = stored(short.groupBy("key").agg(F.min(by_hash).alias("first"), F.max(by_hash).alias("last"), F.count("*").alias("size")).where("size > 1"), "leaders")
+    leaders = short.groupBy("key").agg(F.min(by_hash).alias("first"), F.max(by_hash).alias("last"), F.count("*").alias("size")).where("size > 1")
     each = F.explode(F.array_distinct(F.array("first", "last")))
     tried = short.alias("a").join(leaders.select("key", each.alias("b")).hint("merge"), "key")
     tried = tried.where((F.col("a.node") != F.col("b.node")) & ring.close(1) & _like_sizes(similarity))
     tried = stored(tried.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct(), "tried")
-    links = _confirmed(tried, nodes, docs, **options)
-    parts = components(links)
+    ends = lambda pairs: pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
+    parts = components(_confirmed(tried, _sets_of(ends(tried), nodes, docs, **options), similarity))
 
     whole = nodes_.join(parts.hint("merge"), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
     whole = stored(whole.select("node", "n", "part", *[f"f{k}" for k in range(LONGS)]), "parts")
-    lead = leaders.select("key", F.col("first.node").alias("node")).join(parts.hint("merge"), "node", "left").select("key", F.coalesce("root", "node").alias("lead"))
-    lead = stored(lead, "lead-parts")
-    rows = ring.keyed(whole, "node", "n", "part")
-    others = rows.join(lead.hint("merge"), "key").where("part <> lead")
-    once = (F.col("a.node") < F.col("b.node")) | (F.col("b.part") == F.col("a.lead"))
-    met = others.alias("a").join(rows.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & once & ring.close() & _like_sizes(similarity))
-    met = stored(met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct(), "met")
-    more = _confirmed(met, nodes, docs, **options)
+    sizes = whole.groupBy("part").agg(F.count("*").alias("size"))
+    lead = ring.keyed(whole.join(sizes.hint("merge"), "part"), "part", "size", longs=1).groupBy("key").agg(F.max(F.struct("size", "part")).alias("m"), F.count("*").alias("rows"))
+    lead = stored(lead.where("rows > 1").select("key", F.col("m.part").alias("lead")), "lead-parts")
+    rows = ring.keyed(whole, "node", "n", "part").join(lead.hint("merge"), "key")
+    a, b = rows.where("part <> lead").alias("a"), rows.where("part = lead").alias("b")
+    close = (F.col("a.key") == F.col("b.key")) & ring.close() & _like_sizes(similarity)
+    near = stored(a.join(b.hint("merge"), close, "left_semi").select("node", F.col("lead").alias("part")).distinct(), "near")
+    others = a.join(rows.where("part <> lead").alias("b").hint("merge"), close & (F.col("a.part") != F.col("b.part")) & (F.col("a.node") < F.col("b.node")))
+    met = stored(others.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), "met")
+    members = whole.select("node", "part").join(near.select("part").distinct().hint("merge"), "part", "left_semi").select("node")
+    sets = _sets_of(ends(met).union(near.select("node")).union(members), nodes, docs, **options)
     # A part stands for its nodes: only links between parts are joined up again.
     part_of = whole.select("node", "part")
-    for end in ("u", "v"):
-        more = more.join(part_of.withColumnsRenamed({"node": end, "part": f"{end}p"}).hint("merge"), end)
-    roots = components(more.select(F.col("up").alias("u"), F.col("vp").alias("v")))
+    of = lambda end: part_of.select(F.col("node").alias(end), F.col("part").alias(f"{end}p")).hint("merge")
+    singles = _confirmed(met, sets, similarity).join(of("u"), "u").join(of("v"), "v").select("up", "vp")
+    to_parts = _confirmed_parts(near, whole, sets, similarity).select(F.col("node").alias("u"), F.col("part").alias("vp")).join(of("u"), "u").select("up", "vp")
+    roots = components(singles.union(to_parts).select(F.col("up").alias("u"), F.col("vp").alias("v")))
     joined = part_of.join(roots.select(F.col("node").alias("part"), "root").hint("merge"), "part", "left")
     return joined.select("node", F.coalesce("root", "part").alias("root"))
 
