@@ -387,33 +387,66 @@ def test_warc_cut_off_file(spark, tmp_path):
 # --- 9 ---
 
 
-def test_decontamination(spark, nothing):
+def mixed_edits(rng, tokens, n):
+    """n of the words replaced, left out or followed by another one."""
+    chosen, out = set(rng.sample(range(len(tokens)), n)), []
+    for i, w in enumerate(tokens):
+        kind = rng.randrange(3) if i in chosen else 3
+        out += [] if kind == 1 else [rng.choice(WORDS)] if kind == 0 else [w]
+        out += [rng.choice(WORDS)] if kind == 2 else []
+    return out
+
+
+def test_decontamination(spark, awkward, nothing):
     rng = random.Random(10)
     items = [(i, prose(rng, rng.randrange(10, 60)).capitalize() + ".") for i in range(60)]
     rows, want = [], set()
     for i, text in items:
         w = text.lower().strip(".").split()
         for k, rate in enumerate((0, 0.05, 0.1, 0.15, 0.2)):
-            edited = list(w)
-            for _ in range(int(rate * len(w))):
-                edited[rng.randrange(len(edited))] = rng.choice(WORDS)
-            rows.append((i * 10 + k, f"{prose(rng, 30)}\n{' '.join(edited).upper()}, {prose(rng, 30)}", "en", "s", 0))
+            rows.append((i * 10 + k, f"{prose(rng, 30)}\n{' '.join(mixed_edits(rng, w, int(rate * len(w)))).upper()}, {prose(rng, 30)}", "en", "s", 0))
             want.add((i * 10 + k, i))
-    rows += [(5000 + k, prose(rng, 100), "en", "s", 0) for k in range(100)] + [(6000, None, None, None, None), (6001, "", None, None, None)]
+    rows += [(5000 + k, prose(rng, 100), "en", "s", 0) for k in range(100)] + [(6000, None, None, None, None), (6001, "", None, None, None), (None, items[3][1], None, None, None)]
+    rows += [(6002, f"{prose(rng, 40_000)} {items[5][1]} {prose(rng, 40_000)}", "en", "s", 0)]
     docs = spark.createDataFrame(rows, SCHEMA)
     benchmark = spark.createDataFrame([*items, (777, None), (778, ""), (779, "?!")], "item_id long, text string")
     found = decontaminate.find_contaminated(docs, benchmark).collect()
     got = {(r.doc_id, r.item_id) for r in found}
-    assert not {d for d, _ in got if d >= 5000}
+    assert not {d for d, _ in got if d is not None and 5000 <= d < 6002} and {(None, 3), (6002, 5)} <= got
     assert len(want & got) >= 0.98 * len(want) and {(i * 10, i) for i, _ in items} <= got
+    # Every row found is one by brute force: some part of the document lies within the budget.
+    held = {r[0]: decontaminate.split_words(r[1]) for r in rows}
     for r in found:
         assert r.distance <= 0.2 * r.item_words + 1e-9
+        assert brute_edits(decontaminate.split_words(dict(items)[r.item_id]), held[r.doc_id][r.start : r.end]) == r.distance
     small = decontaminate.Settings(block_items=7)
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(docs, benchmark, settings=small).collect()} == got
-    clean = decontaminate.drop_contaminated(docs, benchmark)
-    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {d for d, _ in got}
-    assert decontaminate.find_contaminated(nothing, benchmark).count() == 0
+    left = {r[0] for r in rows} - {d for d, _ in got}
+    for settings in (small, decontaminate.Settings()):
+        clean = decontaminate.drop_contaminated(docs, benchmark, settings=settings)
+        assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == left
+    assert decontaminate.find_contaminated(nothing, benchmark).count() == 0 and decontaminate.drop_contaminated(nothing, benchmark).count() == 0
     assert decontaminate.find_contaminated(docs, benchmark.where("false")).count() == 0
+    odd = awkward.withColumns({c: F.lit(1) for c in ("item_id", "start", "end", "distance", "item", "item_words")})
+    assert decontaminate.find_contaminated(odd, benchmark).columns == ["doc_id", "item_id", "distance", "item_words", "start", "end"]
+    assert decontaminate.find_contaminated(odd, spark.createDataFrame([(1, "one two")], "item_id long, text string")).count() == 3
+    assert decontaminate.drop_contaminated(odd, benchmark).columns == odd.columns and decontaminate.drop_contaminated(odd, benchmark).count() == len(AWKWARD)
+
+
+def brute_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        out = [i + 1]
+        for j, y in enumerate(b):
+            out.append(min(row[j] + (x != y), row[j + 1] + 1, out[j] + 1))
+        row = out
+    return row[-1]
+
+
+def test_windows_have_the_size_of_their_items():
+    index = decontaminate.Index([("a", "one two three four five six seven"), ("b", "x")], decontaminate.Settings())
+    assert index.lengths.tolist() == [1, 7] and all(w.sizes.tolist() == [1, 7] for w in index.walks)
+    assert [[m["item"] for m in found] for found in index.search(["zero one two three four five six seven eight", "y X z", None, "one two tree four five six seven"])] == [["a"], ["b"], [], ["a"]]
 
 
 # --- 10 ---
