@@ -133,4 +133,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._mistveil_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what stored() has written for df; nothing that still has to read it may be left."""
+    remove(df.sparkSession, df._mistveil_path)

@@ -6,16 +6,18 @@ classes; inside a shared class a word has its add-one share of the class:
 
     P(text) = forward(classes) * product of P(word | class)
 
-so the parameters have a fixed size while the vocabulary may grow without
-bound. Word counts are a grouped aggregation over all training documents. A
-bounded lexicon of the most frequent words goes to the tasks; counts of all
-other words come by a join.
+The number of classes grows with the square root of the vocabulary, so what
+goes to the tasks stays small while word counts, a grouped aggregation over
+all training documents, grow with the corpus. A bounded lexicon of the most
+frequent words goes to the tasks; counts of all other words come by a join.
+Every round of Baum-Welch sees all training documents, each as one sequence.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from math import ceil
 from zlib import crc32
 
 import numpy as np
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, hash_sample, id_crc, stored, words
+from .common import ascii_lower, discard, id_crc, stored, words
 
 #: The token at the end of each text; a space, so that no word equals it.
 END = " "
@@ -31,22 +33,42 @@ END = " "
 
 @dataclass(frozen=True)
 class Settings:
-    """lexicon bounds what is broadcast; own_classes <= lexicon words have a class each; about sample_docs documents give the starting point."""
+    """lexicon bounds what is broadcast; own and shared: classes for each unit of the square root of the vocabulary (own ones at most lexicon).
+
+    Training stops after `rounds`, or once the mean log10 probability of a
+    token has risen by less than `gain` in one.
+    """
 
     lexicon: int = 65_536
-    own_classes: int = 1024
-    shared_classes: int = 1024
+    own: float = 2.0
+    shared: float = 1.0
     states: int = 8
-    sample_docs: int = 1000
-    sample_rounds: int = 20
-    rounds: int = 2
-    piece: int = 1024
+    rounds: int = 6
+    gain: float = 2e-3
     prior: float = 20.0
     seed: int = 7
 
+    def classes(self, vocabulary: int) -> Classes:
+        root = max(vocabulary, 1) ** 0.5
+        return Classes(max(1, min(self.lexicon, ceil(self.own * root))), max(1, ceil(self.shared * root)))
+
+
+@dataclass(frozen=True)
+class Classes:
+    own: int
+    shared: int
+
     @property
-    def classes(self) -> int:
-        return self.own_classes + self.shared_classes + 1
+    def n(self) -> int:
+        return self.own + self.shared + 1
+
+    @property
+    def kind(self) -> str:
+        """How a class is stored."""
+        return "<u2" if self.n <= 1 << 16 else "<u4"
+
+    def shared_class(self, word: bytes) -> int:
+        return self.own + crc32(word) % self.shared
 
 
 @dataclass
@@ -88,14 +110,14 @@ def most_frequent(counts: DataFrame, most: int) -> list:
 # --- Sequences, many at a time: rows of a batch are padded to the longest. ---
 
 
-def batches(sequences: list[np.ndarray], budget: int = 250_000):
+def batches(sequences: list[np.ndarray], cells: int = 4_000_000):
     """Matrices (longest, n) of sequences of like length, and their lengths in falling order."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     at = 0
     while at < len(order):
         longest = len(sequences[order[at]])
-        chosen = order[at : at + max(1, budget // longest)]
-        matrix = np.zeros((longest, len(chosen)), np.int64)
+        chosen = order[at : at + max(1, cells // max(longest, 1))]
+        matrix = np.zeros((longest, len(chosen)), np.uint32)
         for k, i in enumerate(chosen):
             matrix[: len(sequences[i]), k] = sequences[i]
         yield chosen, matrix, np.array([len(sequences[i]) for i in chosen])
@@ -117,36 +139,53 @@ def forward_log10(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Hmm, sequences: list[np.ndarray], heads: list[bool]) -> Hmm:
-    """Baum-Welch counts of starts (of sequences that are heads), moves and emissions."""
+def expected_counts(model: Hmm, sequences: list[np.ndarray], block: int = 1024) -> tuple[Hmm, float]:
+    """Baum-Welch counts of starts, moves and emissions over whole sequences, and the log10 probability of all.
+
+    Only what stands at the bounds of blocks of steps is kept on the way
+    forward; a block is computed again when the way back comes to it. So the
+    memory of a long text does not grow by its length times the states.
+    """
     k, n_classes = model.emit.shape
     emit = np.ascontiguousarray(model.emit.T)
-    start, move, out = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_classes))
-    for chosen, matrix, lengths in batches(sequences):
+    start, ahead, out, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_classes)), 0.0
+    for _, matrix, lengths in batches(sequences):
         steps, n = matrix.shape
-        alpha, scales = np.zeros((steps, n, k)), np.ones((steps, n))
-        lives = [int((lengths > t).sum()) for t in range(steps)]
-        for t, live in enumerate(lives):
-            a = (np.tile(model.start, (live, 1)) if t == 0 else alpha[t - 1, :live] @ model.move) * emit[matrix[t, :live]]
-            scales[t, :live] = a.sum(axis=1)
-            alpha[t, :live] = a / scales[t, :live, None]
-        beta, ahead = np.ones((n, k)), np.zeros((k, k))
-        for t in range(steps - 1, -1, -1):
-            live = lives[t]
-            b = beta[:live]
-            if t:
-                seen = b * emit[matrix[t, :live]] / scales[t, :live, None]
-                ahead += alpha[t - 1, :live].T @ seen
-                alpha[t, :live] *= b  # from here on the posterior of the state
-                beta[:live] = seen @ model.move.T
-            else:
-                alpha[t, :live] *= b
-        move += model.move * ahead
-        start += alpha[0][[heads[i] for i in chosen]].sum(axis=0)
-        flat, posterior = matrix.ravel(), alpha.reshape(-1, k)
-        for i in range(k):
-            out[i] += np.bincount(flat, posterior[:, i], n_classes)
-    return Hmm(start, move, out)
+        lives = np.searchsorted(-lengths, -np.arange(steps), "left").tolist()  # how many go on at a step
+
+        def forward(first: int, last: int, before, matrix=matrix, lives=lives):
+            alpha, scales = np.zeros((last - first, lives[first], k)), np.ones((last - first, lives[first]))
+            for t in range(first, last):
+                live = lives[t]
+                a = (model.start if t == 0 else before[:live] @ model.move) * emit[matrix[t, :live]]
+                scales[t - first, :live] = scale = a.sum(axis=1)
+                alpha[t - first, :live] = before = a / scale[:, None]
+            return alpha, scales
+
+        firsts, before, here = list(range(0, steps, block)), {0: None}, None
+        for first in firsts:
+            here = forward(first, min(first + block, steps), before[first])
+            before[first + block] = here[0][-1].copy()
+            total += np.log10(here[1]).sum()
+        beta = np.ones((n, k))
+        for first in reversed(firsts):
+            last = min(first + block, steps)
+            alpha, scales = here if first == firsts[-1] else forward(first, last, before[first])
+            for t in range(last - 1, first - 1, -1):
+                live = lives[t]
+                b = beta[:live]
+                if t:
+                    seen = b * emit[matrix[t, :live]] / scales[t - first, :live, None]
+                    ahead += (alpha[t - 1 - first, :live] if t > first else before[first][:live]).T @ seen
+                alpha[t - first, :live] *= b  # from here on the posterior of the state
+                if t:
+                    beta[:live] = seen @ model.move.T
+            if first == 0:
+                start += alpha[0].sum(axis=0)
+            flat, posterior = matrix[first:last, : lives[first]].ravel(), alpha.reshape(-1, k)
+            for i in range(k):
+                out[i] += np.bincount(flat, posterior[:, i], n_classes)
+    return Hmm(start, model.move * ahead, out), total
 
 
 def updated(counts: Hmm, base: np.ndarray, prior: float) -> Hmm:
@@ -156,15 +195,12 @@ def updated(counts: Hmm, base: np.ndarray, prior: float) -> Hmm:
     return Hmm(norm(counts.start + 1.0 / k), norm(counts.move + 1.0 / k), norm(counts.emit + prior * base))
 
 
-def starting_point(sequences: list[np.ndarray], base: np.ndarray, s: Settings) -> Hmm:
-    """A model from a bounded sample: noisy copies of the class frequencies, told apart by some rounds of Baum-Welch."""
+def starting_point(base: np.ndarray, s: Settings) -> Hmm:
+    """The class frequencies in each state, told apart by seeded noise; states tend to stay."""
     rng = np.random.default_rng(s.seed)
-    emit = base * np.exp(rng.normal(0, 0.5, (s.states, len(base))))
+    emit = base * np.exp(rng.normal(0, 1, (s.states, len(base))))
     stay = np.full((s.states, s.states), 0.1 / s.states) + 0.9 * np.eye(s.states)
-    model = Hmm(np.full(s.states, 1 / s.states), stay / stay.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
-    for _ in range(s.sample_rounds if sequences else 0):
-        model = updated(expected_counts(model, sequences, [True] * len(sequences)), base, s.prior)
-    return model
+    return Hmm(np.full(s.states, 1 / s.states), stay / stay.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
 # --- Jobs ---
@@ -172,7 +208,7 @@ def starting_point(sequences: list[np.ndarray], base: np.ndarray, s: Settings) -
 ENCODED = "row long, id string, held_out boolean, n_tokens long, known long, common double, classes binary, rare array<struct<word:string,n:long>>"
 
 
-def _encode(docs: DataFrame, lexicon, s: Settings) -> DataFrame:
+def _encode(docs: DataFrame, lexicon, c: Classes) -> DataFrame:
     """Classes of each text, the sum of log10(c + 1) and the number over tokens in the lexicon, and the other words with their counts."""
 
     def run(frames):
@@ -190,10 +226,10 @@ def _encode(docs: DataFrame, lexicon, s: Settings) -> DataFrame:
                 rare = Counter()
                 if len(missing):
                     others = [found[i] for i in missing]
-                    classes[missing] = s.own_classes + np.fromiter(map(crc32, others), np.int64, len(others)) % s.shared_classes
+                    classes[missing] = np.fromiter(map(c.shared_class, others), np.int64, len(others))
                     rare.update(others)
                 end = get(END.encode(), unknown)
-                sequence = np.append(classes, s.classes - 1).astype("<u2").tobytes()
+                sequence = np.append(classes, c.n - 1).astype(c.kind).tobytes()
                 known = len(found) - len(missing) + (end != unknown)
                 out.append((row, id_, held, len(found) + 1, known, float(logs[place].sum() + logs[end]), sequence, [{"word": w.decode("utf-8", "replace"), "n": n} for w, n in rare.items()]))
             yield pd.DataFrame(out, columns=["row", "id", "held_out", "n_tokens", "known", "common", "classes", "rare"])
@@ -201,32 +237,36 @@ def _encode(docs: DataFrame, lexicon, s: Settings) -> DataFrame:
     return docs.mapInPandas(run, ENCODED)
 
 
-def _sequences(blobs, piece: int | None = None):
-    """Class sequences of a batch; with piece, cut into pieces, and which of them start a text."""
-    whole = [np.frombuffer(b, "<u2") for b in blobs]
-    if piece is None:
-        return whole
-    cut = [(x[i : i + piece], i == 0) for x in whole for i in range(0, len(x), piece)]
-    return [x for x, _ in cut], [h for _, h in cut]
+def _by_length(encoded: DataFrame, most_tokens: int = 4_000_000) -> DataFrame:
+    """The rows of encoded dealt out so that tasks get texts of like length, and about most_tokens tokens each: long recursions then run for many texts at once."""
+    level = F.floor(F.log2("n_tokens"))
+    parts, first = F.lit(1), F.lit(0)
+    total = 0
+    for r in encoded.groupBy(level.alias("level")).agg(F.sum("n_tokens").alias("tokens")).orderBy("level").collect():
+        n = ceil(r.tokens / most_tokens)
+        parts, first = F.when(level == r.level, n).otherwise(parts), F.when(level == r.level, total).otherwise(first)
+        total += n
+    return encoded.repartitionById(total, (first + F.pmod(F.xxhash64("row"), parts)).cast("int")) if total else encoded
 
 
-def _train(encoded: DataFrame, model: Hmm, base: np.ndarray, s: Settings) -> Hmm:
-    """One round of Baum-Welch over all rows: each task sums its counts, Spark adds them up, the driver gets one number a parameter."""
-    held = encoded.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
-    k, n = s.states, s.classes
+def _train(learned: DataFrame, model: Hmm, base: np.ndarray, s: Settings, kind: str) -> tuple[Hmm, float]:
+    """One round of Baum-Welch over all rows, and their log10 probability before it: each task sums its counts, Spark adds them up, the driver gets one number a parameter."""
+    held = learned.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
+    k, n = s.states, len(base)
 
     def run(frames):
-        current, total = Hmm(*held.value), np.zeros(k + k * k + k * n)
+        current, total = Hmm(*held.value), np.zeros(k + k * k + k * n + 1)
         for frame in frames:
-            got = expected_counts(current, *_sequences(frame.classes, s.piece))
-            total += np.concatenate([got.start, got.move.ravel(), got.emit.ravel()])
+            got, log = expected_counts(current, [np.frombuffer(b, kind) for b in frame.classes])
+            total += np.concatenate([got.start, got.move.ravel(), got.emit.ravel(), [log]])
         if total.any():
             yield pd.DataFrame({"i": np.flatnonzero(total).astype("int32"), "x": total[total != 0]})
 
-    summed = encoded.select("classes").mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-    flat = np.zeros(k + k * k + k * n)
+    summed = learned.select("classes").mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    held.unpersist()
+    flat = np.zeros(k + k * k + k * n + 1)
     flat[summed.i.to_numpy()] = summed.x.to_numpy()
-    return updated(Hmm(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(k, n)), base, s.prior)
+    return updated(Hmm(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(k, n)), base, s.prior), float(flat[-1])
 
 
 def score_texts(docs: DataFrame, training, *, id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -234,50 +274,55 @@ def score_texts(docs: DataFrame, training, *, id: str = "doc_id", text: str = "t
 
     training: a boolean column over docs, true for rows to learn from (null:
     false). Null texts are empty: one token, the end. Without training rows
-    all counts are zero. Repeated rows count and score each on their own.
+    all counts are zero. Repeated rows count and score each on their own. A
+    text of any length is one sequence. Null ids stay null; an empty table
+    gives no rows; other columns of docs are not read, whatever their names.
     """
-    s = settings
+    s, spark = settings, docs.sparkSession
     rows = docs.select(F.col(id).cast("string").alias("id"), (~F.coalesce(training, F.lit(False))).alias("held_out"), F.col(text).cast("string").alias("text"))
     counts = stored(count_tokens(rows.where("NOT held_out"), "text"), "token-counts")
     n, v, texts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))).first()
 
     frequent = most_frequent(counts.where(F.col("word") != END), s.lexicon)
-    own = [r.word.encode("utf-8", "replace") for r in frequent[: s.own_classes]]
+    c = s.classes(v)
+    own = [r.word.encode("utf-8", "replace") for r in frequent[: c.own]]
     top = [(r.word.encode("utf-8", "replace"), r.c) for r in frequent] + [(END.encode(), texts)] * bool(texts)
-    class_of = {w: i for i, w in enumerate(own)} | {END.encode(): s.classes - 1}
-    shared = lambda w: s.own_classes + crc32(w) % s.shared_classes
-    lexicon_classes = np.array([class_of[w] if w in class_of else shared(w) for w, _ in top], np.int64)
-    lexicon = ({w: i for i, (w, _) in enumerate(top)}, lexicon_classes, np.log10(np.array([c for _, c in top], float) + 1))
+    class_of = {w: i for i, w in enumerate(own)} | {END.encode(): c.n - 1}
+    lexicon_classes = np.array([class_of[w] if w in class_of else c.shared_class(w) for w, _ in top], np.int64)
+    lexicon = ({w: i for i, (w, _) in enumerate(top)}, lexicon_classes, np.log10(np.array([n_ for _, n_ in top], float) + 1))
 
     # Tokens and types of each class: sizes of the classes, and shares inside the shared ones.
-    alone = [w.decode() for w in own] + [END]
-    bucket = F.lit(s.own_classes) + F.crc32(F.col("word").cast("binary")) % s.shared_classes
-    in_class = counts.where(~F.col("word").isin(alone)).groupBy(bucket.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("types")).collect()
-    sizes, shares = np.zeros(s.classes), np.zeros(s.classes)
-    shares[s.own_classes : -1] = 1.0
+    bucket = F.lit(c.own) + F.crc32(F.col("word").cast("binary")) % c.shared
+    alone = spark.createDataFrame([(w.decode("utf-8", "replace"),) for w in own] + [(END,)], "word string")  # at most lexicon + 1 rows
+    in_class = counts.join(F.broadcast(alone), "word", "left_anti").groupBy(bucket.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("types")).collect()
+    sizes, shares = np.zeros(c.n), np.zeros(c.n)
+    shares[c.own : -1] = 1.0
     for r in in_class:
         sizes[r.k], shares[r.k] = r.c, r.c + r.types + 1
-    for (_, c), k in zip(top, lexicon_classes, strict=True):
-        sizes[k] += c if k < s.own_classes or k == s.classes - 1 else 0
+    for (_, count), k in zip(top, lexicon_classes, strict=True):
+        sizes[k] += count if k < c.own or k == c.n - 1 else 0
     base = (sizes + 1) / (sizes + 1).sum()
     # log10(c + 1) over all words less these is log10 P(word | class): words with a class of their own have probability 1.
     minus = np.log10(np.where(shares > 0, shares, sizes + 1))
 
-    sc = docs.sparkSession.sparkContext
-    encoded = stored(_encode(rows.select(F.monotonically_increasing_id().alias("row"), "*"), sc.broadcast(lexicon), s), "encoded")
-    learned = encoded.where("NOT held_out")
-    sample = hash_sample(learned.where("n_tokens BETWEEN 20 AND 2000").select("row", "id", "classes"), ["row", "id"], s.sample_docs).collect()
-    model = starting_point([np.frombuffer(r.classes, "<u2") for r in sample], base, s)
-    if n:
-        for _ in range(s.rounds):
-            model = _train(learned, model, base, s)
+    sc = spark.sparkContext
+    encoded = _encode(rows.select(F.monotonically_increasing_id().alias("row"), "*"), sc.broadcast(lexicon), c)
+    unsorted = stored(encoded, "encoded-texts")
+    encoded = stored(_by_length(unsorted), "encoded")
+    discard(unsorted)
+    learned, model, last = encoded.where("NOT held_out"), starting_point(base, s), None
+    for _ in range(s.rounds if n else 0):
+        model, now = _train(learned, model, base, s, c.kind)
+        if last is not None and now - last < s.gain * n:
+            break
+        last = now
     held = sc.broadcast((model.start, model.move, model.emit, minus))
 
     def forward(frames):
         *arrays, less = held.value
         hmm = Hmm(*arrays)
         for frame in frames:
-            found = _sequences(frame.classes)
+            found = [np.frombuffer(b, c.kind) for b in frame.classes]
             inside = np.array([less[x].sum() for x in found])
             yield frame.drop(columns="classes").assign(path=forward_log10(hmm, found) - inside)
 

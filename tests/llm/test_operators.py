@@ -451,7 +451,7 @@ def test_windows_have_the_size_of_their_items():
 
 # --- 10 ---
 
-TINY = lm.Settings(lexicon=60, own_classes=20, shared_classes=8, states=3, sample_docs=50, sample_rounds=5, rounds=2)
+TINY = lm.Settings(lexicon=60, own=1.0, shared=0.5, states=3, rounds=4, gain=0.0)
 
 
 def test_forward_is_exact():
@@ -470,21 +470,82 @@ def test_forward_is_exact():
         assert total == pytest.approx(1)
 
 
+def brute_counts(model, seq):
+    """Starts, moves, emissions and log10 probability of one sequence, step by step without batches or blocks."""
+    k, n = model.emit.shape
+    alpha, beta = np.zeros((len(seq), k)), np.ones((len(seq), k))
+    log = 0.0
+    for t, x in enumerate(seq):
+        a = (model.start if t == 0 else alpha[t - 1] @ model.move) * model.emit[:, x]
+        alpha[t], log = a / a.sum(), log + math.log10(a.sum())
+    for t in range(len(seq) - 2, -1, -1):
+        b = model.move @ (model.emit[:, seq[t + 1]] * beta[t + 1])
+        beta[t] = b / b.sum()
+    move, emit = np.zeros((k, k)), np.zeros((k, n))
+    for t, x in enumerate(seq):
+        p = alpha[t] * beta[t]
+        emit[:, x] += p / p.sum()
+        if t:
+            m = np.outer(alpha[t - 1], model.emit[:, x] * beta[t]) * model.move
+            move += m / m.sum()
+    p = alpha[0] * beta[0]
+    return p / p.sum(), move, emit, log
+
+
+@pytest.mark.parametrize("block", [1, 7, 1024, 10**9])
+def test_expected_counts_of_whole_sequences(block):
+    rng = np.random.default_rng(1)
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    model = lm.Hmm(norm(rng.random(3)), norm(rng.random((3, 3))), norm(rng.random((3, 6))))
+    seqs = [rng.integers(0, 6, n) for n in (5000, 1, 40, 40, 7, 8, 1025)]
+    got, log = lm.expected_counts(model, seqs, block)
+    want = [sum(x) for x in zip(*(brute_counts(model, s) for s in seqs), strict=True)]
+    assert np.allclose(got.start, want[0]) and np.allclose(got.move, want[1]) and np.allclose(got.emit, want[2]) and log == pytest.approx(want[3])
+    assert lm.forward_log10(model, seqs).sum() == pytest.approx(log)
+
+
 def test_baum_welch_never_gets_worse():
     rng = np.random.default_rng(1)
     seqs = [rng.integers(0, 5, rng.integers(1, 30)) if i % 2 else rng.integers(3, 8, rng.integers(1, 30)) for i in range(60)]
     base = np.full(8, 1 / 8)
-    model = lm.starting_point([], base, TINY)
-    last = -np.inf
+    model, last = lm.starting_point(base, TINY), -np.inf
     for _ in range(8):
-        now = lm.forward_log10(model, seqs).sum()
+        counts, now = lm.expected_counts(model, seqs)
         assert now >= last - 1e-6
         last = now
-        counts = lm.expected_counts(model, seqs, [True] * len(seqs))
         assert counts.emit.sum() == pytest.approx(sum(map(len, seqs))) and counts.start.sum() == pytest.approx(len(seqs)) and counts.move.sum() == pytest.approx(sum(len(s) - 1 for s in seqs))
         model = lm.updated(counts, base, 0.0)
 
 
+def test_lm_score_is_that_of_a_brute_force_model(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randrange(0, 40)), "en", "s", 0) for i in range(60)]
+    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") < 45, settings=TINY).collect()}
+    texts = {r[0]: [*words(r[1]), b" "] for r in rows}
+    counts = Counter(w for i, t in texts.items() if i < 45 for w in t)
+    c = TINY.classes(len(counts))
+    ranked = sorted((w for w in counts if w != b" "), key=lambda w: (-counts[w], w))
+    # Words go to the lexicon by whole levels of their counts.
+    level = lambda w: math.floor(math.log2(counts[w]) * 16)
+    lexicon = [w for w in ranked if sum(level(x) >= level(w) for x in ranked) <= TINY.lexicon]
+    own = {w: i for i, w in enumerate(lexicon[: c.own])} | {b" ": c.n - 1}
+    class_of = lambda w: own.get(w, c.own + zlib.crc32(w) % c.shared)
+    size, types = Counter(), Counter()
+    for w, n in counts.items():
+        size[class_of(w)] += n
+        types[class_of(w)] += 1
+    base = np.array([size[k] + 1 for k in range(c.n)], float)
+    base /= base.sum()
+    model = lm.starting_point(base, TINY)
+    for _ in range(TINY.rounds):
+        parts = [brute_counts(model, [class_of(w) for w in t]) for i, t in texts.items() if i < 45]
+        start, move, emit, _ = (sum(x) for x in zip(*parts, strict=True))
+        model = lm.updated(lm.Hmm(start, move, emit), base, TINY.prior)
+    for i, t in texts.items():
+        inside = sum(math.log10((counts[w] + 1) / (size[class_of(w)] + types[class_of(w)] + 1)) for w in t if w not in own)
+        assert got[i] == pytest.approx(brute_counts(model, [class_of(w) for w in t])[3] + inside), i
+
+
 def test_lm_scores(spark, awkward, nothing):
     rng = random.Random(11)
     rows = [(i, prose(rng, rng.randrange(0, 60)), "en", "s", 0) for i in range(120)] + [r for r in AWKWARD if r[0] != 6][:6]
@@ -514,7 +575,7 @@ def test_lm_is_a_distribution(spark):
     seen = {w for r in train for w in words(r[1])}
     unknown = {}
     for k in range(10_000):
-        unknown.setdefault(zlib.crc32(f"zz{k}".encode()) % TINY.shared_classes, f"zz{k}")
+        unknown.setdefault(zlib.crc32(f"zz{k}".encode()) % TINY.classes(len(seen) + 1).shared, f"zz{k}")
     probes = sorted(w.decode() for w in seen) + list(unknown.values())
     rows = train + [(1000 + i, w, "en", "s", 0) for i, w in enumerate(probes)] + [(5000, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, SCHEMA)
