@@ -43,7 +43,7 @@ class Settings:
     own: float = 2.0
     shared: float = 1.0
     states: int = 8
-    rounds: int = 6
+    rounds: int = 8
     gain: float = 2e-3
     prior: float = 20.0
     seed: int = 7
