@@ -44,7 +44,7 @@ class Settings:
     shared: float = 1.0
     states: int = 8
     rounds: int = 8
-    gain: float = 2e-3
+    gain: float = 2e-2
     prior: float = 20.0
     seed: int = 7
 
@@ -110,13 +110,13 @@ def most_frequent(counts: DataFrame, most: int) -> list:
 # --- Sequences, many at a time: rows of a batch are padded to the longest. ---
 
 
-def batches(sequences: list[np.ndarray], cells: int = 4_000_000):
-    """Matrices (longest, n) of sequences of like length, and their lengths in falling order."""
+def batches(sequences: list[np.ndarray], cells: int = 8_000_000, block: int = 1024, at_once: int = 250_000, many: int = 1500):
+    """Matrices (longest, n) of sequences of like length, and their lengths in falling order; of `block` steps at most at_once cells or many sequences."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     at = 0
     while at < len(order):
         longest = len(sequences[order[at]])
-        chosen = order[at : at + max(1, cells // max(longest, 1))]
+        chosen = order[at : at + max(1, min(cells // longest, max(many, at_once // min(longest, block))))]
         matrix = np.zeros((longest, len(chosen)), np.uint32)
         for k, i in enumerate(chosen):
             matrix[: len(sequences[i]), k] = sequences[i]
@@ -126,14 +126,14 @@ def batches(sequences: list[np.ndarray], cells: int = 4_000_000):
 
 def forward_log10(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 likelihood of each sequence by the scaled forward recursion."""
-    out, emit = np.zeros(len(sequences)), np.ascontiguousarray(model.emit.T)
+    out, emit, ones = np.zeros(len(sequences)), np.ascontiguousarray(model.emit.T), np.ones(len(model.start))
     for chosen, matrix, lengths in batches(sequences):
         total, alpha = np.zeros(len(chosen)), None
         for t in range(len(matrix)):
             live = int((lengths > t).sum())
-            alpha = (np.tile(model.start, (live, 1)) if alpha is None else alpha[:live] @ model.move) * emit[matrix[t, :live]]
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
+            alpha = (np.tile(model.start, (live, 1)) if alpha is None else alpha[:live] @ model.move) * emit.take(matrix[t, :live], axis=0)
+            scale = alpha @ ones
+            alpha *= (1 / scale)[:, None]
             total[:live] += np.log10(scale)
         out[chosen] = total
     return out
@@ -149,7 +149,8 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray], block: int = 1024)
     k, n_classes = model.emit.shape
     emit = np.ascontiguousarray(model.emit.T)
     start, ahead, out, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_classes)), 0.0
-    for _, matrix, lengths in batches(sequences):
+    ones = np.ones(k)
+    for _, matrix, lengths in batches(sequences, block=min(block, 1024)):
         steps, n = matrix.shape
         lives = np.searchsorted(-lengths, -np.arange(steps), "left").tolist()  # how many go on at a step
 
@@ -157,9 +158,10 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray], block: int = 1024)
             alpha, scales = np.zeros((last - first, lives[first], k)), np.ones((last - first, lives[first]))
             for t in range(first, last):
                 live = lives[t]
-                a = (model.start if t == 0 else before[:live] @ model.move) * emit[matrix[t, :live]]
-                scales[t - first, :live] = scale = a.sum(axis=1)
-                alpha[t - first, :live] = before = a / scale[:, None]
+                a = emit.take(matrix[t, :live], axis=0)
+                a *= model.start if t == 0 else before[:live] @ model.move
+                scales[t - first, :live] = scale = a @ ones
+                before = np.multiply(a, (1 / scale)[:, None], out=alpha[t - first, :live])
             return alpha, scales
 
         firsts, before, here = list(range(0, steps, block)), {0: None}, None
@@ -175,16 +177,17 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray], block: int = 1024)
                 live = lives[t]
                 b = beta[:live]
                 if t:
-                    seen = b * emit[matrix[t, :live]] / scales[t - first, :live, None]
+                    seen = emit.take(matrix[t, :live], axis=0)
+                    seen *= (1 / scales[t - first, :live])[:, None]
+                    seen *= b
                     ahead += (alpha[t - 1 - first, :live] if t > first else before[first][:live]).T @ seen
                 alpha[t - first, :live] *= b  # from here on the posterior of the state
                 if t:
                     beta[:live] = seen @ model.move.T
             if first == 0:
                 start += alpha[0].sum(axis=0)
-            flat, posterior = matrix[first:last, : lives[first]].ravel(), alpha.reshape(-1, k)
-            for i in range(k):
-                out[i] += np.bincount(flat, posterior[:, i], n_classes)
+            cells = (matrix[first:last, : lives[first]].reshape(-1, 1).astype(np.int64) * k + np.arange(k)).ravel()
+            out += np.bincount(cells, alpha.ravel(), n_classes * k).reshape(n_classes, k).T
     return Hmm(start, model.move * ahead, out), total
 
 
