@@ -66,26 +66,37 @@ def hash_sample(rows: DataFrame, key: list[str], most: int) -> DataFrame:
     return rows if n <= most else rows.where(place < int(steps * 0.95 * most / n))
 
 
-def maybe_among(keys: DataFrame, column: str, most_bits: int = 1 << 27):
+def bitmap(keys: DataFrame, spot: Column, bits: int):
+    """A broadcast array of longs whose bits stand for the spots (below bits, a power of two) of keys."""
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(at % 64 AS INT))")
+    found = keys.select(spot.alias("at")).groupBy(F.expr("CAST(at DIV 64 AS INT)").alias("i")).agg(F.bit_or(bit).alias("x")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["i"].to_numpy()] = found["x"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def bits_for(n: int, most: int = 1 << 27) -> int:
+    """Bits of a bitmap of n keys: about eight a key, 16 MB at most."""
+    return min(most, 1 << max(10, (8 * n).bit_length()))
+
+
+def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def maybe_among(keys: DataFrame, column: str):
     """A function of a column of longs: false only for values that keys does not hold in `column`.
 
-    A bitmap of eight bits a key, of most_bits (16 MB) at most, decides; beyond
-    that it lets more values pass. It only saves work before an exact join.
+    A bitmap of bounded size decides; the more keys beyond that, the more
+    other values pass. It only saves work before an exact join.
     """
-    n = keys.count()
-    bits = min(most_bits, 1 << max(10, (8 * n).bit_length()))
+    bits = bits_for(keys.count())
     spot = lambda c: F.pmod(F.xxhash64(F.lit("spot"), c), F.lit(bits))
-    at = spot(F.col(column))
-    bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(at % 64 AS INT))")
-    found = keys.select(at.alias("at")).groupBy(F.expr("CAST(at DIV 64 AS INT)").alias("i")).agg(F.bit_or(bit).alias("x")).toPandas()
-    bitmap = np.zeros(bits // 64, np.int64)
-    bitmap[found["i"].to_numpy()] = found["x"].to_numpy()
-    held = keys.sparkSession.sparkContext.broadcast(bitmap)
+    held = bitmap(keys, spot(F.col(column)), bits)
 
     @F.pandas_udf("boolean")
     def check(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        return pd.Series((held.value[at >> 6] >> (at & 63)) & 1 == 1)
+        return pd.Series(is_set(held.value, at.to_numpy()))
 
     return lambda c: check(spot(c))
 
