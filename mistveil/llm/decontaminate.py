@@ -53,7 +53,7 @@ class Hashes(dict):
     """64-bit hashes of words, kept while they are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word) - (1 << 63)
         return out

@@ -201,12 +201,14 @@ class Ring:
         return [F.shiftleft(long(k), by).bitwiseOR(F.shiftrightunsigned(long(k + 1), 64 - by)) if by else long(k) for k in range(LONGS)]
 
     def keyed(self, nodes: DataFrame, *columns: str, longs: int = LONGS) -> DataFrame:
-        """A row for each node and place: key, the first longs of the turned fingerprint, the given columns."""
-        rows = []
+        """A row for each node and place: key, the first longs of the turned fingerprint (with all of them also earlier, the keys of the places before), the given columns."""
+        rows, keys = [], []
         for i in range(self.places):
             turned = self.turned(i)
             key = F.shiftleft(F.lit(i).cast("long"), self.bits).bitwiseOR(F.shiftrightunsigned(turned[0], 64 - self.bits))
-            rows.append(F.struct(key.alias("key"), *[t.alias(f"r{k}") for k, t in enumerate(turned[:longs])]))
+            earlier = [F.array(*keys).cast("array<long>").alias("earlier")] if longs == LONGS else []
+            rows.append(F.struct(key.alias("key"), *[t.alias(f"r{k}") for k, t in enumerate(turned[:longs])], *earlier))
+            keys.append(key)
         return nodes.select(*columns, F.inline(F.array(*rows)))
 
     def close(self, longs: int = LONGS) -> Column:
@@ -344,8 +346,8 @@ def similar_nodes(nodes: DataFrame, docs: DataFrame, *, id: str, text: str, widt
     a, b = rows.where("part <> lead").alias("a"), rows.where("part = lead").alias("b")
     close = (F.col("a.key") == F.col("b.key")) & ring.close() & _like_sizes(similarity)
     near = stored(a.join(b.hint("merge"), close, "left_semi").select("node", F.col("lead").alias("part")).distinct(), "near")
-    others = a.join(rows.where("part <> lead").alias("b").hint("merge"), close & (F.col("a.part") != F.col("b.part")) & (F.col("a.node") < F.col("b.node")))
-    met = stored(others.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), "met")
+    others = a.join(rows.where("part <> lead").alias("b").hint("merge"), close & (F.col("a.part") != F.col("b.part")) & (F.col("a.node") < F.col("b.node")) & ~F.arrays_overlap("a.earlier", "b.earlier"))
+    met = stored(others.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), "met")  # each pair once: at the first key that both have
     members = whole.select("node", "part").join(near.select("part").distinct().hint("merge"), "part", "left_semi").select("node")
     sets = _sets_of(ends(met).union(near.select("node")).union(members), nodes, docs, **options)
     # A part stands for its nodes: only links between parts are joined up again.
