@@ -19,14 +19,14 @@ from .quality_rules import measure_quality, ratios
 from .toxicity import labelled_sample
 
 
-def evidence(docs: DataFrame, labels: DataFrame, *, id: str, text: str, label: str, keys: dict[str, Column], max_labels: int) -> DataFrame:
+def evidence(docs: DataFrame, labels: DataFrame, *, id: str, text: str, label: str, keys: dict[str, Column], usable: Column, max_labels: int) -> DataFrame:
     """id, the keys, and p: the probability that the text is good, from its rates alone; 0.5 without labels of both kinds."""
     marked = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), *[v.alias(k) for k, v in keys.items()])
     rates = measure_quality(marked)
     short = F.greatest(F.lit(0.0), 1 - F.col("n_words") / 50)
     dense = F.array(*[v for k, v in ratios().items() if k != "n_words"], F.log1p("n_words"), short)
     table = stored(rates.select("id", *keys, dense.alias("features")), "rates")
-    sample = labelled_sample(labels, id=id, label=label, usable=F.lit(True), max_labels=max_labels)
+    sample = labelled_sample(labels, id=id, label=label, usable=usable, max_labels=max_labels)
     known = table.join(F.broadcast(sample), table["id"] == F.col("_mv_id")).select("features", F.col("_mv_label").cast("double").alias("label"))
     known = stored(known, "learned").select(array_to_vector("features").alias("features"), "label")
     if known.agg(F.count_distinct("label")).first()[0] < 2:
@@ -51,15 +51,18 @@ def _logit(p: Column) -> Column:
     return F.log(safe / (1 - safe))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", host: Column, path: Column, sites: DataFrame | None = None, label: str = "quality", max_labels: int = 20_000, threshold: float = 0.5) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", host: Column, path: Column, sites: DataFrame | None = None, label: str = "quality", usable: Column | None = None, max_labels: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """One row a row of docs: id, host, path, evidence, host_posterior, path_posterior, score, kept.
 
     host and path: columns over docs; null is a group of its own. sites: id,
-    host, path of those documents that have a better known place. At most
-    max_labels labelled rows are learned from; all rows count for the
-    posteriors. Repeated rows each count. Empty docs: no rows.
+    host, path of those documents that have a better known place. usable: which
+    rows of labels may be learned from (all by default), at most max_labels of
+    them; all rows count for the posteriors. Repeated rows each count; null ids
+    stay null and have no label; null and empty texts have evidence like any
+    other; texts of any length are read whole; other columns of docs are not
+    read, whatever their names; empty docs: no rows.
     """
-    scored = stored(evidence(docs, labels, id=id, text=text, label=label, keys={"host": host.cast("string"), "path": path.cast("string")}, max_labels=max_labels), "evidence")
+    scored = stored(evidence(docs, labels, id=id, text=text, label=label, keys={"host": host.cast("string"), "path": path.cast("string")}, usable=F.lit(True) if usable is None else usable, max_labels=max_labels), "evidence")
     if sites is not None:
         placed = sites.select(F.col("id").alias("_mv_id"), F.col("host").alias("_host"), F.col("path").alias("_path"))
         better = scored.join(placed, F.col("id") == F.col("_mv_id"), "left")

@@ -142,32 +142,54 @@ def features(docs: DataFrame, lexicon: dict[str, float], *, id: str, text: str)
     return rows.mapInPandas(run, f"id {docs.schema[id].dataType.simpleString()}, features array<double>")
 
 
+def centred(steps) -> list[tuple[float, float]]:
+    """Points (margin, score) of centred isotonic regression: the middle of each step, and the ends (0, 0) and (1, 1), so that no two margins tie."""
+    spans: dict[float, list[float]] = {}
+    for at, score in zip(steps.boundaries.toArray().tolist(), steps.predictions.toArray().tolist(), strict=True):
+        spans.setdefault(score, []).append(at)
+    inner = [((min(at) + max(at)) / 2, score) for score, at in sorted(spans.items())]
+    return [(0.0, 0.0), *[(x, y) for x, y in inner if 0 < x < 1], (1.0, 1.0)]
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, *, id: str = "doc_id", text: str = "text", label: str = "toxic", max_labels: int = 20_000, trees: int = 20, depth: int = 4, threshold: float = 0.7, seed: int = 5) -> DataFrame:
-    """One row a row of docs: id, score, predicted.
+    """One row a row of docs: id, score, predicted, margin.
 
     usable: which rows of labels may be learned from; at most max_labels of
-    them are. Empty and null texts are scored like any other, by features that
-    are all zero. If the sample has only one class, the score is the share of
-    toxic rows in it (0.5 without rows).
+    them are: half for the lexicon, half for the trees. The calibration is
+    fitted on margins that trees of either half of those give to the other
+    half, so on rows they have not seen; it runs straight between the middles
+    of its steps. margin is the trees' own probability. Empty and null texts are scored
+    like any other, by features that are all zero; texts of any length are read
+    whole; null ids stay null and have no label; rows that repeat are scored
+    each. If the trees' rows have only one class, the score is the share of
+    toxic rows among them (0.5 without rows); if one half of them has, it is
+    the margin. Other columns of docs are not read, whatever their names;
+    an empty table gives no rows.
     """
     sample = labelled_sample(labels, id=id, label=label, usable=usable, max_labels=max_labels)
     lexicon = learn_lexicon(docs, sample, id=id, text=text)
     dense = stored(features(docs, lexicon, id=id, text=text), "features")
-    known = dense.join(F.broadcast(sample.where("_mv_half = 1")), dense["id"] == F.col("_mv_id")).select(array_to_vector("features").alias("features"), F.col("_mv_label").cast("double").alias("label"))
-    known = stored(known.select(vector_to_array("features").alias("a"), "label"), "learned").select(array_to_vector("a").alias("features"), "label")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "_mv_id"), F.lit(2)).cast("int")
+    known = dense.join(F.broadcast(sample.where("_mv_half = 1")), dense["id"] == F.col("_mv_id")).select("features", F.col("_mv_label").cast("double").alias("label"), fold.alias("fold"))
+    known = stored(known, "learned").withColumn("features", array_to_vector("features"))
     n, positive = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    grow = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, maxBins=64, subsamplingRate=1.0)
+    margin = lambda model, df: model.transform(df).withColumn("margin", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
     if not 0 < positive < n:
-        score = F.lit(0.5 if not n else positive / n)
-        scored = dense.withColumn("score", score)
+        share = F.lit(0.5 if not n else positive / n)
+        scored = dense.withColumns({"score": share, "margin": share})
     else:
-        boosted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, maxBins=64, subsamplingRate=1.0).fit(known)
-        raw = lambda df: boosted.transform(df).withColumn("margin", vector_to_array("probability")[1])
-        steps = IsotonicRegression(featuresCol="margin", labelCol="label").fit(raw(known).select("margin", "label"))
-        told = raw(dense.withColumn("features", array_to_vector("features"))).drop("rawPrediction", "probability", "prediction")
-        # A step that no row of the other kind was on is 0 or 1; the margin keeps order inside a step.
-        blended = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.98 * F.col("prediction") + 0.02 * F.col("margin")))
-        scored = steps.transform(told).withColumn("score", blended)
-    return scored.select(F.col("id").alias(id), F.col("score").cast("double"), (F.col("score") >= threshold).cast("int").alias("predicted"))
+        told = margin(grow.fit(known), dense.withColumn("features", array_to_vector("features")))
+        halves = [known.where(F.col("fold") == k) for k in (0, 1)]
+        if min(h.agg(F.count_distinct("label")).first()[0] for h in halves) < 2:
+            scored = told.withColumn("score", F.col("margin"))
+        else:
+            unseen = [margin(grow.fit(halves[1 - k]), halves[k]).select("margin", "label") for k in (0, 1)]
+            isotonic = IsotonicRegression(featuresCol="margin", labelCol="label")
+            points = centred(isotonic.fit(unseen[0].unionByName(unseen[1])))
+            between = isotonic.fit(docs.sparkSession.createDataFrame(points, "margin double, label double"))
+            scored = between.transform(told).withColumn("score", F.col("prediction"))
+    return scored.select(F.col("id").alias(id), F.col("score").cast("double"), (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("margin").cast("double"))
 
 
 def held_out(doc_id: Column) -> Column:

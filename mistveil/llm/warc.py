@@ -86,9 +86,18 @@ def _in_file(first: int, last: int):
 
 
 def _placed(segments: DataFrame) -> DataFrame:
-    """Adds start, the offset of the magic in front of a segment; the first segment of a file has none and gets -7."""
-    before = F.sum(F.col("size") + len(MAGIC)).over(_in_file(Window.unboundedPreceding, -1))
-    return segments.withColumn("start", F.coalesce(before, F.lit(0)) - len(MAGIC))
+    """Adds start, the offset of the magic in front of a segment; the first segment of a file has none and gets -7.
+
+    Sizes are summed per block of a file first, so a task sees the segments of one block, or one number a block.
+    """
+    size = F.col("size") + len(MAGIC)
+    blocks = segments.groupBy("file", "block").agg(F.sum(size).alias("of_block"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.coalesce(F.sum("of_block").over(earlier), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = segments.withColumn("inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    rows = rows.join(blocks, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    return rows.withColumn("start", F.col("earlier") + F.col("inside") - len(MAGIC)).drop("earlier", "inside", "_file", "_block")
 
 
 def _payload_columns(content: Column) -> dict[str, Column]:
@@ -115,20 +124,20 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     )
     placed = _placed(read).where(F.col("start") >= 0)
     following = F.col("start") + len(MAGIC) + F.col("head_size") + F.col("length") + len(BLANK)
-    return placed.withColumn("next_start", F.when(F.col("length").isNotNull(), following)).drop("block", "row")
+    return placed.withColumn("next_start", F.when(F.col("length").isNotNull(), following)).drop("row")
 
 
 def reachable(found: DataFrame) -> DataFrame:
     """The candidates that the chain from the start of their file reaches.
 
-    Candidates whose successor is the next candidate form runs. A run leads to
-    one offset, so pointer jumping needs only the runs: it doubles the jumps
+    Candidates of one block of a file whose successor is the next candidate
+    form runs. A run leads to one offset, so pointer jumping needs only the runs: it doubles the jumps
     until no further run is reached.
     """
-    order = Window.partitionBy("file").orderBy("start")
+    order = Window.partitionBy("file", "block").orderBy("start")
     linked = found.withColumn("follows", F.coalesce(F.lag("next_start").over(order) == F.col("start"), F.lit(False)))
     first = F.max(F.when(~F.col("follows"), F.col("start"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    runs = stored(linked.withColumn("run", first).drop("follows"), "warc-candidates")
+    runs = stored(linked.withColumn("run", first).drop("follows", "block"), "warc-candidates")
     exits = runs.groupBy("file", "run").agg(F.max_by("next_start", "start").alias("exit"))
     # Where runs lead to, and which run that place belongs to.
     targets = exits.select("file", F.col("exit").alias("start")).where("start IS NOT NULL").unionByName(runs.where("start = 0").select("file", "start")).distinct()
@@ -183,11 +192,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pages_of(records: DataFrame) -> DataFrame:
-    """Rows of read_warc() as pages: page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit has its response's payload."""
+    """Rows of read_warc() as pages: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A revisit has its response's payload; one whose response is not there
+    stays, with null payload columns. Records without a page's id have none.
+    """
     number = lambda c: F.when(F.regexp_like(c, F.lit(r"^<urn:page:-?\d+>$")), F.regexp_extract(c, r"(-?\d+)>$", 1)).cast("long")
     pages = records.withColumns({"page_id": number(F.col("record_id")), "refers_to": number(F.col("refers_to"))})
     own = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     responses = pages.where("record_type = 'response'").select(*own)
     full = responses.where("page_id IS NOT NULL").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
-    revisits = pages.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to").join(full, "refers_to")
+    revisits = pages.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to").join(full, "refers_to", "left")
     return responses.unionByName(revisits.select(*own))

@@ -299,8 +299,8 @@ def test_toxicity(spark):
     rows = toxicity.score_toxicity(docs, labels, usable).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
     known = {r.doc_id: r.toxic for r in labels.collect()}
-    held = [(r.score, known[r.doc_id]) for r in rows if r.doc_id in known and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
-    assert rank_accuracy(held) > 0.9
+    held = [r for r in rows if r.doc_id in known and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert rank_accuracy([(r.score, known[r.doc_id]) for r in held]) > 0.9 and rank_accuracy([((r.score, r.margin), known[r.doc_id]) for r in held]) > 0.9
 
 
 def test_toxicity_does_not_see_held_out_labels(spark):
@@ -331,7 +331,32 @@ def test_site_quality(spark):
     rows = site_quality.score_quality(docs, labels, host=F.col("source"), path=F.col("lang"), sites=site_quality.sites_of_pages(pages)).collect()
     known = {r.doc_id: r.quality for r in labels.collect()}
     assert len(rows) == docs.count() and rank_accuracy([(r.score, known[r.doc_id]) for r in rows if r.doc_id in known]) > 0.97
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    unseen = site_quality.score_quality(docs, labels, host=F.col("source"), path=F.col("lang"), usable=~toxicity.held_out(labels["doc_id"])).collect()
+    assert rank_accuracy([(r.score, known[r.doc_id]) for r in unseen if r.doc_id in known and held(r.doc_id)]) > 0.95
+    # Posteriors by brute force: sums and sizes of hosts and paths, strengths by moments, each document's own part left out.
     mean = sum(r.evidence for r in rows) / len(rows)
+
+    def strength(groups):
+        """groups: (s, n, m)."""
+        total = sum(n for _, n, _ in groups)
+        spread, noise = sum(n * (s / n - m) ** 2 for s, n, m in groups) / total, sum(m * (1 - m) for *_, m in groups) / total
+        return min(max(sum(n * m * (1 - m) for _, n, m in groups) / total / max(spread - noise, 1e-6) - 1, 1.0), 1e4)
+
+    sums = defaultdict(lambda: [0.0, 0])
+    for r in rows:
+        for key in ((r.host,), (r.host, r.path)):
+            sums[key][0] += r.evidence
+            sums[key][1] += 1
+    k_host = strength([(*v, mean) for k, v in sums.items() if len(k) == 1])
+    host_of = {k[0]: (k_host * mean + v[0]) / (k_host + v[1]) for k, v in sums.items() if len(k) == 1}
+    k_path = strength([(*v, host_of[k[0]]) for k, v in sums.items() if len(k) == 2])
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for r in rows:
+        s_, n_ = sums[r.host, r.path]
+        others = (k_path * host_of[r.host] + max(s_ - r.evidence, 0.0)) / (k_path + n_ - 1)
+        assert r.host_posterior == pytest.approx(host_of[r.host]) and r.path_posterior == pytest.approx((k_path * host_of[r.host] + s_) / (k_path + n_))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(logit(r.evidence) + logit(others) - logit(mean)))))
     hosts = defaultdict(list)
     for r in rows:
         hosts[r.host].append(r)
@@ -382,6 +407,14 @@ def test_warc_awkward(spark, tmp_path):
     assert got == [("1", "response", None), ("1", "response", None), ("None", "revisit", 1)]
 
 
+def test_warc_revisit_without_its_response_stays(spark, tmp_path):
+    head = b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:page:%d>\r\n%sContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\n%s\r\n\r\n"
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "x.warc").write_bytes(head % (b"revisit", 1, b"WARC-Refers-To: <urn:page:9>\r\n", 19, b"") + head % (b"response", 2, b"", 20, b"x"))
+    rows = warc.pages_of(warc.read_warc(spark, str(tmp_path / "r"))).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in rows) == [(1, "revisit", 9, None), (2, "response", None, 1)]
+
+
 def test_warc_cut_off_file(spark, tmp_path):
     whole = b"".join(b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 6\r\n\r\nab\r\n\r\n\r\n\r\n" % i for i in range(3))
     (tmp_path / "c").mkdir()
