@@ -110,7 +110,7 @@ def most_frequent(counts: DataFrame, most: int) -> list:
 # --- Sequences, many at a time: rows of a batch are padded to the longest. ---
 
 
-def batches(sequences: list[np.ndarray], cells: int = 8_000_000, block: int = 1024, at_once: int = 250_000, many: int = 1500):
+def batches(sequences: list[np.ndarray], cells: int = 3_000_000, block: int = 1024, at_once: int = 250_000, many: int = 700):
     """Matrices (longest, n) of sequences of like length, and their lengths in falling order; of `block` steps at most at_once cells or many sequences."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     at = 0
@@ -240,7 +240,7 @@ def _encode(docs: DataFrame, lexicon, c: Classes) -> DataFrame:
     return docs.mapInPandas(run, ENCODED)
 
 
-def _by_length(encoded: DataFrame, most_tokens: int = 4_000_000) -> DataFrame:
+def _by_length(encoded: DataFrame, most_tokens: int = 2_500_000) -> DataFrame:
     """The rows of encoded dealt out so that tasks get texts of like length, and about most_tokens tokens each: long recursions then run for many texts at once."""
     level = F.floor(F.log2("n_tokens"))
     parts, first = F.lit(1), F.lit(0)
