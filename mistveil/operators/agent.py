@@ -63,17 +63,34 @@ def image_data(images: Column) -> Column:
     return F.transform(images, lambda i: i.withField("data", F.base64(i["data"])))
 
 
+def balanced(text: str | None) -> str | None:
+    """What stands from the first brace of a text to its partner; braces inside strings do not count. Null without a partner."""
+    start, depth, quoted, at = (text or "").find("{"), 0, False, 0
+    at = start
+    while 0 <= at < len(text or ""):
+        c = text[at]
+        if quoted:
+            at += c == "\\"  # what follows a backslash is part of the string
+            quoted = c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "{}":
+            depth += 1 if c == "{" else -1
+            if not depth:
+                return text[start : at + 1]
+        at += 1
+    return None
+
+
 def first_json_object(text: Column) -> Column:
-    """The first balanced {...} of a text that is JSON; braces inside strings do not count. Null if there is none."""
+    """The first balanced {...} of a text, if that is JSON; else null. Later or inner objects are never taken in its place."""
 
     def scan(value: str | None) -> str | None:
-        decoder, at = json.JSONDecoder(), (value or "").find("{")
-        while at >= 0:
-            try:
-                return value[at : decoder.raw_decode(value, at)[1]]
-            except ValueError:
-                at = value.find("{", at + 1)
-        return None
+        found = balanced(value)
+        try:
+            return found if found is not None and isinstance(json.loads(found), dict) else None
+        except ValueError:
+            return None
 
     @F.pandas_udf("string")
     def find(values: pd.Series) -> pd.Series:
@@ -176,9 +193,14 @@ def scripted(steps: DataFrame, script: DataFrame) -> DataFrame:
 
 
 def history(results: DataFrame) -> DataFrame:
-    """Session history: results of each step in order, up to the step limit and the first step that is done."""
-    lists = results.where(F.col("step") < MAX_STEPS).groupBy("session_id", "step").agg(F.array_sort(F.collect_list(F.struct("idx", "type", "result"))).alias("actions"))
-    return lists
+    """Session history: results of each step in order, up to the step limit and the first step that is done.
+
+    results: session_id, step (from 1), idx, type, result, and done where the
+    step's response said so (null: not).
+    """
+    finished = F.min(F.when(F.col("done"), F.col("step"))).over(Window.partitionBy("session_id"))
+    kept = results.withColumn("_end", F.coalesce(finished, F.lit(MAX_STEPS))).where(F.col("step") <= F.least("_end", F.lit(MAX_STEPS)))
+    return kept.groupBy("session_id", "step").agg(F.array_sort(F.collect_list(F.struct("idx", "type", "result"))).alias("actions"))
 
 
 def candidate_providers(providers: DataFrame, devices: DataFrame) -> DataFrame:

@@ -198,3 +198,18 @@ BIO_GROUPS = Table(
 )
 TEXTS_WITH_TOKENS = Table("session_id string, id bigint, text string", [("s", 1, "to [PII_NAME_1], from [PII_NAME_2]: [PII_NAME_1]"), ("s", 2, "nothing"), ("t", 3, "[PII_NAME_1]"), ("s", 4, "[SECRET] [PII_EMAIL_1] [SECRET]")])
 RESOLVED = Table("session_id string, id bigint, text string", [("s", 1, "to Priya, from [PII_NAME_2]: Priya"), ("s", 2, "nothing"), ("t", 3, "[PII_NAME_1]"), ("s", 4, "[SECRET] p@b.example [SECRET]")])
+
+#: What a model may answer, and the first balanced object in it if that is JSON.
+ANSWERS = Table(
+    "id bigint, answer string, object string",
+    [
+        (1, 'Sure: {"a":1} and {"b":2}', '{"a":1}'), (2, '{bad} {"a":1}', None), (3, '{x: {"a":1}}', None), (4, '{"a":"}{"} tail', '{"a":"}{"}'), (5, '{"a":"\\"}"} x', '{"a":"\\"}"}'),
+        (6, "none", None), (7, '{"a":{"b":1}', None), (8, None, None), (9, '} {"a":{"b":[]}} {', '{"a":{"b":[]}}'),
+    ],
+)
+
+#: Results of sessions' steps, and the steps that stay: up to the limit of ten and the first one that is done.
+STEPS = Table(
+    "session_id string, step int, idx int, type string, result string, done boolean, kept boolean",
+    [("a", 1, 0, "click", "ok", None, True), ("a", 2, 0, "wait", "ok", True, True), ("a", 3, 0, "click", "ok", None, False)] + [("b", k, 0, "wait", "ok", False, k <= 10) for k in range(8, 13)] + [("b", 8, 1, "click", "failed", False, True)],
+)

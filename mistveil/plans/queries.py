@@ -466,6 +466,16 @@ def response_retry(spark, sf_dir):
     return agent.first_valid(_ANSWERS.df(spark)).select("session_id", "step", "response.thought", "reason")
 
 
+@query(f"SELECT id, object FROM {L.ANSWERS.sql()}")
+def first_object(spark, sf_dir):
+    return L.ANSWERS.df(spark).select("id", agent.first_json_object(F.col("answer")).alias("object"))
+
+
+@query(f"SELECT session_id, step, count(*)::INTEGER AS n FROM {L.STEPS.sql()} WHERE kept GROUP BY ALL")
+def session_history(spark, sf_dir):
+    return agent.history(L.STEPS.df(spark).drop("kept")).select("session_id", "step", F.size("actions").alias("n"))
+
+
 @query()
 def observation_json(spark, sf_dir):
     """Sanitized observations of pages as JSON for the wire."""

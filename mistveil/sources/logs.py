@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,12 @@ def csv_lines(records: DataFrame) -> DataFrame:
 def write_csv(records: DataFrame, path: str) -> None:
     """The CSV export as text files; the header is the first line of each."""
     header = ",".join(CSV_COLUMNS)
-    records.select(F.struct(*CSV_COLUMNS).alias("r")).select("r.*").select(csv_line(list(CSV_COLUMNS)).alias("value")).write.option("header", header).text(path)
+
+    def headed(frames):
+        yield pd.DataFrame({"value": [header]})
+        yield from frames
+
+    csv_lines(records).withColumnRenamed("line", "value").mapInPandas(headed, "value string").write.text(path)
 
 
 def read_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:

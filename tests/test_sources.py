@@ -131,3 +131,12 @@ def test_columns_are_pruned(spark, folder):
 
     plan = QUERIES["spans_email"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "n_chars" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_csv_files_start_with_the_header(spark, tmp_path):
+    row = {c: None for c in metrics.CSV_COLUMNS}
+    rows = spark.createDataFrame([tuple((row | {"op": op}).values()) for op in ("x", "a,b", "y")], ", ".join(f"{c} string" for c in metrics.CSV_COLUMNS)).repartition(2)
+    logs.write_csv(rows, str(tmp_path / "csv"))
+    files = [f.read_text().splitlines() for f in (tmp_path / "csv").glob("part-*")]
+    assert files and all(f[0] == ",".join(metrics.CSV_COLUMNS) for f in files) and sum(len(f) - 1 for f in files) == 3
+    assert sum('"a,b"' in line for f in files for line in f) == 1
