@@ -44,31 +44,57 @@ def decode(text: Column) -> Column:
     return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
-def clean_url(raw: Column, clean_text, opaque) -> Column:
-    """A URL with path segments and query values cleaned by clean_text and sensitive values replaced by opaque.
+def _segments(path: Column) -> Column:
+    """Decoded path segments; a null one is malformed."""
+    return F.transform(F.split(path, "/", -1), lambda s: F.when(s == "", s).otherwise(decode(s)))
 
-    User names go; a fragment stays if it is a short anchor; of repeated query
-    keys the last value stays at the first place; relative paths gain a
-    leading slash; null if a percent code in the path is malformed.
-    """
-    url = split_url(raw)
 
-    def segment(s: Column) -> Column:
-        return F.when(s == "", s).otherwise(encode_component(clean_text(decode(s))))
-
-    segments = F.transform(F.split(url["path"], "/", -1), segment)
-    path = F.when(F.exists(segments, lambda s: s.isNull()), F.lit(None)).otherwise(F.array_join(segments, "/"))
-    pairs = F.filter(F.split(F.substring(url["query"], F.lit(2), F.length(url["query"])), "&", -1), lambda p: p != "")
+def _values(query: Column) -> Column:
+    """(k, v) of a query: of repeated keys the last value, at the first place."""
+    pairs = F.filter(F.split(F.substring(query, F.lit(2), F.length(query)), "&", -1), lambda p: p != "")
     form = lambda t: F.coalesce(F.try_url_decode(t), t)
     read = F.transform(pairs, lambda p: F.struct(form(F.substring_index(p, "=", 1)).alias("k"), form(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v")))
     keys = F.array_distinct(F.transform(read, lambda p: p["k"]))
-    last = lambda k: F.element_at(F.filter(read, lambda p: p["k"] == k), -1)["v"]
-    value = lambda k: F.when(last(k) == "", "").when(is_sensitive(k, last(k)), opaque(last(k))).otherwise(clean_text(last(k)))
-    joined = F.array_join(F.transform(keys, lambda k: F.concat(F.url_encode(k), F.lit("="), F.url_encode(value(k)))), "&")
+    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(read, lambda p: p["k"] == k), -1)["v"].alias("v")))
+
+
+def _malformed(segments: Column) -> Column:
+    return F.exists(segments, lambda s: s.isNull())
+
+
+def url_texts(raw: Column) -> Column:
+    """What a URL says, as an array of (text, opaque): its path segments, then its query values.
+
+    opaque texts go whatever they hold. A URL with a malformed percent code in
+    its path is one text, as it is.
+    """
+    url = split_url(raw)
+    part = lambda t, o: F.struct(t.alias("text"), o.alias("opaque"))
+    segments = _segments(url["path"])
+    values = F.transform(_values(url["query"]), lambda p: part(p["v"], (p["v"] != "") & is_sensitive(p["k"], p["v"])))
+    return F.when(_malformed(segments), F.array(part(raw, F.lit(False)))).otherwise(F.concat(F.transform(segments, lambda s: part(s, F.lit(False))), values))
+
+
+def url_of(raw: Column, texts: Column) -> Column:
+    """The URL again with texts in the places of url_texts(raw): user names go, a fragment stays if it is a short anchor, relative paths gain a leading slash."""
+    url = split_url(raw)
+    segments, values = _segments(url["path"]), _values(url["query"])
+    path = F.array_join(F.transform(F.slice(texts, F.lit(1), F.size(segments)), lambda s: F.when(s == "", s).otherwise(encode_component(s))), "/")
+    cleaned = F.slice(texts, F.size(segments) + 1, F.size(values))
+    joined = F.array_join(F.zip_with(values, cleaned, lambda p, t: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(t))), "&")
     query = F.when(joined == "", "").otherwise(F.concat(F.lit("?"), joined))
     anchor = url["fragment"].rlike(rf"^#[A-Za-z0-9_\-]{{1,{LONGEST_ANCHOR}}}$")
     front = F.when(url["scheme"] == "", "").otherwise(F.concat(url["scheme"], F.lit("://"), url["host"]))
-    return F.concat(front, path, query, F.when(anchor, url["fragment"]).otherwise(""))
+    whole = F.concat(front, path, query, F.when(anchor, url["fragment"]).otherwise(""))
+    return F.when(_malformed(segments), F.get(texts, F.lit(0))).otherwise(whole)
+
+
+def clean_url(raw: Column, clean_text, opaque) -> Column:
+    """A URL with path segments and query values cleaned by clean_text and sensitive values replaced by opaque; see url_of.
+
+    With a malformed percent code in its path it is cleaned as one text.
+    """
+    return url_of(raw, F.transform(url_texts(raw), lambda p: F.when(p["opaque"], opaque(p["text"])).when(p["text"] == "", p["text"]).otherwise(clean_text(p["text"]))))
 
 
 def masked_url(raw: Column) -> Column:

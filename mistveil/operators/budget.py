@@ -31,21 +31,13 @@ def select_units(units: DataFrame, *, by: list[str], max_chars: int | Column, ma
     """
     seen = F.coalesce(F.col("visible"), F.lit(False)) & F.col("distance").isNotNull()
     tier = F.when(~seen, 3).when(F.col("distance") > 0, 2).when(F.col("inside_interactive"), 0).otherwise(1)
-    groups = units.groupBy(*by, "node", "field").agg(
-        F.sum(F.length("text")).alias("chars"), F.count("*").alias("n"), F.min("unit").alias("first"),
-        F.first(tier).alias("tier"), F.first("distance").alias("distance"), F.first("inside_interactive").alias("inside"),
-    )
-    far = F.when(F.col("tier") >= 2, F.coalesce(F.col("distance").cast("double"), F.lit(float("inf")))).otherwise(0.0)
-    order = Window.partitionBy(*by).orderBy("tier", far, F.desc("inside"), "first")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = (F.sum("chars").over(so_far) <= max_chars) & (F.sum("n").over(so_far) <= max_units)
-    ranked = groups.select(*by, "node", "field", fits.alias("kept"))
-    return units.join(ranked, [*by, "node", "field"])
-
-
-def ancestors(nodes: DataFrame, *, id: str) -> DataFrame:
-    """(page, node, ancestor) pairs, each node its own ancestor too; path holds a node's ancestors."""
-    return nodes.select(id, "node", F.explode(F.array_append("path", F.col("node"))).alias("ancestor"))
+    far = F.when(tier >= 2, F.coalesce(F.col("distance").cast("double"), F.lit(float("inf")))).otherwise(0.0)
+    # A node's columns are the same in all its units, so the units of a field are peers in this order.
+    ranked = units.repartition(*by).withColumns({"_tier": tier, "_far": far, "_first": F.min("unit").over(Window.partitionBy(*by, "node", "field"))})
+    order = Window.partitionBy(*by).orderBy("_tier", "_far", F.desc("inside_interactive"), "_first", "node", "field")
+    so_far = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = (F.sum(F.length("text")).over(so_far) <= max_chars) & (F.count("*").over(so_far) <= max_units)
+    return ranked.withColumn("kept", fits).drop("_tier", "_far", "_first")
 
 
 def prune(nodes: DataFrame, selected: DataFrame, *, id: str = "page_id") -> DataFrame:
@@ -57,23 +49,25 @@ def prune(nodes: DataFrame, selected: DataFrame, *, id: str = "page_id") -> Data
     node in the viewport, or if one below it stays. Pages without cut content
     stay as they are.
     """
-    cut_pages = selected.where("NOT kept").select(id).distinct()
-    touched, whole = nodes.join(cut_pages, id, "left_semi"), nodes.join(cut_pages, id, "left_anti")
-    content = selected.groupBy(id, "node").agg(F.max("kept").alias("has_kept"), F.max(~F.col("kept")).alias("has_cut"))
-    rows = touched.join(content, [id, "node"], "left")
+    # One exchange by page; all below groups within a page. Rows of content carry no node of their own.
+    bare = nodes.select(id, "node", F.struct(*nodes.columns).alias("_row"), F.lit(False).alias("_has"), F.lit(False).alias("_lost"))
+    content = selected.select(id, "node", F.lit(None).cast(bare.schema["_row"].dataType).alias("_row"), F.col("kept").alias("_has"), (~F.col("kept")).alias("_lost"))
+    own_row = lambda c: F.first(c, ignorenulls=True).alias(c)
+    rows = bare.unionByName(content).repartition(id).groupBy(id, "node").agg(own_row("_row"), F.max("_has").alias("_has"), F.max("_lost").alias("_lost"))
+    rows = rows.withColumn("_touched", F.max("_lost").over(Window.partitionBy(id))).where("_row IS NOT NULL")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    lost_image = F.col("image").isNotNull() & F.col("image_omitted").isNotNull() & ~yes("in_viewport")
-    own = yes("has_kept") | yes("secret") | F.col("marker").isNotNull() | (F.col("image").isNotNull() & ~lost_image) | (yes("interactive") & yes("in_viewport"))
-    marked = rows.withColumn("_own", own).withColumn("_cut", yes("has_cut") | lost_image)
-    above = ancestors(touched, id=id)
-    keep = above.join(marked.where("_own").select(id, "node"), [id, "node"]).select(id, F.col("ancestor").alias("node")).distinct().withColumn("_keep", F.lit(True))
-    marked = marked.join(keep, [id, "node"], "left").withColumn("_keep", yes("_keep"))
-    gone = marked.where(F.col("_cut") | (yes("interactive") & ~F.col("_keep"))).select(id, "node")
+    lost_image = F.col("_row.image").isNotNull() & F.col("_row.image_omitted").isNotNull() & ~yes("_row.in_viewport")
+    own = F.col("_has") | yes("_row.secret") | F.col("_row.marker").isNotNull() | (F.col("_row.image").isNotNull() & ~lost_image) | (yes("_row.interactive") & yes("_row.in_viewport"))
+    upward = F.when(F.col("_touched"), F.array_append("_row.path", F.col("node"))).otherwise(F.array("node"))
+    above = rows.select(id, "node", "_row", "_touched", (own | ~F.col("_touched")).alias("_own"), (F.col("_lost") | lost_image).alias("_cut"), F.explode(upward).alias("_at"))
+    above = above.withColumn("_row", F.when(F.col("_at") == F.col("node"), F.col("_row"))).withColumn("_stays", F.max("_own").over(Window.partitionBy(id, "_at")))
     # The nearest kept ancestor has the largest number: nodes are numbered in document order.
-    flagged = above.join(gone, [id, "node"]).join(keep.select(id, F.col("node").alias("ancestor")), [id, "ancestor"]).groupBy(id, "node").agg(F.max("ancestor").alias("at"))
-    flags = flagged.select(id, F.col("at").alias("node")).distinct().withColumn("trimmed", F.lit(True))
-    kept = marked.where("_keep").join(flags, [id, "node"], "left").select(*nodes.columns, yes("trimmed").alias("trimmed"))
-    return whole.withColumn("trimmed", F.lit(False)).unionByName(kept)
+    nearest = F.max(F.when(F.col("_stays"), F.col("_at"))).alias("_near")
+    each = above.groupBy(id, "node").agg(own_row("_row"), F.max("_touched").alias("_touched"), F.max("_cut").alias("_cut"), nearest)
+    keep = F.coalesce(F.col("_near") == F.col("node"), F.lit(False))
+    gone = F.col("_touched") & (F.col("_cut") | (yes("_row.interactive") & ~keep))
+    flagged = each.withColumn("_keep", keep).withColumn("trimmed", F.max(gone).over(Window.partitionBy(id, "_near")))
+    return flagged.where("_keep").select("_row.*", "trimmed")
 
 
 def select_images(nodes: DataFrame, *, id: str = "page_id", limit: int | Column = 4, viewport: float = float("inf")) -> DataFrame:

@@ -229,13 +229,17 @@ def parse_page(url: str | None, html: str | None) -> list[dict]:
 
 
 def nodes_of(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row a kept node: page_id, page_url and the columns of NODE."""
+    """One row a kept node: page_id, page_url and the columns of NODE.
+
+    Pages are dealt by id first: parsing costs far more than that exchange,
+    and a few large row groups would otherwise be as many long tasks.
+    """
 
     @F.pandas_udf(_array_type())
     def parse(urls: pd.Series, pages_: pd.Series) -> pd.Series:
         return pd.Series([parse_page(u, h) for u, h in zip(urls, pages_, strict=True)])
 
-    return pages.select(F.col(id), F.col(url).alias("page_url"), F.inline(parse(F.col(url), F.col(html))))
+    return pages.select(*{id, url, html}).repartition(id).select(F.col(id), F.col(url).alias("page_url"), F.inline(parse(F.col(url), F.col(html))))
 
 
 def _array_type() -> str:
@@ -248,8 +252,8 @@ def _array_type() -> str:
     return "array<struct<" + ",".join(f"`{p.split(' ')[0]}`:{p.split(' ')[1]}" for p in parts) + ">>"
 
 
-def units_of(nodes: DataFrame, *, id: str = "page_id") -> DataFrame:
-    """One row a content unit: page, node, field, window (number of the window of a long text), text, hints, is_mailto.
+def units_of(nodes: DataFrame, *, id: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a content unit: page, node, field, window (number of the window of a long text), text, hints, is_mailto, and the node's columns in keep.
 
     Inline data is replaced; empty values give no unit.
     """
@@ -259,11 +263,26 @@ def units_of(nodes: DataFrame, *, id: str = "page_id") -> DataFrame:
         F.lit("href"), inline(F.col("href")), F.lit("src"), inline(F.col("src")), F.lit("accessible_name"), F.col("name"),
     )
     hints = F.struct("in_landmark", "near_contact_heading", "in_contact_markup", "in_ugc_block")
-    fields = nodes.select(id, "page_url", "node", hints.alias("hints"), value.alias("_value"), F.posexplode("fields").alias("field_at", "field"))
+    fields = nodes.select(id, "page_url", "node", *keep, hints.alias("hints"), value.alias("_value"), F.posexplode("fields").alias("field_at", "field"))
     filled = fields.withColumn("_text", F.col("_value")[F.col("field")]).where("_text <> ''")
     windows = F.when(F.col("field") == "text", window_texts(F.col("_text"))).otherwise(F.array("_text"))
     mailto = (F.col("field") == "href") & F.lower("_text").startswith("mailto:")
-    return filled.select(id, "page_url", "node", "field_at", "field", "hints", mailto.alias("is_mailto"), F.posexplode(windows).alias("window", "text"))
+    return filled.select(id, "page_url", "node", *keep, "field_at", "field", "hints", mailto.alias("is_mailto"), F.posexplode(windows).alias("window", "text"))
+
+
+def title_of(html: Column) -> Column:
+    """Text of a page's first title element, spaces collapsed; the five entities of markup are read. Empty if there is none."""
+    text = F.trim(F.regexp_replace(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " "))
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def page_level_units(pages: DataFrame, task: str, *, id: str = "page_id") -> DataFrame:
+    """Units of a page as a whole, numbered after its content: its task (node -1), URL (-2, as href) and title (-3)."""
+    unit = lambda i, field, text: F.struct(F.lit(-i).alias("node"), F.lit(field).alias("field"), F.lit((1 << 30) + i).alias("unit"), text.alias("text"))
+    each = F.array(unit(1, "text", F.lit(task)), unit(2, "href", F.coalesce("url", F.lit(""))), unit(3, "text", title_of(F.col("html"))))
+    return pages.select(id, F.col("url").alias("page_url"), F.explode(each).alias("_u")).select(id, "page_url", "_u.*", F.lit(0).alias("window"), F.lit(False).alias("is_mailto"))
 
 
 def roots(nodes: DataFrame, *, id: str = "page_id") -> DataFrame:

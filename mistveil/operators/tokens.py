@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import JS_SPACE, TOKEN
 from ..functions.spans import piece, replaced
+from ..functions.urls import url_of, url_texts
+from ..sources.tables import written
+from .detect import no_tags, with_spans
 
 KEY = ("session_id", "origin", "type", "norm")
 
@@ -71,6 +74,30 @@ def rewrite(units: DataFrame, found: DataFrame, tokens: DataFrame) -> DataFrame:
     return plain.unionByName(changed.select(*plain.columns))
 
 
+def sanitize(units: DataFrame, tag=no_tags) -> tuple[DataFrame, DataFrame]:
+    """(units with sanitized text, their token map); units with field href or src take the way of URLs.
+
+    Of a URL the path segments and query values are texts of their own and
+    sensitive values go whole; tokens are the same as in other fields. Units
+    are told apart by session_id, origin and unit. Null texts stay null.
+    """
+    link = F.col("field").isin("href", "src")
+    whole = F.array(F.struct(F.col("text").alias("text"), F.lit(False).alias("opaque")))
+    parts = F.when(link & F.col("text").isNotNull(), url_texts(F.col("text"))).otherwise(whole)
+    each = units.withColumns({"_raw": F.when(link, F.col("text")), "_unit": F.col("unit")}).select(*[c for c in units.columns if c not in ("text", "unit")], "_raw", "_unit", F.posexplode(parts).alias("_part", "_p"))
+    each = each.withColumns({"text": F.col("_p.text"), "_opaque": F.col("_p.opaque"), "unit": F.struct("_unit", "_part")}).drop("_p")
+    spotted = with_spans(each, tag).withColumn("spans", F.when(F.col("_opaque"), opaque_span(F.col("text"))).otherwise(F.col("spans")))
+    spotted = written(spotted, "spans")
+    found = occurrences(spotted)
+    tokens = token_map(found)
+    clean = rewrite(spotted, found, tokens).withColumn("unit", F.col("_unit"))
+    plain = clean.where(F.col("_raw").isNull()).select(*units.columns)
+    rest = [c for c in units.columns if c not in ("session_id", "origin", "unit", "text")]
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("_part", "text"))), lambda p: p["text"])
+    links = clean.where(F.col("_raw").isNotNull()).groupBy("session_id", "origin", "unit").agg(F.first("_raw").alias("_raw"), texts.alias("_texts"), *[F.first(c).alias(c) for c in rest])
+    return plain.unionByName(links.withColumn("text", url_of(F.col("_raw"), F.col("_texts"))).select(*units.columns)), tokens
+
+
 def resolve(texts: DataFrame, tokens: DataFrame, *, text: str = "text") -> DataFrame:
     """texts (session_id, id, text) with known tokens of the session turned back into values; unknown ones stay.
 

@@ -181,7 +181,7 @@ URLS = Table(
         (4, "https://x.example/a b#aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "https://x.example/a%20b"),
         (5, "mailto:a@b.example", "mailto://%5BPII_EMAIL%5D"),
         (6, "page.html?x=1+2", "/page.html?x=1+2"),
-        (7, "https://x.example/%zz", None),
+        (7, "https://x.example/%zz", "https://x.example/%zz"),
         (8, "https://x.example/it's(ok)!", "https://x.example/it's(ok)!"),
     ],
 )
@@ -213,3 +213,16 @@ STEPS = Table(
     "session_id string, step int, idx int, type string, result string, done boolean, kept boolean",
     [("a", 1, 0, "click", "ok", None, True), ("a", 2, 0, "wait", "ok", True, True), ("a", 3, 0, "click", "ok", None, False)] + [("b", k, 0, "wait", "ok", False, k <= 10) for k in range(8, 13)] + [("b", 8, 1, "click", "failed", False, True)],
 )
+
+LINKS = Table(
+    "session_id string, origin string, unit bigint, field string, text string, out string",
+    [
+        ("s", "https://a.example", 0, "text", "mail p@q.example now", "mail [PII_EMAIL_1] now"),
+        ("s", "https://a.example", 1, "href", "https://a.example/u/p@q.example/x?token=secret&n=1#top", "https://a.example/u/%5BPII_EMAIL_1%5D/x?token=%5BPII_OTHER_1%5D&n=1#top"),
+        ("s", "https://a.example", 2, "src", "/img?session=secret&v=a+b", "/img?session=%5BPII_OTHER_1%5D&v=a+b"),
+        ("s", "https://a.example", 3, "href", "https://a.example/bad%zz/p@q.example", "https://a.example/bad%zz/[PII_EMAIL_1]"),
+        ("s", "https://a.example", 4, "href", "mailto:p@q.example", "mailto://%5BPII_EMAIL_1%5D"),
+        ("s", "https://a.example", 5, "href", None, None),
+        ("t", "https://a.example", 0, "href", "/?id=123456789&id2=7&key=", "/?id=%5BPII_OTHER_1%5D&id2=7&key="),
+    ],
+)

@@ -18,7 +18,7 @@ from ..operators import html as W
 from ..operators import tokens as T
 from ..operators.windows import merge_windows, window_texts
 from ..sources.logs import csv_lines
-from ..sources.tables import table
+from ..sources.tables import table, written
 from . import literals as L
 
 QUERIES: dict = {}
@@ -131,7 +131,7 @@ def _doc_units(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     origin = F.concat(F.lit("https://"), F.col("source"), F.lit(".example"))
     units = docs.select(F.col("doc_id").cast("string").alias("session_id"), origin.alias("origin"), F.xxhash64("source", "text").alias("unit"), F.coalesce("text", F.lit("")).alias("text"))
-    return D.with_spans(units)
+    return written(D.with_spans(units), "spans")
 
 
 @query()
@@ -386,8 +386,8 @@ def budget_select(spark, sf_dir):
 @query()
 def prune_pages(spark, sf_dir):
     """Pages after a tight budget: nodes kept and flags set."""
-    nodes = _nodes(spark, sf_dir).withColumns({"in_viewport": F.col("node") < 40, "image_omitted": F.lit(None).cast("string")})
-    units = W.numbered_units(W.units_of(nodes)).join(nodes.select("page_id", "node", "visible", "inside_interactive"), ["page_id", "node"])
+    nodes = written(_nodes(spark, sf_dir), "nodes").withColumns({"in_viewport": F.col("node") < 40, "image_omitted": F.lit(None).cast("string")})
+    units = W.numbered_units(W.units_of(nodes, keep=("visible", "inside_interactive")))
     units = units.withColumn("distance", F.greatest(F.col("node") - 40, F.lit(0)))
     selected = budget.select_units(units, by=["page_id"], max_chars=2000, max_units=100)
     return budget.prune(nodes, selected).groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("trimmed").alias("n_trimmed"))
@@ -479,17 +479,42 @@ def session_history(spark, sf_dir):
 @query()
 def observation_json(spark, sf_dir):
     """Sanitized observations of pages as JSON for the wire."""
-    nodes = _nodes(spark, sf_dir)
-    units = W.numbered_units(W.units_of(nodes)).select(F.col("page_id").cast("string").alias("session_id"), "page_id", F.regexp_extract("page_url", "^[a-z]+://[^/]+", 0).alias("origin"), "unit", "node", "field", "window", "hints", "is_mailto", "text")
-    spotted = D.with_spans(units)
-    found = T.occurrences(spotted)
-    clean = T.rewrite(spotted, found, T.token_map(found))
-    kept = nodes.select("page_id", "node", "parent", "tag", "role", "secret", "visible")
-    dom = agent.contents(clean, kept, by=["page_id"])
-    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("read").alias("task"), masked_url(F.col("url")).alias("url"), F.lit("").alias("title"))
+    nodes = written(_nodes(spark, sf_dir), "nodes")
+    clean = written(_sanitized_pages(spark, sf_dir, nodes), "clean")
+    dom = agent.contents(clean.where("node >= 0"), nodes.select("page_id", "node", "parent", "tag", "role", "secret", "visible"), by=["page_id"])
+    of = lambda i, name: F.max(F.when(F.col("node") == -i, F.col("text"))).alias(name)
+    pages = clean.where("node < 0").groupBy("page_id").agg(of(1, "task"), of(2, "url"), of(3, "title"))
     return agent.to_wire(agent.assemble(pages, dom, by=["page_id"]), by=["page_id"])
 
 
+def _sanitized_pages(spark, sf_dir, nodes):
+    """Units of pages and of their task, URL and title, sanitized with one token map a page."""
+    pages = table(spark, sf_dir, "pages")
+    content = W.numbered_units(W.units_of(nodes)).drop("field_at")
+    units = content.unionByName(W.page_level_units(pages, "read"), allowMissingColumns=True)
+    named = units.withColumns({"session_id": F.col("page_id").cast("string"), "origin": F.regexp_extract("page_url", "^[a-z]+://[^/]+", 0)})
+    return T.sanitize(named)[0]
+
+
+@query("""
+SELECT page_id, 'href' AS field, array_to_string(list_transform(string_split(h, '/'), lambda s: replace(replace(replace(replace(replace(url_encode(url_decode(s)), '%21', '!'), '%2A', '*'), '%27', chr(39)), '%28', '('), '%29', ')')), '/') AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages)
+UNION ALL SELECT page_id, 'url', url FROM pages
+UNION ALL SELECT page_id, 'title', replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') FROM pages
+UNION ALL SELECT page_id, 'task', 'read' FROM pages
+""")
+def page_links(spark, sf_dir):
+    """Links, URL, title and task of pages as they leave."""
+    clean = _sanitized_pages(spark, sf_dir, _nodes(spark, sf_dir))
+    field = F.when(F.col("node") == -1, "task").when(F.col("node") == -2, "url").when(F.col("node") == -3, "title").otherwise(F.col("field"))
+    return clean.where("field = 'href' OR node < 0").select("page_id", field.alias("field"), "text")
+
+
+@query(f"SELECT unit, out AS text FROM {L.LINKS.sql()}")
+def link_tokens(spark, sf_dir):
+    """Links and texts of one session share tokens; sensitive values go whole."""
+    return T.sanitize(L.LINKS.df(spark).drop("out"))[0].select("unit", "text")
+
+
 # --- Metrics ---
 
 _LOGS = "(SELECT event_type AS op, value AS duration_ms, CASE WHEN user_id % 3 = 0 THEN value / 2 END AS queue_ms, CASE event_type WHEN 'error' THEN 'fail_closed' ELSE 'ok' END AS outcome FROM events)"
