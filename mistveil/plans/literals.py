@@ -226,3 +226,26 @@ LINKS = Table(
         ("t", "https://a.example", 0, "href", "/?id=123456789&id2=7&key=", "/?id=%5BPII_OTHER_1%5D&id2=7&key="),
     ],
 )
+
+READ_WORDS = Table(
+    "id bigint, word bigint, line bigint, text string, confidence string, x bigint, out string",
+    [(1, 0, 0, "call", "high", 0, None), (2, 1, 0, "98765", "high", 1, "1,0"), (3, 2, 0, "43210", "high", 2, "2,0"), (4, 3, 1, "  ", "low", 0, None), (5, 4, 1, "a@b", "low", 1, "1,1"), (6, 5, 1, "1l2o34", "low", 2, "2,1"), (7, 6, 1, "12l34", "high", 3, None), (8, 7, 2, "p@q.example,", "medium", 0, "0,2")],
+)
+
+IMAGE_STATES = Table(
+    "id bigint, inline boolean, readback boolean, version string, decision string, usable boolean, fetched boolean, not_modified boolean, same boolean, stages string, decoded boolean, hashed boolean, looked string, processed string",
+    [
+        (1, True, True, "v", "fresh", True, None, None, True, "ok", True, True, "need_pixels", "ok"),
+        (2, False, False, "v", "fresh", True, None, None, True, "ok", True, True, "need_pixels", "unreadable"),
+        (3, False, True, "v", "fresh", True, None, None, None, None, True, True, "ok", "detector_failed"),
+        (4, False, True, "v", "fresh", False, None, None, True, "ok", False, None, "need_pixels", "unreadable"),
+        (5, False, True, "v", "rehash", True, None, None, True, None, True, True, "need_pixels", "ok"),
+        (6, False, True, "v", "conditional", True, True, True, None, None, True, False, "ok", "unreadable"),
+        (7, False, True, "v", "conditional", True, True, False, True, None, True, True, "ok", "ok"),
+        (8, False, True, "v", "conditional", True, True, False, False, "detector_failed", True, True, "detector_failed", "detector_failed"),
+        (9, False, True, "v", "conditional", True, None, None, None, "ok", True, True, "need_pixels", "ok"),
+        (10, False, True, None, "fresh", True, None, None, True, None, True, True, "need_pixels", "detector_failed"),
+        (11, False, True, "v", "miss", None, None, None, None, "encode_failed", True, True, "need_pixels", "encode_failed"),
+        (12, True, True, "v", None, None, None, None, True, None, True, True, "need_pixels", "detector_failed"),
+    ],
+)

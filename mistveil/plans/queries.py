@@ -15,6 +15,7 @@ from ..functions.urls import masked_url, split_url
 from ..operators import agent, budget, metrics
 from ..operators import detect as D
 from ..operators import html as W
+from ..operators import images as I
 from ..operators import tokens as T
 from ..operators.windows import merge_windows, window_texts
 from ..sources.logs import csv_lines
@@ -439,6 +440,73 @@ def cache_prune(spark, sf_dir):
     return budget.prunable(records, F.lit(100_000_000.0))
 
 
+_LINE_WORDS = "(SELECT doc_id, line, k - 1 AS word, t AS text, CASE WHEN (doc_id + k) % 3 = 0 THEN 'low' ELSE 'high' END AS confidence FROM (SELECT doc_id, line - 1 AS line, unnest(string_split(l, ' ')) AS t, generate_subscripts(string_split(l, ' '), 1) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)))"
+
+
+def _line_words(spark, sf_dir):
+    """Words of documents' lines as if read from an image; every third is read badly."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "_l"))
+    words = lines.select("doc_id", "line", F.posexplode(F.split("_l", " ", -1)).alias("word", "text"))
+    box = F.struct(F.col("word").alias("x"), F.col("line").alias("y"), F.lit(1).alias("w"), F.lit(1).alias("h"))
+    return words.select("doc_id", "line", "word", "text", F.when((F.col("doc_id") + F.col("word") + 1) % 3 == 0, "low").otherwise("high").alias("confidence"), box.alias("box"), F.lit("https://a.example").alias("origin"))
+
+
+@query(f"SELECT doc_id, line::INTEGER AS line, string_agg(trim(text, chr(9) || chr(13) || ' '), ' ' ORDER BY word) AS text FROM {_LINE_WORDS} WHERE trim(text, chr(9) || chr(13) || ' ') <> '' GROUP BY ALL")
+def ocr_lines(spark, sf_dir):
+    """Lines of all documents from their words."""
+    return I.ocr_lines(_line_words(spark, sf_dir), by=["doc_id"]).select("doc_id", "line", "text")
+
+
+@query(f"SELECT doc_id, count(*)::BIGINT AS n FROM {_LINE_WORDS} WHERE confidence = 'low' AND (contains(text, '@') OR len(regexp_extract_all(text, '[0-9]')) >= 4) GROUP BY ALL")
+def ocr_suspects(spark, sf_dir):
+    """Badly read words that may hide an identifier, counted per document."""
+    return _line_words(spark, sf_dir).where(I.is_suspect(F.col("text"), F.col("confidence"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, out AS boxes FROM {L.READ_WORDS.sql()} WHERE out IS NOT NULL")
+def ocr_redactions(spark, sf_dir):
+    """Words of a small image that are painted over."""
+    rows = L.READ_WORDS.df(spark).withColumns({"box": F.struct("x", F.col("line").alias("y"), F.lit(1).alias("w"), F.lit(1).alias("h")), "img": F.lit(1), "origin": F.lit("https://a.example")})
+    painted, _ = I.redactions(rows, by=["img", "origin"])
+    return painted.join(rows.select("id", F.col("word").alias("_w"), F.col("line").alias("_l")), (F.col("word") == F.col("_w")) & (F.col("line") == F.col("_l"))).select("id", F.concat_ws(",", "box.x", "box.y").alias("boxes"))
+
+
+@query("SELECT event_id, CASE WHEN user_id IS NULL OR value IS NULL OR event_type = 'error' THEN 'detector_failed' ELSE 'ok' END AS outcome, CASE WHEN user_id IS NOT NULL AND value IS NOT NULL AND event_type <> 'error' THEN (user_id % 3 + 2)::INTEGER END AS n FROM events")
+def send_gate(spark, sf_dir):
+    """Images pass only if every detector and the tagger answered in time."""
+    e = table(spark, sf_dir, "events")
+    found = lambda of, n: F.when(of.isNotNull(), F.array_repeat(F.lit(1), n.cast("int")))
+    faces = I.both(found(F.col("user_id"), F.col("user_id") % 3), F.array(F.lit(1)))
+    texts = I.in_time(F.array(F.lit(1)), F.when(F.col("value").isNotNull(), F.lit(10)).otherwise(40_000))
+    g = I.gate(faces, texts, F.array().cast("array<int>"), F.col("event_type") != "error")
+    return e.select("event_id", g.alias("g")).select("event_id", "g.outcome", F.when(F.col("g.boxes").isNotNull(), F.size("g.boxes")).alias("n"))
+
+
+@query(f"SELECT id, looked, processed FROM {L.IMAGE_STATES.sql()}")
+def image_outcomes(spark, sf_dir):
+    """Lookup and processing of images in every state."""
+    state = F.struct(*[c for c in L.IMAGE_STATES.df(spark).columns])
+    return L.IMAGE_STATES.df(spark).select("id", I.lookup(state).alias("looked"), I.process(state).alias("processed"))
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events WHERE user_id IS NOT NULL AND event_type <> 'error') SELECT user_id AS page_id, event_id AS node, CASE WHEN place > 4 OR value >= 50 THEN 'request_limit' END AS image_omitted FROM r WHERE place > 4 OR value >= 50 UNION ALL SELECT user_id, event_id, 'unreadable' FROM events WHERE user_id IS NOT NULL AND event_type = 'error'")
+def image_marks(spark, sf_dir):
+    """Images over the limit, too large at every step, or missing."""
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    box = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(40).alias("w"), F.lit(40).alias("h"))
+    nodes = e.select(F.col("user_id").alias("page_id"), F.col("event_id").alias("node"), "value", F.lit("img").alias("image"), F.lit(None).cast("string").alias("image_omitted"), F.lit(True).alias("visible"), F.lit(True).alias("in_viewport"), box.alias("box"), (F.col("event_type") != "error").alias("available"))
+    fits = nodes.select("page_id", "node", F.when(F.col("value") < 50, 0).alias("fit"))
+    return I.marks(budget.select_images(nodes.drop("value")), fits)
+
+
+@query("WITH r AS (SELECT *, event_id // 1000 AS step FROM events), l AS (SELECT user_id, max(step) AS step FROM r GROUP BY ALL) SELECT r.user_id AS session_id, r.step::BIGINT AS step, r.event_id AS node FROM r JOIN l ON r.user_id IS NOT DISTINCT FROM l.user_id AND r.step = l.step WHERE event_type = 'click'")
+def sendable_images(spark, sf_dir):
+    """What passed in each session's last step."""
+    e = table(spark, sf_dir, "events")
+    images = e.select(F.col("user_id").alias("session_id"), F.expr("event_id DIV 1000").alias("step"), F.col("event_id").alias("node"), F.lit("i").alias("img_id"), F.when(F.col("event_type") == "click", "ok").otherwise("detector_failed").alias("outcome"))
+    return I.sendable(images).drop("img_id")
+
+
 # --- Agents ---
 
 
