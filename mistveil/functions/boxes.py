@@ -73,17 +73,22 @@ def nms(detections: Column, threshold: float = 0.4) -> Column:
     return F.aggregate(ordered, none, lambda kept, d: F.when(F.exists(kept, lambda k: iou(k, d) > threshold), kept).otherwise(F.array_append(kept, d)))
 
 
-def decode_level(scores: Column, offsets: Column, stride: int, min_score: float = 0.3) -> Column:
-    """Face boxes of one level: anchors in row order, two a cell; offsets (left, top, right, bottom) in strides from the cell."""
+def decode_level(scores: Column, offsets: Column, stride: int, scale: Column, width: Column, height: Column, min_score: float = 0.3) -> Column:
+    """Face boxes of one level in pixels of the image: anchors in row order, two a cell; offsets (left, top, right, bottom) in strides from the cell.
+
+    scale is the letterbox's. Boxes are cut to the image; those without area
+    lay in the padding and go.
+    """
     side = INPUT_SIDE // stride
     cell = lambda i: F.floor(i / ANCHORS)
 
     def decoded(o: Column, i: Column) -> Column:
         cx, cy = (cell(i) % side) * stride, F.floor(cell(i) / side) * stride
-        x0, y0 = cx - o["left"] * stride, cy - o["top"] * stride
-        return F.struct(F.get(scores, i).alias("score"), x0.alias("x"), y0.alias("y"), (cx + o["right"] * stride - x0).alias("w"), (cy + o["bottom"] * stride - y0).alias("h"))
+        x0, y0 = F.greatest(F.lit(0.0), (cx - o["left"] * stride) / scale), F.greatest(F.lit(0.0), (cy - o["top"] * stride) / scale)
+        x1, y1 = F.least(width, (cx + o["right"] * stride) / scale), F.least(height, (cy + o["bottom"] * stride) / scale)
+        return F.struct(F.get(scores, i).alias("score"), x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h"))
 
-    return F.filter(F.transform(offsets, decoded), lambda d: d["score"] >= min_score)
+    return F.filter(F.transform(offsets, decoded), lambda d: (d["score"] >= min_score) & (d["w"] > 0) & (d["h"] > 0))
 
 
 def img_id(src: Column, w: Column, h: Column) -> Column:

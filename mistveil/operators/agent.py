@@ -53,9 +53,18 @@ def assemble(pages: DataFrame, nodes: DataFrame, *, by: list[str]) -> DataFrame:
 
 
 def to_wire(observations: DataFrame, *, by: list[str]) -> DataFrame:
-    """Observations that may be sent, as JSON."""
+    """Observations that may be sent, as JSON.
+
+    images, an array of (img_id, node), if there, shows as image_index from
+    img_id to node; of equal images the last node counts.
+    """
     sent = observations.where("status = 'ok'")
-    return sent.select(*by, F.to_json(F.struct(F.lit("1").alias("schema_version"), *sent.columns)).alias("json"))
+    shown = [F.col(c) for c in sent.columns if c != "images"]
+    if "images" in sent.columns:
+        keys = F.array_distinct(F.transform("images", lambda i: i["img_id"]))
+        last = lambda k: F.element_at(F.filter("images", lambda i: i["img_id"] == k), -1)["node"]
+        shown.append(F.map_from_arrays(keys, F.transform(keys, last)).alias("image_index"))
+    return sent.select(*by, F.to_json(F.struct(F.lit("1").alias("schema_version"), *shown)).alias("json"))
 
 
 def image_data(images: Column) -> Column:

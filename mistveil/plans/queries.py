@@ -440,6 +440,17 @@ def cache_prune(spark, sf_dir):
     return budget.prunable(records, F.lit(100_000_000.0))
 
 
+@query("SELECT * FROM (VALUES (0::INTEGER, 0.9::DOUBLE, '0.0,0.0,8.0,8.0'), (0, 0.5, '8.0,0.0,8.0,8.0')) AS t(id, score, box)")
+def decode_boxes(spark, sf_dir):
+    """Boxes of a detector's level in an image of half the size: cut to it, those in the padding gone."""
+    offset = lambda *v: F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(("left", "top", "right", "bottom"), v, strict=True)])
+    offsets = F.array(offset(1, 1, 2, 2), offset(0, 0, 9, 9), offset(0, 0, 1, 1), offset(-1, 0, 9, 2), offset(-3, 0, 9, 2))
+    scores = F.array(*[F.lit(x) for x in (0.9, 0.2, 0.1, 0.5, 0.8)])
+    rows = spark.range(1).select(F.col("id").cast("int").alias("id"), B.decode_level(scores, offsets, 8, F.lit(2.0), F.lit(16.0), F.lit(8.0)).alias("d"))
+    each = rows.select("id", F.explode("d").alias("d"))
+    return each.select("id", "d.score", F.concat_ws(",", "d.x", "d.y", "d.w", "d.h").alias("box"))
+
+
 _LINE_WORDS = "(SELECT doc_id, line, k - 1 AS word, t AS text, CASE WHEN (doc_id + k) % 3 = 0 THEN 'low' ELSE 'high' END AS confidence FROM (SELECT doc_id, line - 1 AS line, unnest(string_split(l, ' ')) AS t, generate_subscripts(string_split(l, ' '), 1) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)))"
 
 
@@ -539,6 +550,14 @@ def first_object(spark, sf_dir):
     return L.ANSWERS.df(spark).select("id", agent.first_json_object(F.col("answer")).alias("object"))
 
 
+@query("""SELECT id, 'ok' AS status, '{"a":3,"b":2}' AS index FROM (VALUES (0::BIGINT)) AS t(id)""")
+def image_index(spark, sf_dir):
+    """Images of an observation by node; of equal ones the last counts."""
+    image = lambda i, n: F.struct(F.lit(i).alias("img_id"), F.lit(n).alias("node"))
+    seen = spark.range(1).select("id", F.lit("ok").alias("status"), F.array(image("a", 1), image("b", 2), image("a", 3)).alias("images"))
+    return agent.to_wire(seen, by=["id"]).select("id", F.get_json_object("json", "$.status").alias("status"), F.get_json_object("json", "$.image_index").alias("index"))
+
+
 @query(f"SELECT session_id, step, count(*)::INTEGER AS n FROM {L.STEPS.sql()} WHERE kept GROUP BY ALL")
 def session_history(spark, sf_dir):
     return agent.history(L.STEPS.df(spark).drop("kept")).select("session_id", "step", F.size("actions").alias("n"))
