@@ -232,14 +232,16 @@ def nodes_of(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: s
     """One row a kept node: page_id, page_url and the columns of NODE.
 
     Pages are dealt by id first: parsing costs far more than that exchange,
-    and a few large row groups would otherwise be as many long tasks.
+    and a few large row groups would otherwise be as many long tasks. The
+    number of parts is given, as parts small in bytes would be merged again.
     """
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     @F.pandas_udf(_array_type())
     def parse(urls: pd.Series, pages_: pd.Series) -> pd.Series:
         return pd.Series([parse_page(u, h) for u, h in zip(urls, pages_, strict=True)])
 
-    return pages.select(*{id, url, html}).repartition(id).select(F.col(id), F.col(url).alias("page_url"), F.inline(parse(F.col(url), F.col(html))))
+    return pages.select(*{id, url, html}).repartition(parts, id).select(F.col(id), F.col(url).alias("page_url"), F.inline(parse(F.col(url), F.col(html))))
 
 
 def _array_type() -> str:
