@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .centroids import cluster
 from .common import scratch, table
 from .decontaminate import find_contaminated
 from .lines import dedup_lines
 from .lm import score_texts, training_rows
 from .mixing import plan_mix
 from .quality_rules import RULES, STOP_WORDS, SYMBOLS, measure_quality
+from .resampling import importance_scores
 from .simhash import simhash_groups
 from .site_quality import score_quality, sites_of_pages
 from .substrings import repeated_passages
@@ -65,7 +67,16 @@ def op10_lm_scoring(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"), training_rows(F.col("doc_id")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_substring_dedup, op4_line_dedup, op5_quality_rules, op6_toxicity, op7_site_quality, op8_warc, op9_decontamination, op10_lm_scoring)}
+def op11_resampling(spark, sf_dir):
+    scored = importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_centroids(spark, sf_dir):
+    return cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_substring_dedup, op4_line_dedup, op5_quality_rules, op6_toxicity, op7_site_quality, op8_warc, op9_decontamination, op10_lm_scoring, op11_resampling, op12_centroids)}
 
 #: DuckDB's form of the characters that separate words.
 _WS = r"[\x20\x09-\x0D]+"
@@ -134,4 +145,48 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN '
   CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to FROM k
 """
 
-ORACLE_SQL = {"op8_warc": OP8_SQL, "op1_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_quality_rules": _op5_sql()}
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, four bits at a time; the table of 16 steps follows from the polynomial."""
+    steps = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        steps.append(c)
+    digits = f"list_transform(range(octet_length(encode({text})) * 2), lambda i: (instr('0123456789ABCDEF', substr(hex(encode({text})), (i // 2 * 2 + 2 - i % 2)::INT, 1)) - 1)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {digits}), lambda c, x: xor(c >> 4, ({steps}::BIGINT[])[((xor(c, x) & 15) + 1)::INT])), 4294967295::BIGINT)"
+
+
+OP11_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, text, 0 AS side FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, 1 FROM benchmark),
+w AS (SELECT r, doc_id, side, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM t),
+f AS (SELECT r, side, f, count(*)::BIGINT AS n FROM (SELECT r, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w) GROUP BY ALL),
+h AS (SELECT f, {_crc32_sql('f')} % 10000 AS b FROM (SELECT DISTINCT f FROM f)),
+c AS (SELECT b, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t FROM f JOIN h USING (f) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM c) + 10000)) / ((s + 1) * ((SELECT sum(t) FROM c) + 10000))))::BIGINT AS gain FROM c),
+m AS (SELECT r, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS total FROM f JOIN h USING (f) JOIN g USING (b) WHERE side = 0 GROUP BY r),
+d AS (SELECT r, doc_id, len(w) AS words, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+  ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w LEFT JOIN m USING (r) WHERE side = 0),
+s AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM d),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM s WHERE words >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN place <= n * 25 // 100 THEN place END::BIGINT AS rank FROM s LEFT JOIN o USING (r)
+"""
+
+
+def _op12_sql(k: int = 16, rounds: int = 3) -> str:
+    parts = [
+        "p AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64)",
+        f"c0 AS (SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS c, v AS m FROM (SELECT v, sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h FROM p ORDER BY h, v LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        distance = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT"
+        parts.append(f"a{i} AS (SELECT r, vec_id, v, c, d FROM (SELECT r, vec_id, v, c, {distance} AS d FROM p, c{i}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if i < rounds:
+            sums = f"SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{i}) GROUP BY ALL"
+            parts.append(f"c{i + 1} AS (SELECT c{i}.c, coalesce(q.m, c{i}.m) AS m FROM c{i} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM ({sums}) GROUP BY c) q ON c{i}.c = q.c)")
+    last = f"SELECT vec_id, a.c AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c"
+    return f"WITH {', '.join(parts)} {last}"
+
+
+ORACLE_SQL = {"op8_warc": OP8_SQL, "op1_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_quality_rules": _op5_sql(), "op11_resampling": OP11_SQL, "op12_centroids": _op12_sql()}
