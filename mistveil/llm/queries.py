@@ -16,6 +16,7 @@ from .simhash import simhash_groups
 from .site_quality import score_quality, sites_of_pages
 from .substrings import repeated_passages
 from .toxicity import held_out, score_toxicity
+from .vectors import link_vectors
 from .warc import pages_of, read_warc, write_warc
 
 
@@ -76,7 +77,11 @@ def op12_centroids(spark, sf_dir):
     return cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_substring_dedup, op4_line_dedup, op5_quality_rules, op6_toxicity, op7_site_quality, op8_warc, op9_decontamination, op10_lm_scoring, op11_resampling, op12_centroids)}
+def op13_vectors(spark, sf_dir):
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_substring_dedup, op4_line_dedup, op5_quality_rules, op6_toxicity, op7_site_quality, op8_warc, op9_decontamination, op10_lm_scoring, op11_resampling, op12_centroids, op13_vectors)}
 
 #: DuckDB's form of the characters that separate words.
 _WS = r"[\x20\x09-\x0D]+"
