@@ -26,7 +26,7 @@ from .common import digest, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes of texts in a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def blocks(batch: pa.RecordBatch, column: str):
