@@ -290,6 +290,7 @@ def close_in_leaf(cell: np.ndarray, sketch: np.ndarray, radius: np.ndarray, side
     """Pairs of cells of a leaf whose sketches do not rule out that members are within the angle; with side, pairs of two sides only."""
     a, b = (np.arange(len(cell)),) * 2 if side is None else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     left, right = [], []
+    sketch = sketch.view(np.uint64)  # of signed numbers the bits of the absolute value would be counted
     for at in range(0, len(a), 512):
         rows = a[at : at + 512]
         apart = sum(np.bitwise_count(sketch[rows, i][:, None] ^ sketch[b, i][None]).astype(np.int16) for i in (0, 1))
