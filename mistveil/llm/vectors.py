@@ -75,7 +75,7 @@ class Tree:
     def __init__(self, sample: np.ndarray, depth: int, margin: float, rng: np.random.Generator):
         self.directions = rng.standard_normal((sample.shape[1], depth))
         at = sample @ self.directions
-        self.margins = margin * at.std(0)
+        self.margins = margin * at.std(0) if len(at) else np.zeros(depth)
         self.level = np.median(at, axis=0) if len(at) else np.zeros(depth)
         self.fitted = min(depth, max(0, int(log2(max(1, len(sample)) / 64))))
         self.nodes = np.zeros(1 << self.fitted)
@@ -151,8 +151,8 @@ def cells_of(x: np.ndarray, least: float, most: float, dense: int):
         degree = np.where(free, degree - near[:, members].sum(1), 0)
 
 
-def _condensed(rows: DataFrame, forest: Forest, sample: np.ndarray, total: int, kind: str) -> DataFrame:
-    """Stored rows (_row, _id, _v) with _cell; a cell's row of the same number also has its _radius, _n, _low (smallest id) and, if it has several members, _centre."""
+def _condensed(rows: DataFrame, forest: Forest, sample: np.ndarray, total: int) -> DataFrame:
+    """Stored rows (_row, _id, _v) with _cell and _many (whether that has several members); one row of such a cell has its _centre, _radius and _n."""
     s, dims, tree = forest.settings, forest.dims, forest.trees[0]
     # A leaf that holds more of the sample than a block may is dealt over several blocks.
     home, n = np.unique(tree.route(sample, spill=False)[1], return_counts=True)
@@ -169,57 +169,43 @@ def _condensed(rows: DataFrame, forest: Forest, sample: np.ndarray, total: int,
     given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
 
     def condense(block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
         row = block.column("_row").to_numpy()
         x = units(block.column("_v"), dims)
-        ids = block.column("_id").to_pylist()
-        cell, radius, n, low, centre = row.copy(), np.zeros(len(row)), np.ones(len(row), np.int64), list(ids), [None] * len(row)
-        leads = np.ones(len(row), bool)
+        cell, many, heads = row.copy(), np.zeros(len(row), bool), {}
         for at in range(0, len(row), BLOCK):  # a block larger than planned is cut
             for members, middle, far in cells_of(x[at : at + BLOCK], s.least, s.angle / 2 - FUZZ, s.dense):
                 members = members + at
-                first = members[0]
-                cell[members], leads[members] = row[first], False
-                leads[first], radius[first], n[first], centre[first] = True, far, len(members), middle.tolist()
-                low[first] = min((ids[m] for m in members if ids[m] is not None), default=None)
-        mask = ~leads
-        columns = [block.column("_row"), block.column("_id"), block.column("_v"), pa.array(cell), pa.array(radius, mask=mask), pa.array(n, mask=mask), pa.array([low[i] if leads[i] else None for i in range(len(row))], block.schema.field("_id").type), pa.array(centre, pa.list_(pa.float64()))]
-        return pa.table(columns, names=["_row", "_id", "_v", "_cell", "_radius", "_n", "_low", "_centre"])
+                cell[members], many[members] = row[members[0]], True
+                heads[members[0]] = (middle.tolist(), far, len(members))
+        about = [[heads.get(i, (None, None, None))[k] for i in range(len(row))] for k in range(3)]
+        columns = [*(block.column(c) for c in ("_row", "_id", "_v")), pa.array(cell), pa.array(many), pa.array(about[0], pa.list_(pa.float64())), pa.array(about[1], pa.float64()), pa.array(about[2], pa.int64())]
+        return pa.table(columns, names=["_row", "_id", "_v", "_cell", "_many", "_centre", "_radius", "_n"])
 
     dealt = rows.mapInArrow(deal, f"{given}, _home long, _salt long")
-    out = f"{given}, _cell long, _radius double, _n long, _low {kind}, _centre array<double>"
-    return stored(dealt.groupBy("_home", "_salt").applyInArrow(condense, out), "cells")
+    return stored(dealt.groupBy("_home", "_salt").applyInArrow(condense, f"{given}, _cell long, _many boolean, _centre array<double>, _radius double, _n long"), "cells")
 
 
-def merged_cells(x: np.ndarray, radius: np.ndarray, n: np.ndarray, most: float):
-    """(members, centre, radius) of unions of cells that stay within the angle `most`, the largest cells first; every cell is in one."""
+def merged(x: np.ndarray, n: np.ndarray, most: float):
+    """(members, centre) of groups of centres within the angle `most` of one of them, the heaviest first; every centre is in one."""
     left = np.argsort(-n, kind="stable")
     while len(left):
-        seed = left[0]
-        close = left[angles(x[left], x[seed][None]) + radius[left] <= most]
-        members, centre, far = np.array([seed]), x[seed], radius[seed : seed + 1]
-        if len(close) > 1:
-            middle = (x[close] * n[close, None]).sum(0)
-            middle /= np.linalg.norm(middle)
-            reach = angles(x[close], middle[None]) + radius[close]
-            if reach[close == seed] <= most:
-                members, centre, far = close[reach <= most], middle, reach[reach <= most]
-        yield members, centre, float(far.max())
-        left = left[~np.isin(left, members)]
-
-
-def _united(cells: DataFrame, forest: Forest, kind: str) -> DataFrame:
-    """Cells of several members (_cell, _v, _radius, _n, _low) united as far as they fit: _cell, _super, and of a union's own row _v, _radius, _n, _low.
-
-    A group spread over many blocks has a cell in each; rounds of unions within blocks of cells make few of them.
+        near = angles(x[left], x[left[0]][None]) <= most
+        members, left = left[near], left[~near]
+        middle = (x[members] * n[members, None]).sum(0)
+        yield members, middle / np.linalg.norm(middle)
+
+
+def _united(cells: DataFrame, forest: Forest) -> DataFrame:
+    """Stored: for each cell of several members (_cell, _v, _radius, _n) its union's number _super and centre _middle.
+
+    A group spread over many blocks has a cell in each. Rounds of unions within blocks of centres bring them
+    together; a union has the heaviest cell's number.
     """
-    s, dims = forest.settings, forest.dims
-    schema = f"_cell long, _super long, _v array<double>, _radius double, _n long, _low {kind}"
-    alone = cells.select("_cell", F.col("_cell").alias("_super"), "_v", "_radius", "_n", "_low")
-    known, count, turn = stored(alone, "unions"), cells.count(), 0
+    dims, most = forest.dims, forest.settings.angle / 4
+    heads, count, turn = cells.select("_cell", "_v", "_n"), cells.count(), 0
+    known = cells.select("_cell", "_radius", F.col("_cell").alias("_super"), F.col("_v").alias("_middle"))
     while count > 1:
         tree = forest.trees[turn % len(forest.trees)]
-        own = known.where("_cell = _super")
 
         def deal(batches, tree=tree):
             for batch in batches:
@@ -227,35 +213,51 @@ def _united(cells: DataFrame, forest: Forest, kind: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home)], names=[*batch.schema.names, "_home"])
 
         def unite(block: pa.Table) -> pa.Table:
-            block = block.combine_chunks()
-            x, radius, n = units(block.column("_v"), dims), block.column("_radius").to_numpy(), block.column("_n").to_numpy()
-            cell, low = block.column("_cell").to_numpy(), block.column("_low").to_pylist()
-            into = cell.copy()
-            far, size, least, centre = [None] * len(cell), [None] * len(cell), [None] * len(cell), [None] * len(cell)
-            for members, middle, reach in merged_cells(x, radius, n, s.angle / 2 - FUZZ):
-                head = members[np.argmin(cell[members])]
-                into[members] = cell[head]
-                far[head], size[head], centre[head] = reach, int(n[members].sum()), middle.tolist()
-                least[head] = min((low[m] for m in members if low[m] is not None), default=None)
-            columns = [pa.array(cell), pa.array(into), pa.array(centre, pa.list_(pa.float64())), pa.array(far, pa.float64()), pa.array(size, pa.int64()), pa.array(least, block.schema.field("_low").type)]
-            return pa.table(columns, names=["_cell", "_super", "_v", "_radius", "_n", "_low"])
-
-        homed = own.mapInArrow(deal, f"{schema}, _home long")
+            cell, n = block.column("_cell").to_numpy(), block.column("_n").to_numpy()
+            into, size, centre = cell.copy(), n.copy(), [None] * len(cell)
+            for members, middle in merged(units(block.column("_v"), dims), n, most):
+                into[members], size[members] = cell[members[0]], n[members].sum()
+                for m in members:
+                    centre[m] = middle.tolist()
+            return pa.table([pa.array(cell), pa.array(into), pa.array(centre, pa.list_(pa.float64())), pa.array(size)], names=["_cell", "_into", "_v", "_n"])
+
+        homed = heads.mapInArrow(deal, "_cell long, _v array<double>, _n long, _home long")
         if count <= BLOCK:
-            homed = homed.withColumn("_home", F.lit(0))  # few enough for one block
+            homed = homed.withColumn("_home", F.lit(0).cast("long"))  # few enough for one block
         sizes = homed.groupBy("_home").agg(F.ceil(F.count("*") / BLOCK).alias("_parts"))
-        block = F.pmod(F.xxhash64(F.lit(turn), "_cell"), F.col("_parts"))
-        step = stored(homed.join(sizes, "_home").withColumn("_salt", block).groupBy("_home", "_salt").applyInArrow(unite, schema), "union-step")
-        onward = step.select(F.col("_cell").alias("_super"), F.col("_super").alias("_next"), *[F.col(c).alias(f"{c}2") for c in ("_v", "_radius", "_n", "_low")])
-        joined = known.select("_cell", "_super").join(onward, "_super")
-        head = F.col("_cell") == F.col("_next")
-        known = stored(joined.select("_cell", F.col("_next").alias("_super"), *[F.when(head, F.col(f"{c}2")).alias(c) for c in ("_v", "_radius", "_n", "_low")]), "unions")
-        before, count, turn = count, known.where("_cell = _super").count(), turn + 1
+        salted = homed.join(sizes, "_home").withColumn("_salt", F.pmod(F.xxhash64(F.lit(turn), "_cell"), F.col("_parts")))
+        step = stored(salted.groupBy("_home", "_salt").applyInArrow(unite, "_cell long, _into long, _v array<double>, _n long"), "unions")
+        onward = step.select(F.col("_cell").alias("_super"), "_into", F.col("_v").alias("_middle"))
+        known = stored(known.drop("_middle").join(onward, "_super").select("_cell", "_radius", F.col("_into").alias("_super"), "_middle"), "united")
+        heads = step.where("_cell = _into").select("_cell", "_v", "_n")
+        before, count, turn = count, heads.count(), turn + 1
         if before <= BLOCK or count > 0.9 * before:
             break
     return known
 
 
+def _settled(members: DataFrame, unions: DataFrame, forest: Forest) -> DataFrame:
+    """Stored: members of cells of several rows (_row, _id, _v) with their last _cell, _far and _centre.
+
+    A member near enough to its union's centre is in the union's cell, numbered below 0; others stay in the cell they
+    were in. _far is the angle to the union's centre, or the old cell's radius.
+    """
+    dims, most = forest.dims, forest.settings.angle / 2 - FUZZ
+
+    def settle(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            far = angles(units(batch.column("_v"), dims), units(batch.column("_middle"), dims))
+            fits = far <= most
+            cell = np.where(fits, -1 - batch.column("_super").to_numpy(), batch.column("_cell").to_numpy())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_row", "_id", "_v")), pa.array(cell), pa.array(np.where(fits, far, batch.column("_radius").to_numpy()))], names=["_row", "_id", "_v", "_cell", "_far"])
+
+    joined = members.select("_row", "_id", "_v", "_cell").join(unions, "_cell")
+    given = ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in ("_row", "_id", "_v"))
+    return stored(joined.select("_row", "_id", "_v", "_cell", "_radius", "_super", "_middle").mapInArrow(settle, f"{given}, _cell long, _far double"), "settled")
+
+
 def _entries(rows: DataFrame, cells: DataFrame, forest: Forest) -> DataFrame:
     """Stored: leaf, cell, s0, s1 (sketch), radius; each cell once in each leaf that one of its members comes to."""
     dims = forest.dims
@@ -387,20 +389,20 @@ def link_vectors(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embed
     s = settings or Settings()
     rows = vectors.select(F.col(id).alias("_id"), F.col(vector).alias("_v"), F.monotonically_increasing_id().alias("_row"))
     rows = stored(rows.withColumn("_v", F.when(_valid(F.col("_v"), dims), F.col("_v"))), "vectors")
-    kind = rows.schema["_id"].dataType.simpleString()
     sound = rows.where("_v IS NOT NULL")
     n = sound.count()
     drawn = hash_sample(sound, ["_row"], s.sample).select("_v").toArrow()  # bounded by s.sample
     sample = units(drawn.column("_v"), dims) if drawn.num_rows else np.zeros((0, dims))
     forest = Forest(sample, n, dims, s)
-    rows_in = _condensed(sound, forest, sample, n, kind)
-    many = rows_in.where("_centre IS NOT NULL").select("_cell", F.col("_centre").alias("_v"), "_radius", "_n", "_low")
-    unions = _united(many, forest, kind)
-    renamed = unions.select(F.col("_cell").alias("_old"), "_super")
-    joined = rows_in.join(renamed, F.col("_cell") == F.col("_old"), "left").withColumns({"_many": F.col("_super").isNotNull(), "_cell": F.coalesce("_super", "_cell")})
-    placed = stored(joined.select("_row", "_id", "_v", "_cell", "_many"), "placed")
-    one = placed.where("NOT _many").select("_cell", F.col("_v").cast("array<double>").alias("_v"), F.lit(0.0).alias("_radius"), F.lit(1).cast("long").alias("_n"), F.col("_id").alias("_low"), F.lit(False).alias("_many"))
-    cells = one.unionByName(unions.where("_cell = _super").select("_cell", "_v", "_radius", "_n", "_low", F.lit(True).alias("_many")))
+    condensed = _condensed(sound, forest, sample, n)
+    old = condensed.where("_centre IS NOT NULL").select("_cell", F.col("_centre").alias("_v"), "_radius", "_n")
+    unions = _united(old, forest)
+    members = _settled(condensed.where("_many"), unions, forest)
+    placed = condensed.where("NOT _many").select("_row", "_id", "_v", "_cell", "_many").unionByName(members.select("_row", "_id", "_v", "_cell", F.lit(True).alias("_many")))
+    centres = old.select("_cell", "_v").unionByName(unions.where("_cell = _super").select((-1 - F.col("_super")).alias("_cell"), F.col("_middle").alias("_v")))
+    sizes = members.groupBy("_cell").agg(F.max("_far").alias("_radius"), F.count("*").alias("_n"), F.min("_id").alias("_low"))
+    one = condensed.where("NOT _many").select("_cell", F.col("_v").cast("array<double>").alias("_v"), F.lit(0.0).alias("_radius"), F.lit(1).cast("long").alias("_n"), F.col("_id").alias("_low"), F.lit(False).alias("_many"))
+    cells = one.unionByName(stored(sizes.join(centres, "_cell").withColumn("_many", F.lit(True)), "centres"))
     judged = _judged(_candidates(_entries(placed, cells, forest), s.angle), cells, forest)
     found = _by_member(judged.where("NOT sure"), placed, forest)
     sure = judged.where("sure")
