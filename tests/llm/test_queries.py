@@ -16,13 +16,16 @@ COLUMNS = {
     "op6_toxicity": "doc_id held_out score predicted",
     "op8_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op10_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op11_resampling": "doc_id n_features weight score rank",
+    "op12_centroids": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
+    "op13_vectors": "vec_id n_links component_id kept",
 }
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_sql(spark, folder, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     frame = QUERIES[name](spark, folder)
     columns = sorted(frame.columns)
@@ -33,15 +36,15 @@ def test_same_rows_as_sql(spark, folder, name):
     assert sorted(repr([r[c] for c in columns]) for r in frame.collect()) == want
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_contract_columns(spark, folder, name):
     frame = QUERIES[name](spark, folder)
     assert set(COLUMNS[name].split()) <= set(frame.columns)
-    table = "pages" if name == "op8_warc" else "documents"
+    table = {"op8_warc": "pages", "op12_centroids": "embeddings", "op13_vectors": "embeddings"}.get(name, "documents")
     assert frame.count() == spark.read.parquet(f"{folder}/{table}.parquet").count()
 
 
