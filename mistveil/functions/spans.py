@@ -16,9 +16,10 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def hits(text: Column, pattern: str) -> Column:
+def hits(text: Column, pattern: str | Column) -> Column:
     """Non-overlapping hits of a pattern: array of (start, end)."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    form = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, between = F.regexp_extract_all(text, form, F.lit(0)), F.split(text, form, F.lit(-1))
 
     def placed(m: Column) -> Column:
         nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))

@@ -65,18 +65,23 @@ def _malformed(segments: Column) -> Column:
 def url_texts(raw: Column) -> Column:
     """What a URL says, as an array of (text, opaque): its path segments, then its query values.
 
-    opaque texts go whatever they hold. A URL with a malformed percent code in
-    its path is one text, as it is.
+    opaque texts go whatever they hold. A relative URL with a malformed percent
+    code in its path is one text, as it is; an absolute one says nothing that
+    could be shown (one null text).
     """
     url = split_url(raw)
     part = lambda t, o: F.struct(t.alias("text"), o.alias("opaque"))
+    unread = F.when(url["scheme"] == "", raw)
     segments = _segments(url["path"])
     values = F.transform(_values(url["query"]), lambda p: part(p["v"], (p["v"] != "") & is_sensitive(p["k"], p["v"])))
-    return F.when(_malformed(segments), F.array(part(raw, F.lit(False)))).otherwise(F.concat(F.transform(segments, lambda s: part(s, F.lit(False))), values))
+    return F.when(_malformed(segments), F.array(part(unread, F.lit(False)))).otherwise(F.concat(F.transform(segments, lambda s: part(s, F.lit(False))), values))
 
 
 def url_of(raw: Column, texts: Column) -> Column:
-    """The URL again with texts in the places of url_texts(raw): user names go, a fragment stays if it is a short anchor, relative paths gain a leading slash."""
+    """The URL again with texts in the places of url_texts(raw): user names go, a fragment stays if it is a short anchor, relative paths gain a leading slash.
+
+    Null for an absolute URL with a malformed percent code in its path, so that nothing of it gets out.
+    """
     url = split_url(raw)
     segments, values = _segments(url["path"]), _values(url["query"])
     path = F.array_join(F.transform(F.slice(texts, F.lit(1), F.size(segments)), lambda s: F.when(s == "", s).otherwise(encode_component(s))), "/")
@@ -92,7 +97,7 @@ def url_of(raw: Column, texts: Column) -> Column:
 def clean_url(raw: Column, clean_text, opaque) -> Column:
     """A URL with path segments and query values cleaned by clean_text and sensitive values replaced by opaque; see url_of.
 
-    With a malformed percent code in its path it is cleaned as one text.
+    With a malformed percent code in its path a relative one is cleaned as one text, an absolute one is null.
     """
     return url_of(raw, F.transform(url_texts(raw), lambda p: F.when(p["opaque"], opaque(p["text"])).when(p["text"] == "", p["text"]).otherwise(clean_text(p["text"]))))
 

@@ -23,8 +23,10 @@ RESPONSE = f"struct<thought:string,actions:array<{ACTION}>,done:boolean,answer:s
 def contents(results: DataFrame, nodes: DataFrame, *, by: list[str]) -> DataFrame:
     """nodes with content, a map from field to sanitized text: windows merged, secret values hidden.
 
-    results: by, node, field, window, text.
+    results: by, node, field, window, text. A field with a withheld (null)
+    text has no content.
     """
+    results = results.where("text IS NOT NULL")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("window", "text"))), lambda r: r["text"])
     fields = results.groupBy(*by, "node", "field").agg(ordered.alias("texts"))
     joined = F.when((F.col("field") == "text") & (F.size("texts") > 1), merge_windows(F.col("texts"))).otherwise(F.get("texts", F.lit(0)))

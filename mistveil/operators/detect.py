@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +19,6 @@ LABELS = {
 #: Scores from which a detection counts as high and as medium.
 BUCKETS = {"ner": (0.85, 0.60), "face": (0.75, 0.50), "ocr": (85.0, 60.0)}
 
-MIN_KNOWN_CHARS = 3
-
 
 def label_type(label: Column) -> Column:
     """The type of a tagger's label; null for labels that are not personal, OTHER for unknown ones."""
@@ -45,12 +41,22 @@ def no_tags(text: Column) -> Column:
 
 
 def tagger(function):
-    """A column function from a Python function list[str] -> list[list[(type, start, end)]], called once an Arrow batch."""
+    """A column function from a Python function list[str] -> list[list[(type, start, end)]], called once an Arrow batch.
+
+    If it fails, each text of the batch is tried alone; those on which it
+    fails again get null, and what they stand in is withheld.
+    """
+
+    def each(texts: list[str]) -> list:
+        try:
+            return function(texts)
+        except Exception:  # noqa: BLE001  a tagger may fail in any way
+            return [None] if len(texts) == 1 else [found for t in texts for found in each([t])]
 
     @F.pandas_udf(f"array<{SPAN}>")
     def tag(texts: pd.Series) -> pd.Series:
-        found = function([t or "" for t in texts])
-        return pd.Series([[{"type": k, "start": s, "end": e} for k, s, e in spans] for spans in found])
+        found = each([t or "" for t in texts])
+        return pd.Series([None if spans is None else [{"type": k, "start": s, "end": e} for k, s, e in spans] for spans in found], dtype=object)
 
     return tag
 
@@ -94,57 +100,34 @@ def decide(text: Column, found: Column, tags: Column, origin: Column, hints: Col
 
 
 def with_spans(units: DataFrame, tag=no_tags) -> DataFrame:
-    """units (text, origin, and hints and is_mailto if they are there) with decided spans in column spans.
+    """units (text, origin, and hints, is_mailto and known if they are there) with decided spans in column spans.
 
-    Equal texts in equal contexts are tagged once only where a tagger is
-    given; the tagger sees pattern hits masked.
+    known, spans of values that the session has seen, come first: patterns and
+    tags that overlap them fall away, and public addresses among them stay
+    spans. Equal texts in equal contexts are tagged once only where a tagger
+    is given; the tagger sees hits masked. spans is null where the tagger
+    failed. patterns, if there, holds what the patterns find in each text.
     """
     hints = F.col("hints") if "hints" in units.columns else None
     mailto = F.col("is_mailto") if "is_mailto" in units.columns else None
-    found = units.withColumn("_found", pattern_spans(F.col("text")))
+    known = F.col("known") if "known" in units.columns else None
+    text = F.col("text")
+
+    def decided(tags: Column) -> Column:
+        own = decide(text, F.col("_found"), tags, F.col("origin"), hints, mailto)
+        return own if known is None else by_start(F.concat(known, own))
+
+    hit = F.col("patterns") if "patterns" in units.columns else pattern_spans(text)
+    free = hit if known is None else F.filter(hit, lambda s: ~F.exists(known, lambda k: overlap(s, k)))
+    found = units.withColumn("_found", free)
     if tag is no_tags:
-        return found.withColumn("spans", decide(F.col("text"), F.col("_found"), no_tags(F.col("text")), F.col("origin"), hints, mailto)).drop("_found")
-    covered = found.withColumn("_mask", masked(F.col("text"), F.col("_found")))
+        return found.withColumn("spans", decided(no_tags(text))).drop("_found")
+    covered = found.withColumn("_mask", masked(text, F.col("_found") if known is None else by_start(F.concat(known, "_found"))))
     shown = covered.select(F.col("_mask.text").alias("_shown")).distinct()
     tagged = shown.withColumn("_tags", tag(F.col("_shown")))
     both = covered.withColumn("_shown", F.col("_mask.text")).join(tagged, "_shown", "left")
-    tags = unmasked(F.coalesce("_tags", no_tags(F.col("text"))), F.col("_mask.places"))
-    return both.withColumn("spans", decide(F.col("text"), F.col("_found"), tags, F.col("origin"), hints, mailto)).drop("_found", "_mask", "_shown", "_tags")
-
-
-def known_spans_of(text: str, known: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
-    """Places of known values (type, value) in a text: whole words, any case, longest first, not inside placeholders."""
-    taken = [m.span() for m in re.finditer(PLACEHOLDER, text)]
-    places = []
-    for kind, value in known:
-        value = value.strip()
-        if len(value) >= MIN_KNOWN_CHARS:
-            places += [(m.start(), m.end(), kind) for m in re.finditer(rf"(?<!\w){re.escape(value)}(?!\w)", text, re.IGNORECASE)]
-    out = []
-    for start, end, kind in sorted(places, key=lambda p: (p[0] - p[1], p[0])):
-        if not any(start < e and s < end for s, e in taken):
-            taken.append((start, end))
-            out.append((kind, start, end))
-    return sorted(out, key=lambda s: s[1])
-
-
-def known_values(units: DataFrame, tokens: DataFrame) -> DataFrame:
-    """units with column known: spans of values that the session's map already holds for the origin.
-
-    The values of one session and origin are gathered next to each of its
-    units; a session's map is bounded by what it has seen.
-    """
-    by_origin = tokens.groupBy("session_id", "origin").agg(F.array_sort(F.collect_list(F.struct("type", "value"))).alias("_values"))
-
-    @F.pandas_udf(f"array<{SPAN}>")
-    def find(texts: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for text, known in zip(texts, values, strict=True):
-            pairs = [] if known is None else [(k["type"], k["value"]) for k in known]
-            out.append([{"type": k, "start": s, "end": e} for k, s, e in known_spans_of(text or "", pairs)])
-        return pd.Series(out)
-
-    return units.join(by_origin, ["session_id", "origin"], "left").withColumn("known", find("text", "_values")).drop("_values")
+    tags = unmasked(F.when(text.isNull(), no_tags(text)).otherwise(F.col("_tags")), F.col("_mask.places"))
+    return both.withColumn("spans", decided(tags)).drop("_found", "_mask", "_shown", "_tags")
 
 
 def align_tokens(text: str, pieces: list[tuple[str, str, float]]) -> list[tuple[str, float, int, int]]:

@@ -14,6 +14,7 @@ from ..functions.boxes import union_box
 from ..functions.patterns import JS_SPACE
 from ..functions.spans import overlap
 from .detect import bucket, no_tags, with_spans
+from .known import known_values
 
 #: Fixed values.
 SUSPECT_DIGITS, READ_TIMEOUT_MS = 4, 30_000
@@ -70,13 +71,22 @@ def covered(words: Column, span: Column) -> Column:
     return F.filter(words, lambda w: overlap(w, span))
 
 
-def redactions(words: DataFrame, *, by: list[str], tag=no_tags) -> tuple[DataFrame, DataFrame]:
+def redactions(words: DataFrame, *, by: list[str], tag=no_tags, tokens: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(words to paint over, spans): by, line, word, box; and by, line, type, start, end, box around all words of the span.
 
     words: by (with origin among it), word, line, text, confidence, box. Words
-    go that a span touches or that are suspect, each once.
+    go that a span touches or that are suspect, each once. With tokens
+    (session_id, origin, type, value), the map that sessions had before,
+    session_id is among by too, and values of the map are spans wherever they
+    stand. Lines on which the tagger failed go whole.
     """
-    spotted = with_spans(ocr_lines(words, by=by), tag)
+    lines = ocr_lines(words, by=by)
+    if tokens is not None:
+        numbered = lines.withColumn("unit", F.struct(*by, "line"))
+        lines = known_values(numbered, tokens.select("session_id", "origin", "type", "value")).drop("unit")
+    spotted = with_spans(lines, tag)
+    failed = F.array(F.struct(F.lit("OTHER").alias("type"), F.lit(0).alias("start"), F.length("text").alias("end")))
+    spotted = spotted.withColumn("spans", F.coalesce("spans", failed))
     bad = F.filter("words", lambda w: w["suspect"] | F.exists(F.col("spans"), lambda s: overlap(w, s)))
     painted = spotted.select(*by, "line", F.explode(bad).alias("_w")).select(*by, "line", "_w.word", "_w.box")
     each = spotted.select(*by, "line", "words", F.explode("spans").alias("_s")).withColumn("_on", covered(F.col("words"), F.col("_s"))).where(F.size("_on") > 0)

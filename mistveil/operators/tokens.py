@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import JS_SPACE, TOKEN
-from ..functions.spans import piece, replaced
+from ..functions.spans import pattern_spans, piece, replaced
 from ..functions.urls import url_of, url_texts
 from ..sources.tables import written
 from .detect import no_tags, with_spans
+from .known import known_values
 
 KEY = ("session_id", "origin", "type", "norm")
 
@@ -63,39 +64,66 @@ def rewrite(units: DataFrame, found: DataFrame, tokens: DataFrame) -> DataFrame:
     """units with their spans replaced by tokens in column text; other columns stay.
 
     Null keys are keys like others. Rows equal in session, origin, unit and
-    text share their spans. A row whose spans are not in found stays, but its
-    text is null, so that nothing gets out.
+    text share their spans. A row whose spans are null or not in found stays,
+    but its text is null, so that nothing gets out.
     """
     key = ("session_id", "origin", "unit")
     parts = _joined(found, tokens.select(*KEY, "token"), KEY).groupBy(*key)
     parts = parts.agg(F.array_sort(F.collect_set(F.struct("start", "end", "token"))).alias("parts"))
-    plain, touched = units.where(F.size("spans") == 0), units.where(F.size("spans") > 0)
+    plain, touched = units.where(F.coalesce(F.size("spans"), F.lit(-1)) <= 0), units.where(F.size("spans") > 0)
+    plain = plain.withColumn("text", F.when(F.size("spans") == 0, F.col("text")))
     changed = _joined(touched, parts, key, "left").withColumn("text", F.when(F.col("parts").isNotNull(), replaced(F.col("text"), F.col("parts")))).drop("parts")
     return plain.unionByName(changed.select(*plain.columns))
 
 
+def spotted(units: DataFrame, tag=no_tags) -> DataFrame:
+    """Written units with their spans, those of values known from earlier units of the session and origin among them.
+
+    Spans are found in all texts first; what they hold, as of the unit each
+    value comes first in, is then looked for in later units, and units that
+    hold such values are looked through again with these masked. A value
+    counts as known even if a later look finds it only as part of another.
+    """
+    looked = written(units.withColumn("patterns", pattern_spans(F.col("text"))), "patterns")
+    first = written(with_spans(looked, tag).withColumn("spans", F.when(F.col("_opaque"), opaque_span(F.col("text"))).otherwise(F.col("spans"))), "spans")
+    held = written(known_values(first.where("NOT _opaque"), token_map(occurrences(first))).where(F.size("known") > 0).drop("spans"), "known")
+    again = with_spans(held, tag).select(*first.columns)
+    hit = held.select(*[F.col(c).alias(f"_hit_{c}") for c in ("session_id", "origin", "unit")]).distinct()
+    same = F.lit(True)
+    for c in ("session_id", "origin", "unit"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_hit_{c}"))
+    others = first.join(hit, same, "left_anti")
+    return written(others.unionByName(again).drop("patterns"), "spotted")
+
+
 def sanitize(units: DataFrame, tag=no_tags) -> tuple[DataFrame, DataFrame]:
-    """(units with sanitized text, their token map); units with field href or src take the way of URLs.
+    """(units with sanitized text and failed, their token map); units with field href or src take the way of URLs.
 
     Of a URL the path segments and query values are texts of their own and
-    sensitive values go whole; tokens are the same as in other fields. Units
-    are told apart by session_id, origin and unit. Null texts stay null.
+    sensitive values go whole; tokens are the same as in other fields. Values
+    that earlier units of the session and origin have shown are masked in
+    later ones wherever they stand. Units are told apart by session_id, origin
+    and unit. Null texts stay null. failed marks units whose text is withheld:
+    absolute URLs with a malformed percent code in the path, and texts on
+    which the tagger failed.
     """
     link = F.col("field").isin("href", "src")
     whole = F.array(F.struct(F.col("text").alias("text"), F.lit(False).alias("opaque")))
     parts = F.when(link & F.col("text").isNotNull(), url_texts(F.col("text"))).otherwise(whole)
-    each = units.withColumns({"_raw": F.when(link, F.col("text")), "_unit": F.col("unit")}).select(*[c for c in units.columns if c not in ("text", "unit")], "_raw", "_unit", F.posexplode(parts).alias("_part", "_p"))
+    given = F.col("text").isNotNull()
+    each = units.withColumns({"_raw": F.when(link, F.col("text")), "_unit": F.col("unit"), "_given": given}).select(*[c for c in units.columns if c not in ("text", "unit")], "_raw", "_unit", "_given", F.posexplode(parts).alias("_part", "_p"))
     each = each.withColumns({"text": F.col("_p.text"), "_opaque": F.col("_p.opaque"), "unit": F.struct("_unit", "_part")}).drop("_p")
-    spotted = with_spans(each, tag).withColumn("spans", F.when(F.col("_opaque"), opaque_span(F.col("text"))).otherwise(F.col("spans")))
-    spotted = written(spotted, "spans")
-    found = occurrences(spotted)
+    found_in = spotted(each, tag)
+    found = occurrences(found_in)
     tokens = token_map(found)
-    clean = rewrite(spotted, found, tokens).withColumn("unit", F.col("_unit"))
-    plain = clean.where(F.col("_raw").isNull()).select(*units.columns)
+    clean = rewrite(found_in, found, tokens).withColumn("unit", F.col("_unit"))
+    failed = (F.col("_given") & F.col("text").isNull()).alias("failed")
+    plain = clean.where(F.col("_raw").isNull()).select(*units.columns, failed)
     rest = [c for c in units.columns if c not in ("session_id", "origin", "unit", "text")]
     texts = F.transform(F.array_sort(F.collect_list(F.struct("_part", "text"))), lambda p: p["text"])
-    links = clean.where(F.col("_raw").isNotNull()).groupBy("session_id", "origin", "unit").agg(F.first("_raw").alias("_raw"), texts.alias("_texts"), *[F.first(c).alias(c) for c in rest])
-    return plain.unionByName(links.withColumn("text", url_of(F.col("_raw"), F.col("_texts"))).select(*units.columns)), tokens
+    links = clean.where(F.col("_raw").isNotNull()).groupBy("session_id", "origin", "unit").agg(F.first("_raw").alias("_raw"), F.first("_given").alias("_given"), texts.alias("_texts"), *[F.first(c).alias(c) for c in rest])
+    lost = F.exists("_texts", lambda t: t.isNull())
+    return plain.unionByName(links.withColumn("text", F.when(~lost, url_of(F.col("_raw"), F.col("_texts")))).select(*units.columns, failed)), tokens
 
 
 def resolve(texts: DataFrame, tokens: DataFrame, *, text: str = "text") -> DataFrame:

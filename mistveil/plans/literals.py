@@ -181,8 +181,9 @@ URLS = Table(
         (4, "https://x.example/a b#aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "https://x.example/a%20b"),
         (5, "mailto:a@b.example", "mailto://%5BPII_EMAIL%5D"),
         (6, "page.html?x=1+2", "/page.html?x=1+2"),
-        (7, "https://x.example/%zz", "https://x.example/%zz"),
+        (7, "https://x.example/%zz?token=abc", None),
         (8, "https://x.example/it's(ok)!", "https://x.example/it's(ok)!"),
+        (9, "/%zz/a@b.example", "/%zz/[PII_EMAIL]"),
     ],
 )
 
@@ -220,9 +221,13 @@ LINKS = Table(
         ("s", "https://a.example", 0, "text", "mail p@q.example now", "mail [PII_EMAIL_1] now"),
         ("s", "https://a.example", 1, "href", "https://a.example/u/p@q.example/x?token=secret&n=1#top", "https://a.example/u/%5BPII_EMAIL_1%5D/x?token=%5BPII_OTHER_1%5D&n=1#top"),
         ("s", "https://a.example", 2, "src", "/img?session=secret&v=a+b", "/img?session=%5BPII_OTHER_1%5D&v=a+b"),
-        ("s", "https://a.example", 3, "href", "https://a.example/bad%zz/p@q.example", "https://a.example/bad%zz/[PII_EMAIL_1]"),
+        ("s", "https://a.example", 3, "href", "https://a.example/bad%zz/p@q.example?token=other", None),
         ("s", "https://a.example", 4, "href", "mailto:p@q.example", "mailto://%5BPII_EMAIL_1%5D"),
         ("s", "https://a.example", 5, "href", None, None),
+        ("s", "https://a.example", 6, "text", "the SECRET is secret, secrets are not", "the [PII_OTHER_1] is [PII_OTHER_1], secrets are not"),
+        ("s", "https://b.example", 7, "text", "secret of another origin", "secret of another origin"),
+        ("s", "https://a.example", 8, "href", "/bad%zz/p@q.example", "/bad%zz/[PII_EMAIL_1]"),
+        ("s", "https://a.example", 9, "href", "https://a.example/secret/x", "https://a.example/%5BPII_OTHER_1%5D/x"),
         ("t", "https://a.example", 0, "href", "/?id=123456789&id2=7&key=", "/?id=%5BPII_OTHER_1%5D&id2=7&key="),
     ],
 )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mistveil.functions.spans import pattern_spans, piece
 from mistveil.operators import detect as D
 from mistveil.operators import tokens as T
+from mistveil.operators.known import known_values
 from mistveil.operators.windows import merge_windows, window_texts
 from mistveil.plans.literals import CANARIES
 
@@ -61,17 +62,77 @@ def test_windows_merge_back(spark, texts):
     assert all(r.text == r.m for r in frame.select("text", merge_windows(windows, 5).alias("m")).collect())
 
 
-def test_known_values():
+VALUES = "session_id string, origin string, type string, value string"
+UNITS = "session_id string, origin string, unit int, text string"
+
+
+def places(spark, text, known):
+    """Spans of known values in one text."""
+    units_ = spark.createDataFrame([("s", "o", 1, text)], UNITS)
+    found = known_values(units_, spark.createDataFrame([("s", "o", k, v) for k, v in known], VALUES)).first().known
+    return [(s["type"], s["start"], s["end"]) for s in found]
+
+
+def test_known_values(spark):
     known = [("NAME", "Priya"), ("NAME", " Priya Sharma "), ("NAME", "Al")]
     text = "priya sharma met Priya, not Priyanka; [PII_NAME_1] Priya"
-    assert D.known_spans_of(text, known) == [("NAME", 0, 12), ("NAME", 17, 22), ("NAME", 51, 56)]
+    assert places(spark, text, known) == [("NAME", 0, 12), ("NAME", 17, 22), ("NAME", 51, 56)]
+
+
+def test_known_values_of_any_shape(spark):
+    assert places(spark, "a (x.y) é.(x.y) (x.y)z É", [("OTHER", "(x.y)"), ("NAME", "ééé")]) == [("OTHER", 2, 7), ("OTHER", 10, 15)]
+    assert places(spark, "call +91 98765 now, 98765", [("PHONE", "+91 98765")]) == [("PHONE", 5, 14)]
+    assert places(spark, "\\Q a\\Eb \\E", [("OTHER", "a\\Eb")]) == [("OTHER", 3, 7)]
+    assert places(spark, "pass *** end", [("OTHER", "***")]) == [("OTHER", 5, 8)]
+    assert places(spark, "ÄRGER ärger", [("NAME", "Ärger")]) == [("NAME", 0, 5), ("NAME", 6, 11)]
+    assert places(spark, "ann lee ann", [("B", "ann"), ("A", "ann")]) == [("A", 0, 3), ("A", 8, 11)]
 
 
 def test_known_values_join(spark):
-    frame = spark.createDataFrame([("s", "o", 1, "met Priya"), ("s", "p", 2, "met Priya"), ("t", "o", 3, None)], "session_id string, origin string, unit int, text string")
-    tokens = spark.createDataFrame([("s", "o", "NAME", "Priya")], "session_id string, origin string, type string, value string")
-    got = {r.unit: len(r.known) for r in D.known_values(frame, tokens).collect()}
-    assert got == {1: 1, 2: 0, 3: 0}
+    frame = spark.createDataFrame([("s", "o", 1, "met Priya"), ("s", "p", 2, "met Priya"), ("t", "o", 3, None), (None, None, 4, "Priya"), ("s", "o", 0, "Priya")], UNITS)
+    tokens = spark.createDataFrame([("s", "o", "NAME", "Priya"), (None, None, "NAME", "priya")], VALUES)
+    assert {r.unit: len(r.known) for r in known_values(frame, tokens).collect()} == {0: 1, 1: 1, 2: 0, 3: 0, 4: 1}
+    since = tokens.withColumn("first", F.struct(F.lit(0).alias("unit"), F.lit(0).alias("start")))
+    assert {r.unit: len(r.known) for r in known_values(frame, since).collect()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1}
+
+
+def test_no_value_goes_to_all_units_of_its_session(spark):
+    """A session of many values and texts: rows that meet are those that share a first word."""
+    values = spark.createDataFrame([("s", "o", "NAME", f"name{i} x") for i in range(300)], VALUES)
+    frame = spark.createDataFrame([("s", "o", i, f"some words and name{i} x") for i in range(300)], UNITS)
+    out = known_values(frame, values)
+    assert out.where("size(known) = 1").count() == 300
+    assert "CartesianProduct" not in out._jdf.queryExecution().toString() and "BroadcastNestedLoop" not in out._jdf.queryExecution().toString()
+
+
+def test_sanitize_masks_what_the_session_knows(spark):
+    """A value tokenized out of a link is masked in later texts; the tagger's names are known afterwards, also where it misses them."""
+
+    def tag(texts):
+        return [[("NAME", t.index("Ram Rao"), t.index("Ram Rao") + 7)] if t.startswith("I am Ram Rao") else [] for t in texts]
+
+    rows = [
+        ("s", "o", 0, "text", "I am Ram Rao"), ("s", "o", 1, "href", "https://o.example/?token=tok123&n=1"), ("s", "o", 2, "text", "TOK123 and ram rao, Ram"), ("s", "o", 3, "text", "tok1234"), ("t", "o", 4, "text", "ram rao"), ("s", "o", 5, "value", "ram rao"),
+        ("s", "o", 6, "href", "https://o.example/%zz?token=tok123"), ("s", "o", 7, "text", None),
+    ]
+    frame = spark.createDataFrame(rows, "session_id string, origin string, unit int, field string, text string")
+    clean, tokens = T.sanitize(frame, D.tagger(tag))
+    got = {r.unit: (r.text, r.failed) for r in clean.collect()}
+    assert got[0] == ("I am [PII_NAME_1]", False) and got[2] == ("[PII_OTHER_1] and [PII_NAME_1], Ram", False) and got[3] == ("tok1234", False)
+    assert got[4] == ("ram rao", False) and got[5] == ("[PII_NAME_1]", False) and got[6] == (None, True) and got[7] == (None, False)
+    assert {r.token for r in tokens.collect()} == {"[PII_NAME_1]", "[PII_OTHER_1]"}
+
+
+def test_failing_tagger_withholds_its_texts_only(spark):
+    def tag(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no model")
+        return [[] for _ in texts]
+
+    rows = [("s", "o", 0, "text", "fine a@b.example"), ("s", "o", 1, "text", "bad text"), ("s", "o", 2, "text", "")]
+    frame = spark.createDataFrame(rows, "session_id string, origin string, unit int, field string, text string")
+    got = {r.unit: (r.text, r.failed) for r in T.sanitize(frame, D.tagger(tag))[0].collect()}
+    assert got == {0: ("fine [PII_EMAIL_1]", False), 1: (None, True), 2: ("", False)}
 
 
 def test_align():
