@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import MAX_RECORDS, PRUNE_MS, image_rank
+from .trees import holds
 
 #: Fixed values.
 MAX_CHARS, CHARS_A_TOKEN, SHARE = 12_000, 4, 0.4
@@ -43,31 +44,31 @@ def select_units(units: DataFrame, *, by: list[str], max_chars: int | Column, ma
 def prune(nodes: DataFrame, selected: DataFrame, *, id: str = "page_id") -> DataFrame:
     """Nodes worth keeping once content was cut, with trimmed where something below or on them went.
 
-    nodes: id, node, path, secret, marker, image, image_omitted, interactive,
-    in_viewport. selected: id, node, field, kept. A node stays if it has kept
-    content, is secret, a marker, an image that may be sent, or an interactive
-    node in the viewport, or if one below it stays. Pages without cut content
-    stay as they are.
+    nodes: id, node, parent, last (see trees), secret, marker, image,
+    image_omitted, interactive, in_viewport. selected: id, node, field, kept.
+    A node stays if it has kept content, is secret, a marker, an image that may
+    be sent, or an interactive node in the viewport, or if one below it stays.
+    Pages without cut content stay as they are.
+
+    One exchange by page, then rows in proportion to nodes: whether something
+    below stays, and whether something below is gone, is asked of intervals.
+    What is gone below a node that stays lies in children that do not.
     """
-    # One exchange by page; all below groups within a page. Rows of content carry no node of their own.
     bare = nodes.select(id, "node", F.struct(*nodes.columns).alias("_row"), F.lit(False).alias("_has"), F.lit(False).alias("_lost"))
     content = selected.select(id, "node", F.lit(None).cast(bare.schema["_row"].dataType).alias("_row"), F.col("kept").alias("_has"), (~F.col("kept")).alias("_lost"))
     own_row = lambda c: F.first(c, ignorenulls=True).alias(c)
     rows = bare.unionByName(content).repartition(id).groupBy(id, "node").agg(own_row("_row"), F.max("_has").alias("_has"), F.max("_lost").alias("_lost"))
-    rows = rows.withColumn("_touched", F.max("_lost").over(Window.partitionBy(id))).where("_row IS NOT NULL")
+    rows = rows.withColumns({"_touched": F.max("_lost").over(Window.partitionBy(id)), "_last": F.coalesce("_row.last", "node")}).where("_row IS NOT NULL")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     lost_image = F.col("_row.image").isNotNull() & F.col("_row.image_omitted").isNotNull() & ~yes("_row.in_viewport")
     own = F.col("_has") | yes("_row.secret") | F.col("_row.marker").isNotNull() | (F.col("_row.image").isNotNull() & ~lost_image) | (yes("_row.interactive") & yes("_row.in_viewport"))
-    upward = F.when(F.col("_touched"), F.array_append("_row.path", F.col("node"))).otherwise(F.array("node"))
-    above = rows.select(id, "node", "_row", "_touched", (own | ~F.col("_touched")).alias("_own"), (F.col("_lost") | lost_image).alias("_cut"), F.explode(upward).alias("_at"))
-    above = above.withColumn("_row", F.when(F.col("_at") == F.col("node"), F.col("_row"))).withColumn("_stays", F.max("_own").over(Window.partitionBy(id, "_at")))
-    # The nearest kept ancestor has the largest number: nodes are numbered in document order.
-    nearest = F.max(F.when(F.col("_stays"), F.col("_at"))).alias("_near")
-    each = above.groupBy(id, "node").agg(own_row("_row"), F.max("_touched").alias("_touched"), F.max("_cut").alias("_cut"), nearest)
-    keep = F.coalesce(F.col("_near") == F.col("node"), F.lit(False))
-    gone = F.col("_touched") & (F.col("_cut") | (yes("_row.interactive") & ~keep))
-    flagged = each.withColumn("_keep", keep).withColumn("trimmed", F.max(gone).over(Window.partitionBy(id, "_near")))
-    return flagged.where("_keep").select("_row.*", "trimmed")
+    kept = rows.withColumn("_keep", holds(own, id=id, last="_last") | ~F.col("_touched"))
+    gone = F.col("_touched") & (F.col("_lost") | lost_image | (yes("_row.interactive") & ~F.col("_keep")))
+    judged = kept.withColumns({"_gone": gone, "_below": holds(gone, id=id, last="_last")})
+    # To a node that stays: what is gone on itself; to the parent of one that goes: what is gone in and below it.
+    told = F.array(F.struct(F.col("node").alias("at"), F.when(F.col("_keep"), F.col("_row")).alias("row"), (F.col("_keep") & F.col("_gone")).alias("flag")), F.struct(F.col("_row.parent").alias("at"), F.lit(None).cast(bare.schema["_row"].dataType).alias("row"), (~F.col("_keep") & F.col("_below")).alias("flag")))
+    flagged = judged.select(id, F.inline(F.filter(told, lambda t: t["at"].isNotNull()))).groupBy(id, "at").agg(own_row("row"), F.max("flag").alias("trimmed"))
+    return flagged.where("row IS NOT NULL").select("row.*", "trimmed")
 
 
 def select_images(nodes: DataFrame, *, id: str = "page_id", limit: int | Column = 4, viewport: float = float("inf")) -> DataFrame:

@@ -165,11 +165,10 @@ def group_entities(aligned: DataFrame) -> DataFrame:
 
 def residual_counts(texts: DataFrame, *, text: str = "text", origin: Column | None = None) -> DataFrame:
     """How many identifiers of each kind are left in texts; probable public addresses count as EMAIL_LIKELY_PUBLIC. No values."""
-    from ..functions.email import public_score
+    from .residuals import residual_kind
 
     rows = texts.select(F.col(text).alias("text"), (F.lit("") if origin is None else origin).alias("origin"), F.explode(pattern_spans(F.col(text))).alias("s"))
-    public = (F.col("s.type") == "EMAIL") & (public_score(piece(F.col("text"), F.col("s")), F.col("origin")) > 0)
-    return rows.groupBy(F.when(public, "EMAIL_LIKELY_PUBLIC").otherwise(F.col("s.type")).alias("kind")).agg(F.count("*").alias("n"))
+    return rows.groupBy(residual_kind(F.col("text"), F.col("s"), F.col("origin")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 def guard_triggered(texts: Column) -> Column:

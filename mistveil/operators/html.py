@@ -33,7 +33,7 @@ CLOSES = {"li": ("li",), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt",
 NODE = (
     "node int, parent int, tag string, role string, text string, href string, src string, value string, placeholder string, name string, type string, attr_name string, "
     "class string, marker string, secret boolean, visible boolean, interactive boolean, inside_interactive boolean, image string, state map<string,boolean>, flags array<string>, "
-    "in_landmark boolean, near_contact_heading boolean, in_contact_markup boolean, in_ugc_block boolean, form_origin string, fields array<string>, path array<int>"
+    "in_landmark boolean, near_contact_heading boolean, in_contact_markup boolean, in_ugc_block boolean, form_origin string, fields array<string>, last int"
 )
 _NAMES = [part.strip().split(" ")[0] for part in re.sub(r"<[^>]*>", "", NODE).split(",")]
 
@@ -174,20 +174,20 @@ def parse_page(url: str | None, html: str | None) -> list[dict]:
     for el in reversed(order):  # children before parents
         inner[el] = any(_interactive(c) or inner[c] for c in el.children if not isinstance(c, str))
     nodes: list[dict] = []
-    start = {"parent": None, "landmark": False, "heading": False, "contact": False, "ugc": False, "main": False, "form": None, "active": False, "path": []}
+    start = {"parent": None, "landmark": False, "heading": False, "contact": False, "ugc": False, "main": False, "form": None, "active": False}
     work = [(tree.root, start)]
     while work:
         item, up = work.pop()
         hints = lambda c: {"in_landmark": c["landmark"], "near_contact_heading": c["heading"], "in_contact_markup": c["contact"], "in_ugc_block": c["ugc"]}
         if isinstance(item, str):
             if item.strip() and not (up["landmark"] and not up["of_interactive"]) and not up["hidden"]:
-                nodes.append(dict.fromkeys(_NAMES) | hints(up) | {"node": len(nodes), "parent": up["parent"], "tag": "#text", "text": item, "visible": True, "interactive": False, "inside_interactive": up["active"], "secret": False, "fields": ["text"], "path": up["path"]})
+                nodes.append(dict.fromkeys(_NAMES) | hints(up) | {"node": len(nodes), "parent": up["parent"], "tag": "#text", "text": item, "visible": True, "interactive": False, "inside_interactive": up["active"], "secret": False, "fields": ["text"]})
             continue
         el, a = item, item.attrs
         if el.tag in STRIPPED:
             continue
         if el.tag in MARKERS:
-            nodes.append(dict.fromkeys(_NAMES) | {"node": len(nodes), "parent": up["parent"], "tag": el.tag, "marker": MARKERS[el.tag], "visible": True, "interactive": False, "inside_interactive": up["active"], "secret": False, "fields": [], "path": up["path"]})
+            nodes.append(dict.fromkeys(_NAMES) | {"node": len(nodes), "parent": up["parent"], "tag": el.tag, "marker": MARKERS[el.tag], "visible": True, "interactive": False, "inside_interactive": up["active"], "secret": False, "fields": []})
             continue
         hidden, interactive = _hidden(el), _interactive(el)
         live = a.get("aria-live") not in (None, "off")
@@ -214,10 +214,9 @@ def parse_page(url: str | None, html: str | None) -> list[dict]:
             flags = [f for f, p in FLAGS if any(re.search(p, c, re.I) for c in a.get("class", "").split())]
             nodes.append(
                 dict.fromkeys(_NAMES) | hints(here) | {k: v or None for k, v in kept.items()}
-                | {"node": len(nodes), "parent": up["parent"], "tag": el.tag, "role": _role(el), "type": a.get("type"), "attr_name": a.get("name"), "class": a.get("class"), "secret": secret, "visible": not here["hidden"], "interactive": interactive, "inside_interactive": here["active"], "image": "img" if el.tag == "img" else "background" if style_url else None, "state": _state(el), "flags": flags or None, "form_origin": here["form"] if el.tag in ("input", "select", "textarea", "button") else None, "fields": fields, "path": up["path"]}
+                | {"node": len(nodes), "parent": up["parent"], "tag": el.tag, "role": _role(el), "type": a.get("type"), "attr_name": a.get("name"), "class": a.get("class"), "secret": secret, "visible": not here["hidden"], "interactive": interactive, "inside_interactive": here["active"], "image": "img" if el.tag == "img" else "background" if style_url else None, "state": _state(el), "flags": flags or None, "form_origin": here["form"] if el.tag in ("input", "select", "textarea", "button") else None, "fields": fields}
             )
             here["parent"] = nodes[-1]["node"]
-            here["path"] = [*up["path"], here["parent"]]
         # Children after a contact heading are near it.
         batch, near = [], here["heading"]
         for child in el.children:
@@ -225,6 +224,11 @@ def parse_page(url: str | None, html: str | None) -> list[dict]:
             if not isinstance(child, str) and re.fullmatch("h[1-6]", child.tag) and re.search("contact|support|help", child.text(), re.I):
                 near = True
         work.extend(reversed(batch))
+    for n in nodes:
+        n["last"] = n["node"]
+    for n in reversed(nodes):  # numbers below a node are larger, so its own is complete when it is passed on
+        if n["parent"] is not None:
+            nodes[n["parent"]]["last"] = max(nodes[n["parent"]]["last"], n["last"])
     return nodes
 
 
@@ -287,13 +291,6 @@ def page_level_units(pages: DataFrame, task: str, *, id: str = "page_id") -> Dat
     return pages.select(id, F.col("url").alias("page_url"), F.explode(each).alias("_u")).select(id, "page_url", "_u.*", F.lit(0).alias("window"), F.lit(False).alias("is_mailto"))
 
 
-def roots(nodes: DataFrame, *, id: str = "page_id") -> DataFrame:
-    """Nodes without a parent in the table, or that are their own."""
-    known = nodes.select(F.col(id).alias("_page"), F.col("node").alias("_node"))
-    joined = nodes.join(known, (F.col(id) == F.col("_page")) & (F.col("parent") == F.col("_node")) & (F.col("parent") != F.col("node")), "left_anti")
-    return joined
-
-
 def in_viewport(box: Column, width: Column, height: Column) -> Column:
     """Whether a box overlaps the viewport, half-open."""
     return (box["x"] < width) & (box["x"] + box["w"] > 0) & (box["y"] < height) & (box["y"] + box["h"] > 0)

@@ -6,9 +6,11 @@ import time
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import at_ranks
+
 LOG = "session_id string, step int, op string, t_start double, t_end double, duration_ms double, outcome string, reason string, ref string, model_id string, tier int, compute string, queue_ms double, counts map<string,bigint>"
 
 #: Columns of the CSV export.
@@ -18,15 +20,12 @@ CSV_COLUMNS = ("session_id", "step", "op", "t_start", "t_end", "duration_ms", "o
 def percentiles(rows: DataFrame, *, by: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
     """Per group count n and, for each rank p, the value at place floor(p * n) in order, the last at most.
 
-    Values are first counted per distinct value, so a large group meets in a
-    task as its distinct values only; places are running sums of counts.
+    Values are first counted per distinct value; the places are then found in
+    ranges of the order (order.at_ranks), so no task sees all values of a
+    large group. Null values do not count; groups without others give no row.
     """
     values = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    up_to = F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = values.withColumn("_to", up_to).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-    at = lambda p: F.least(F.col("_n") - 1, F.floor(F.lit(p) * F.col("_n")))
-    found = [F.min(F.when(F.col("_to") > at(p), F.col(value))).alias(name) for name, p in ranks.items()]
-    return placed.groupBy(*by).agg(F.first("_n").alias("n"), *found)
+    return at_ranks(values, by=by, value=value, count="_c", ranks=ranks)
 
 
 def op_summary(logs: DataFrame) -> DataFrame:
@@ -71,10 +70,51 @@ def leak_candidates(residuals: DataFrame) -> Column:
     return F.coalesce(F.sum(F.when(F.col("kind") != "EMAIL_LIKELY_PUBLIC", F.col("n"))), F.lit(0))
 
 
-def canary_leaks(texts: DataFrame, canaries: DataFrame, *, text: str = "text") -> DataFrame:
-    """Canaries (id, value) that stand verbatim in a text: canary and number of texts. Canaries are a short fixed list."""
-    both = texts.select(F.col(text).alias("_text")).join(F.broadcast(canaries), F.contains("_text", F.col("value")))
-    return both.groupBy("id").agg(F.count("*").alias("n"))
+#: Characters of canaries in one automaton; more canaries take several passes.
+AUTOMATON_CHARS = 1_000_000
+
+
+def _blocks(canaries: DataFrame, most: int):
+    """Canaries as lists of (id, value) with about `most` characters each, chosen by hash: what goes to the tasks at once."""
+    total = canaries.agg(F.sum(F.length("value"))).first()[0] or 0
+    parts = -(-total // most) or 1
+    for i in range(parts):
+        yield [(r["id"], r["value"]) for r in canaries.where(F.pmod(F.xxhash64("id", "value"), F.lit(parts)) == i).collect()]
+
+
+def canary_leaks(texts: DataFrame, canaries: DataFrame, *, text: str = "text", most: int = AUTOMATON_CHARS) -> DataFrame:
+    """id and n, the number of texts in which a canary (id, value) stands verbatim; canaries in no text give no row.
+
+    Texts are read once for each automaton over some `most` characters of
+    canaries, whatever the number of canaries in it. Null texts and null
+    values hold nothing; an empty value stands in every text.
+    """
+    kind, spark, out = canaries.schema["id"].dataType.simpleString(), texts.sparkSession, None
+    for block in _blocks(canaries.where("value IS NOT NULL").select("id", "value"), most):
+        named: dict[str, list] = {}
+        for id_, value in block:
+            named.setdefault(value, []).append(id_)
+        values = spark.sparkContext.broadcast(named)
+
+        def scan(frames, values=values):
+            import ahocorasick
+
+            always, automaton = values.value.get("", []), ahocorasick.Automaton()
+            for value, ids in values.value.items():
+                if value:
+                    automaton.add_word(value, (value, ids))
+            if len(automaton):
+                automaton.make_automaton()
+            for frame in frames:
+                rows = []
+                for t in frame["_text"]:
+                    held = {value: ids for _, (value, ids) in automaton.iter(t)} if len(automaton) else {}
+                    rows += [i for ids in held.values() for i in ids] + always
+                yield pd.DataFrame({"id": pd.Series(rows, dtype=object)})
+
+        found = texts.select(F.col(text).alias("_text")).where("_text IS NOT NULL").mapInPandas(scan, f"id {kind}")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("id").agg(F.count("*").alias("n"))
 
 
 def match_boxes(truth: DataFrame, found: DataFrame, *, by: str = "img_id", least: float = 0.2) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered_within
+
 WINDOW_CHARS, OVERLAP = 2000, 50
 
 
@@ -23,6 +25,5 @@ def merge_windows(windows: Column, overlap: int = OVERLAP) -> Column:
 
 
 def numbered_chunks(units: DataFrame, by: list[str], order: list[str], size: int = 200) -> DataFrame:
-    """units with chunk: 0, 1, ... for each size rows in order, per group."""
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return units.withColumn("chunk", F.floor(at / size).cast("int"))
+    """units with chunk: 0, 1, ... for each size rows in order, per group; a large group is spread over tasks."""
+    return numbered_within(units, by, order, name="_at").withColumn("chunk", F.floor(F.col("_at") / size).cast("int")).drop("_at")

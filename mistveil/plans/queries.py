@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as B
 from ..functions import hosts as H
 from ..functions.checksums import is_luhn, is_verhoeff
-from ..functions.email import is_public, public_score
+from ..functions.email import FREE_MAIL, ROLE_NAMES, is_public, public_score
 from ..functions.patterns import PATTERNS
 from ..functions.spans import candidates, pattern_spans, piece, placeholder_counts
 from ..functions.urls import masked_url, split_url
@@ -17,6 +17,9 @@ from ..operators import detect as D
 from ..operators import html as W
 from ..operators import images as I
 from ..operators import tokens as T
+from ..operators.known import known_values
+from ..operators.residuals import residual_scan
+from ..operators.trees import forest
 from ..operators.windows import merge_windows, window_texts
 from ..sources.logs import csv_lines
 from ..sources.tables import table, written
@@ -191,6 +194,65 @@ def canary_leaks(spark, sf_dir):
     return metrics.canary_leaks(_texts(spark, sf_dir), L.CANARIES.df(spark).select("id", "value"))
 
 
+_ROLES = ", ".join(f"'{r}'" for r in ROLE_NAMES)
+_FREE = ", ".join(f"'{h}'" for h in FREE_MAIL)
+_IN_TEXT = {
+    "EMAIL": (r"([^A-Za-z0-9_.+@-])", r"(?:^|[^A-Za-z0-9_.+-])([A-Za-z0-9_.+-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+)(?:$|[^A-Za-z0-9_.-])"),
+    "IFSC": (r"([^A-Za-z0-9])", r"(?:^|[^A-Za-z0-9])([A-Z]{4}0[A-Z0-9]{6})(?:$|[^A-Za-z0-9])"),
+    "PAN": (r"([^A-Za-z0-9])", r"(?:^|[^A-Za-z0-9])([A-Z]{3}[ABCFGHJLPT][A-Z][0-9]{4}[A-Z])(?:$|[^A-Za-z0-9])"),
+}
+
+
+@query(
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS text, 'https://' || lower(source) || '.com' AS origin, source FROM documents WHERE doc_id IS NOT NULL), h AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, source, '{k}' AS kind, unnest(regexp_extract_all(regexp_replace(text, '{double}', '\\1\\1', 'g'), '{pattern}', 1)) AS v FROM d" for k, (double, pattern) in _IN_TEXT.items())
+    + f"""), k AS (SELECT doc_id, CASE WHEN kind = 'EMAIL' AND (CASE WHEN lower(regexp_extract(v, '^(.*)@[^@]*$', 1)) IN ({_ROLES}) THEN 3 ELSE 0 END
+  + CASE WHEN lower(regexp_extract(v, '@([^@]*)$', 1)) = lower(source) || '.com' OR ends_with(lower(regexp_extract(v, '@([^@]*)$', 1)), '.' || lower(source) || '.com') THEN 3 ELSE 0 END
+  - CASE WHEN lower(regexp_extract(v, '@([^@]*)$', 1)) IN ({_FREE}) THEN 4 ELSE 0 END) > 0 THEN 'EMAIL_LIKELY_PUBLIC' ELSE kind END AS kind FROM h)
+SELECT doc_id, kind, count(*)::BIGINT AS n FROM k GROUP BY ALL UNION ALL SELECT doc_id, 'strings', (4 + len(string_split(text, chr(10))))::BIGINT FROM d
+""")
+def residual_walk(spark, sf_dir):
+    """What is left in the strings of observations made of documents without sanitizing them; images, which repeat the text, are skipped."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
+    lines = F.transform(F.split("text", "\n", -1), lambda t, i: F.struct(i.alias("node"), F.create_map(F.lit("text"), t).alias("content")))
+    page = F.struct(F.lit("read").alias("url"), F.col("source").alias("title"))
+    images = F.array(F.struct(F.col("text").alias("data")))
+    json = F.to_json(F.struct(F.lit("1").alias("schema_version"), F.col("lang").alias("task"), page.alias("page"), lines.alias("dom"), images.alias("images")))
+    origin = F.concat(F.lit("https://"), F.lower("source"), F.lit(".com"))
+    rows = docs.select("doc_id", origin.alias("origin"), json.alias("json"))
+    found = residual_scan(rows, by=["doc_id", "origin"], origin=F.col("origin"))
+    shown = found.where(F.col("kind").isNull() | F.col("kind").isin("EMAIL", "EMAIL_LIKELY_PUBLIC", "IFSC", "PAN"))
+    return shown.select("doc_id", F.coalesce("kind", F.lit("strings")).alias("kind"), "n")
+
+
+def _line_units(spark, sf_dir):
+    """Lines of documents as units of a session each."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    return docs.select(F.col("doc_id").cast("string").alias("session_id"), F.col("source").alias("origin"), F.posexplode(F.split("text", "\n", -1)).alias("unit", "text"))
+
+
+_OUT = r"[^\p{L}\p{N}_]"
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS unit FROM documents WHERE doc_id IS NOT NULL),
+f AS (SELECT doc_id, regexp_extract(line, '^([\p{{L}}\p{{N}}_]+ [\p{{L}}\p{{N}}_]+)(?:$|{_OUT})', 1) AS pair, regexp_extract(line, '^([\p{{L}}\p{{N}}_]+) [\p{{L}}\p{{N}}_]+(?:$|{_OUT})', 1) AS one FROM l WHERE unit = 0),
+d AS (SELECT doc_id, unit, pair, one, regexp_replace(line, '({_OUT})', '\1\1', 'g') AS x, replace(pair, ' ', '  ') AS p2 FROM l JOIN f USING (doc_id) WHERE unit > 0 AND pair <> '' AND contains(lower(line), lower(one))),
+m AS (SELECT doc_id, unit, one, pair, x, p2, len(regexp_extract_all(x, '(?i)(?:^|{_OUT})(' || p2 || ')(?:$|{_OUT})', 1)) AS pairs, regexp_replace(x, '(?i)(^|{_OUT})(' || p2 || ')($|{_OUT})', '\1#\3', 'g') AS rest FROM d),
+c AS (SELECT doc_id, CASE WHEN length(pair) >= 3 THEN pairs ELSE 0 END AS pairs, CASE WHEN length(one) >= 3 THEN len(regexp_extract_all(rest, '(?i)(?:^|{_OUT})(' || one || ')(?:$|{_OUT})', 1)) ELSE 0 END AS ones FROM m)
+SELECT doc_id, sum(pairs)::BIGINT AS pairs, sum(ones)::BIGINT AS ones FROM c GROUP BY doc_id HAVING sum(pairs + ones) > 0
+""", "known_values")
+def known_values_query(spark, sf_dir):
+    """The first two words of each document, and the first of them, as known values: how often later lines hold them, longest first."""
+    units = _line_units(spark, sf_dir)
+    word = r"[\p{L}\p{N}_]+"
+    named = units.where("unit = 0").select("session_id", "origin", F.regexp_extract("text", rf"^({word} {word})(?!{word})", 1).alias("pair"), F.regexp_extract("text", rf"^({word}) {word}", 1).alias("one"))
+    first = F.struct(F.lit(0).alias("unit"), F.lit(0).alias("start")).alias("first")
+    tokens = named.where("pair <> ''").select("session_id", "origin", F.inline(F.array(F.struct(F.lit("NAME").alias("type"), F.col("pair").alias("value")), F.struct(F.lit("OTHER").alias("type"), F.col("one").alias("value")))), first)
+    hits = known_values(units, tokens).select("session_id", F.explode("known.type").alias("kind"))
+    return hits.groupBy(F.col("session_id").cast("long").alias("doc_id")).agg(F.count_if(F.col("kind") == "NAME").alias("pairs"), F.count_if(F.col("kind") == "OTHER").alias("ones"))
+
+
 # --- Deciding what is personal ---
 
 _HOST = "lower(regexp_extract(origin, '^[a-z]+://([^/:?#]+)', 1))"
@@ -363,6 +425,22 @@ def merged(spark, sf_dir):
     return docs.select("doc_id", F.md5(merge_windows(window_texts(F.col("text"))).cast("binary")).alias("hash"))
 
 
+_LINKED = "(SELECT user_id % 3 AS page_id, event_id AS node, CASE WHEN event_id % 50 = 0 THEN event_id WHEN event_id % 7 = 0 THEN NULL ELSE event_id - 3 * (1 + event_id % 2) END AS parent FROM events WHERE user_id IS NOT NULL)"
+
+
+@query(f"""
+WITH RECURSIVE e AS {_LINKED}, l AS (SELECT e.page_id, e.node, p.node AS parent FROM e LEFT JOIN e p ON e.page_id = p.page_id AND e.parent = p.node AND e.parent <> e.node),
+t AS (SELECT page_id, node, parent, node AS root, 0 AS depth FROM l WHERE parent IS NULL UNION ALL SELECT l.page_id, l.node, l.parent, t.root, t.depth + 1 FROM l JOIN t ON l.page_id = t.page_id AND l.parent = t.node)
+SELECT page_id, node, parent, root, depth::BIGINT AS depth, (row_number() OVER (PARTITION BY page_id, parent ORDER BY node) - 1)::BIGINT AS place FROM t
+""")
+def event_forest(spark, sf_dir):
+    """Trees of events by links to earlier ones; links into nothing and to themselves make roots."""
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    up = F.when(F.col("event_id") % 50 == 0, F.col("event_id")).when(F.col("event_id") % 7 == 0, F.lit(None)).otherwise(F.col("event_id") - 3 * (1 + F.col("event_id") % 2))
+    found = forest(e.select((F.col("user_id") % 3).alias("page_id"), F.col("event_id").alias("node"), up.alias("parent")))
+    return found.withColumns({"depth": F.col("depth").cast("long"), "place": F.col("place").cast("long")})
+
+
 # --- Budgets ---
 
 

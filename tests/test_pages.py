@@ -68,8 +68,8 @@ def test_units_and_inline_data(spark):
 
 def test_prune_keeps_ancestors_and_flags(spark):
     nodes = spark.createDataFrame(
-        [(1, 0, [], None, None, False, False), (1, 1, [0], None, None, False, False), (1, 2, [0, 1], None, None, False, False), (1, 3, [0], None, None, False, False), (1, 4, [0, 3], None, None, True, False), (1, 5, [0], "svg_skipped", None, False, False), (2, 0, [], None, None, False, False)],
-        "page_id long, node int, path array<int>, marker string, image string, interactive boolean, in_viewport boolean",
+        [(1, 0, None, 5, None, None, False, False), (1, 1, 0, 2, None, None, False, False), (1, 2, 1, 2, None, None, False, False), (1, 3, 0, 4, None, None, False, False), (1, 4, 3, 4, None, None, True, False), (1, 5, 0, 5, "svg_skipped", None, False, False), (2, 0, None, 0, None, None, False, False)],
+        "page_id long, node int, parent int, last int, marker string, image string, interactive boolean, in_viewport boolean",
     ).withColumns({"secret": F.lit(False), "image_omitted": F.lit(None).cast("string")})
     chosen = spark.createDataFrame([(1, 2, "text", True), (1, 3, "text", False), (2, 0, "text", True)], "page_id long, node int, field string, kept boolean")
     got = {(r.page_id, r.node): r.trimmed for r in budget.prune(nodes, chosen).collect()}
