@@ -489,7 +489,7 @@ def test_windows_have_the_size_of_their_items():
 
 # --- 10 ---
 
-TINY = lm.Settings(lexicon=60, own=1.0, shared=0.5, states=3, rounds=4, gain=0.0)
+TINY = lm.Settings(lexicon=60, own=1.0, shared=0.5, states=3, rounds=4, gain=0.0, stretch=1.0)
 
 
 def test_forward_is_exact():
