@@ -29,19 +29,32 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
-    """Registers a query, and its SQL if there is any."""
+#: Cases over small fixed lists, for the tests alone; derived.py has the registered queries of the same operators.
+CRAFTED: dict = {}
+CRAFTED_SQL: dict = {}
 
+
+def _adder(queries: dict, answers: dict, sql: str | None, name: str | None):
     def add(function):
         key = name or function.__name__
-        QUERIES[key] = function
+        queries[key] = function
         if sql is not None:
-            ORACLE_SQL[key] = sql
+            answers[key] = sql
         return function
 
     return add
 
 
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query, and its SQL if there is any."""
+    return _adder(QUERIES, ORACLE_SQL, sql, name)
+
+
+def crafted(sql: str | None = None, name: str | None = None):
+    """A case for the tests, with its SQL."""
+    return _adder(CRAFTED, CRAFTED_SQL, sql, name)
+
+
 # --- Texts: documents and canaries ---
 
 
@@ -108,24 +121,24 @@ def _pattern_query(kind: str):
 for _kind in ("EMAIL", "UPI", "CARD", "PAN", "IFSC", "GSTIN", "VOTER_ID", "PASSPORT", "VEHICLE_REG", "AADHAAR", "PHONE"):
     query(_pattern_sql(_kind), f"spans_{_kind.lower()}")(_pattern_query(_kind))
 
-@query(f"SELECT id, type, start, end_ FROM {L.CLAIMED.sql()}")
+@crafted(f"SELECT id, type, start, end_ FROM {L.CLAIMED.sql()}")
 def span_claims(spark, sf_dir):
     each = L.OVERLAPS.df(spark).select("id", F.explode(pattern_spans(F.col("text"))).alias("s"))
     return each.select("id", "s.type", "s.start", F.col("s.end").alias("end_"))
 
 
-@query(f"SELECT id, kind AS type, 0 AS start, length(value)::INTEGER AS end_ FROM {L.CANARIES.sql()} WHERE found")
+@crafted(f"SELECT id, kind AS type, 0 AS start, length(value)::INTEGER AS end_ FROM {L.CANARIES.sql()} WHERE found")
 def canary_spans(spark, sf_dir):
     each = L.CANARIES.df(spark).select("id", F.explode(pattern_spans(F.col("value"))).alias("s"))
     return each.select("id", "s.type", "s.start", F.col("s.end").alias("end_"))
 
 
-@query(f"SELECT id, coalesce(regexp_matches(digits, '^[0-9]{{13,19}}$') AND {_LUHN.format(d='CASE WHEN regexp_matches(digits, $$^[0-9]{13,19}$$$$) THEN digits ELSE repeat($$0$$, 5) END')}, false) AS ok FROM {L.DIGITS.sql()}".replace("$$^[0-9]{13,19}$$$$", "'^[0-9]{13,19}$'").replace("$$0$$", "'0'"))
+@crafted(f"SELECT id, coalesce(regexp_matches(digits, '^[0-9]{{13,19}}$') AND {_LUHN.format(d='CASE WHEN regexp_matches(digits, $$^[0-9]{13,19}$$$$) THEN digits ELSE repeat($$0$$, 5) END')}, false) AS ok FROM {L.DIGITS.sql()}".replace("$$^[0-9]{13,19}$$$$", "'^[0-9]{13,19}$'").replace("$$0$$", "'0'"))
 def luhn(spark, sf_dir):
     return L.DIGITS.df(spark).select("id", is_luhn(F.col("digits")).alias("ok"))
 
 
-@query(f"SELECT id, CASE WHEN regexp_matches(digits, '^[0-9]{{12}}$') THEN {_VERHOEFF.format(d='lpad(regexp_replace(digits, $q$[^0-9]$q$, $q$0$q$, $q$g$q$), 12, $q$0$q$)')} ELSE false END AS ok FROM {L.DIGITS.sql()}".replace("$q$", "'"))
+@crafted(f"SELECT id, CASE WHEN regexp_matches(digits, '^[0-9]{{12}}$') THEN {_VERHOEFF.format(d='lpad(regexp_replace(digits, $q$[^0-9]$q$, $q$0$q$, $q$g$q$), 12, $q$0$q$)')} ELSE false END AS ok FROM {L.DIGITS.sql()}".replace("$q$", "'"))
 def verhoeff(spark, sf_dir):
     return L.DIGITS.df(spark).select("id", is_verhoeff(F.col("digits")).alias("ok"))
 
@@ -170,12 +183,12 @@ def email_residuals(spark, sf_dir):
     return each.groupBy("id").count().agg(F.count("*").alias("n_texts"), F.sum("count").alias("n_emails"))
 
 
-@query(f"SELECT id, found AND kind <> 'EMAIL' AS blocked FROM {L.CANARIES.sql()}")
+@crafted(f"SELECT id, found AND kind <> 'EMAIL' AS blocked FROM {L.CANARIES.sql()}")
 def final_guard(spark, sf_dir):
     return L.CANARIES.df(spark).select("id", D.guard_triggered(F.array(F.lit("title"), F.col("value"))).alias("blocked"))
 
 
-@query(f"""
+@crafted(f"""
 WITH t AS (SELECT session_id, id, unnest(list_distinct(regexp_extract_all(text, '\\[PII_([A-Z_]+)_[0-9]+\\]'))) AS tok FROM {L.TEXTS_WITH_TOKENS.sql()}),
 k AS (SELECT id, regexp_extract(tok, '\\[PII_([A-Z_]+)_[0-9]+\\]', 1) AS kind, count(*)::INTEGER AS n FROM t GROUP BY ALL)
 SELECT * FROM k UNION ALL SELECT id, 'SECRET', len(regexp_extract_all(text, '\\[SECRET\\]'))::INTEGER FROM {L.TEXTS_WITH_TOKENS.sql()} WHERE text LIKE '%[SECRET]%'
@@ -184,7 +197,7 @@ def placeholder_counts_query(spark, sf_dir):
     return L.TEXTS_WITH_TOKENS.df(spark).select("id", F.explode(placeholder_counts(F.col("text"))).alias("kind", "n"))
 
 
-@query(f"SELECT session_id, id, text FROM {L.RESOLVED.sql()}")
+@crafted(f"SELECT session_id, id, text FROM {L.RESOLVED.sql()}")
 def resolve_tokens(spark, sf_dir):
     return T.resolve(L.TEXTS_WITH_TOKENS.df(spark), L.POLICY_TOKENS.df(spark).select("session_id", "token", "value"))
 
@@ -258,7 +271,7 @@ def known_values_query(spark, sf_dir):
 _HOST = "lower(regexp_extract(origin, '^[a-z]+://([^/:?#]+)', 1))"
 
 
-@query(f"""
+@crafted(f"""
 WITH e AS (SELECT *, regexp_extract(email, '^(.*)@[^@]*$', 1) AS name, lower(regexp_extract(email, '@([^@]*)$', 1)) AS domain, {_HOST} AS host FROM {L.EMAILS.sql()})
 SELECT id, CASE WHEN email NOT LIKE '%@%' THEN 0 ELSE (CASE WHEN lower(name) IN ('support','info','contact','sales','help','noreply','no-reply','admin','care','hr','careers') THEN 3 ELSE 0 END
  + CASE WHEN host <> '' AND (domain = host OR ends_with(domain, '.' || host)) THEN 3 ELSE 0 END - CASE WHEN domain IN ('gmail.com','yahoo.com','outlook.com','hotmail.com','proton.me','protonmail.com','icloud.com','rediffmail.com') THEN 4 ELSE 0 END
@@ -270,7 +283,7 @@ def email_score(spark, sf_dir):
     return L.EMAILS.df(spark).select("id", public_score(F.col("email"), F.col("origin"), hints, F.col("is_mailto")).alias("score"))
 
 
-@query(f"SELECT id, id IN (1, 4, 3) AS public FROM {L.EMAILS.sql()}")
+@crafted(f"SELECT id, id IN (1, 4, 3) AS public FROM {L.EMAILS.sql()}")
 def public_email(spark, sf_dir):
     hints = F.struct("in_landmark", "near_contact_heading", "in_contact_markup", "in_ugc_block")
     return L.EMAILS.df(spark).select("id", is_public(F.col("email"), F.col("origin"), hints, F.col("is_mailto")).alias("public"))
@@ -280,7 +293,7 @@ _TAGGED = L.Table("id bigint, text string, tags string", [(1, "Priya wrote to su
 _DECIDED = L.Table("id bigint, spans string", [(1, "NAME:0:5,OTHER:35:40"), (2, "EMAIL:0:13"), (3, "NAME:0:3")])
 
 
-@query(f"SELECT id, spans FROM {_DECIDED.sql()}")
+@crafted(f"SELECT id, spans FROM {_DECIDED.sql()}")
 def decide_spans(spark, sf_dir):
     part = lambda t, i: F.get(F.split(t, ":"), F.lit(i))
     tags = F.transform(F.split("tags", ","), lambda t: F.struct(part(t, 0).alias("type"), part(t, 1).cast("int").alias("start"), part(t, 2).cast("int").alias("end")))
@@ -288,7 +301,7 @@ def decide_spans(spark, sf_dir):
     return _TAGGED.df(spark).select("id", F.array_join(F.transform(decided, lambda s: F.concat_ws(":", s["type"], s["start"], s["end"])), ",").alias("spans"))
 
 
-@query("SELECT 1::BIGINT AS id, 'mail [PII_EMAIL] or Ram' AS shown, 'NAME:22:25' AS moved")
+@crafted("SELECT 1::BIGINT AS id, 'mail [PII_EMAIL] or Ram' AS shown, 'NAME:22:25' AS moved")
 def mask_map(spark, sf_dir):
     text = F.lit("mail a.b@c.example or Ram")
     rows = spark.range(1, 2).select("id", text.alias("text")).withColumn("m", D.masked(F.col("text"), pattern_spans(F.col("text"))))
@@ -297,12 +310,12 @@ def mask_map(spark, sf_dir):
     return rows.select("id", F.col("m.text").alias("shown"), F.array_join(F.transform(moved, lambda s: F.concat_ws(":", s["type"], s["start"], s["end"])), ",").alias("moved"))
 
 
-@query(f"SELECT text_id, label, start, end_, score FROM {L.BIO_GROUPS.sql()}")
+@crafted(f"SELECT text_id, label, start, end_, score FROM {L.BIO_GROUPS.sql()}")
 def bio_group(spark, sf_dir):
     return D.group_entities(L.BIO.df(spark).withColumnRenamed("end_", "end")).withColumnRenamed("end", "end_")
 
 
-@query("SELECT label, CASE label WHEN 'PERSON' THEN 'NAME' WHEN 'LOCATION' THEN 'ADDRESS' WHEN 'ORGANIZATION' THEN NULL WHEN 'EMAIL_ADDRESS' THEN 'EMAIL' WHEN 'PHONE_NUMBER' THEN 'PHONE' WHEN 'CREDIT_CARD' THEN 'CARD' WHEN 'US_PASSPORT' THEN 'PASSPORT' ELSE 'OTHER' END AS type FROM (SELECT unnest(['PERSON','LOCATION','ORGANIZATION','EMAIL_ADDRESS','PHONE_NUMBER','CREDIT_CARD','US_PASSPORT','DATE_TIME','NEVER_SEEN']) AS label)")
+@crafted("SELECT label, CASE label WHEN 'PERSON' THEN 'NAME' WHEN 'LOCATION' THEN 'ADDRESS' WHEN 'ORGANIZATION' THEN NULL WHEN 'EMAIL_ADDRESS' THEN 'EMAIL' WHEN 'PHONE_NUMBER' THEN 'PHONE' WHEN 'CREDIT_CARD' THEN 'CARD' WHEN 'US_PASSPORT' THEN 'PASSPORT' ELSE 'OTHER' END AS type FROM (SELECT unnest(['PERSON','LOCATION','ORGANIZATION','EMAIL_ADDRESS','PHONE_NUMBER','CREDIT_CARD','US_PASSPORT','DATE_TIME','NEVER_SEEN']) AS label)")
 def label_map(spark, sf_dir):
     labels = ["PERSON", "LOCATION", "ORGANIZATION", "EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "US_PASSPORT", "DATE_TIME", "NEVER_SEEN"]
     return spark.createDataFrame([(x,) for x in labels], "label string").select("label", D.label_type(F.col("label")).alias("type"))
@@ -311,7 +324,7 @@ def label_map(spark, sf_dir):
 _SCORES = L.Table("id bigint, score double", [(1, 0.86), (2, 0.85), (3, 0.6), (4, 0.599), (5, None), (6, 90.0), (7, 0.75), (8, 0.5)])
 
 
-@query(f"SELECT id, coalesce(CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.6 THEN 'medium' END, 'low') AS ner, coalesce(CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' END, 'low') AS face, coalesce(CASE WHEN score >= 85 THEN 'high' WHEN score >= 60 THEN 'medium' END, 'low') AS ocr FROM {_SCORES.sql()}")
+@crafted(f"SELECT id, coalesce(CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.6 THEN 'medium' END, 'low') AS ner, coalesce(CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' END, 'low') AS face, coalesce(CASE WHEN score >= 85 THEN 'high' WHEN score >= 60 THEN 'medium' END, 'low') AS ocr FROM {_SCORES.sql()}")
 def bucketize(spark, sf_dir):
     return _SCORES.df(spark).select("id", *[D.bucket(F.col("score"), d).alias(d) for d in ("ner", "face", "ocr")])
 
@@ -319,7 +332,7 @@ def bucketize(spark, sf_dir):
 # --- URLs, hosts, devices ---
 
 
-@query(f"SELECT id, clean FROM {L.URLS.sql()}")
+@crafted(f"SELECT id, clean FROM {L.URLS.sql()}")
 def url_sanitize_crafted(spark, sf_dir):
     return L.URLS.df(spark).select("id", masked_url(F.col("url")).alias("clean"))
 
@@ -337,33 +350,33 @@ def pages_by_host(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(split_url(F.col("url"))["host"].alias("host")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT id, private FROM {L.HOSTS.sql()}")
+@crafted(f"SELECT id, private FROM {L.HOSTS.sql()}")
 def private_host(spark, sf_dir):
     return L.HOSTS.df(spark).select("id", H.is_private_host(F.col("url")).alias("private"))
 
 
-@query(f"SELECT id, endpoint FROM {L.ENDPOINTS.sql()}")
+@crafted(f"SELECT id, endpoint FROM {L.ENDPOINTS.sql()}")
 def endpoint_ok(spark, sf_dir):
     return L.ENDPOINTS.df(spark).select("id", H.endpoint(F.col("raw")).alias("endpoint"))
 
 
-@query(f"SELECT id, kind, usable FROM {L.GPUS.sql()}")
+@crafted(f"SELECT id, kind, usable FROM {L.GPUS.sql()}")
 def gpu_kind(spark, sf_dir):
     kind = H.gpu_kind(F.col("vendor"), F.col("architecture"), F.col("type"), F.col("fallback"))
     return L.GPUS.df(spark).select("id", kind.alias("kind"), H.gpu_usable(kind, F.col("vendor")).alias("usable"))
 
 
-@query("SELECT s AS status, CASE WHEN s BETWEEN 200 AND 299 THEN NULL WHEN s = 426 THEN 'backend_version_unsupported' WHEN s = 429 THEN 'backend_rate_limited' ELSE 'backend_error' END AS reason FROM (SELECT unnest([200, 204, 400, 426, 429, 500])::INTEGER AS s)")
+@crafted("SELECT s AS status, CASE WHEN s BETWEEN 200 AND 299 THEN NULL WHEN s = 426 THEN 'backend_version_unsupported' WHEN s = 429 THEN 'backend_rate_limited' ELSE 'backend_error' END AS reason FROM (SELECT unnest([200, 204, 400, 426, 429, 500])::INTEGER AS s)")
 def http_reason(spark, sf_dir):
     return spark.createDataFrame([(s,) for s in (200, 204, 400, 426, 429, 500)], "status int").select("status", H.http_reason(F.col("status")).alias("reason"))
 
 
-@query("SELECT c AS cores, least(greatest(c - 2, 1), 3)::INTEGER AS vision, least(greatest(c // 2, 1), 3)::INTEGER AS ocr FROM (SELECT unnest([1, 2, 4, 8, 16])::INTEGER AS c)")
+@crafted("SELECT c AS cores, least(greatest(c - 2, 1), 3)::INTEGER AS vision, least(greatest(c // 2, 1), 3)::INTEGER AS ocr FROM (SELECT unnest([1, 2, 4, 8, 16])::INTEGER AS c)")
 def pool_sizes(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in (1, 2, 4, 8, 16)], "cores int").select("cores", H.pool_size(F.col("cores"), "vision").alias("vision"), H.pool_size(F.col("cores"), "ocr").alias("ocr"))
 
 
-@query("SELECT u AS usable, f AS force, CASE WHEN f = 'wasm' OR NOT u THEN 'wasm' ELSE 'webgpu' END AS compute, coalesce(f = 'wasm' OR (f = 'webgpu' AND u), false) AS forced FROM (SELECT unnest([true, false]) AS u), (SELECT unnest(['wasm', 'webgpu', NULL]) AS f)")
+@crafted("SELECT u AS usable, f AS force, CASE WHEN f = 'wasm' OR NOT u THEN 'wasm' ELSE 'webgpu' END AS compute, coalesce(f = 'wasm' OR (f = 'webgpu' AND u), false) AS forced FROM (SELECT unnest([true, false]) AS u), (SELECT unnest(['wasm', 'webgpu', NULL]) AS f)")
 def compute_target(spark, sf_dir):
     rows = spark.createDataFrame([(u, f) for u in (True, False) for f in ("wasm", "webgpu", None)], "usable boolean, force string")
     return rows.select("usable", "force", H.compute_target(F.col("usable"), F.col("force")).alias("c")).select("usable", "force", "c.*")
@@ -404,7 +417,7 @@ def page_units(spark, sf_dir):
     return units.select("page_id", "unit", "node", "field", F.length("text").alias("chars"), F.size(pattern_spans(F.col("text"))).alias("n_spans"))
 
 
-@query(f"SELECT id, flags FROM {L.CLASSES.sql()}")
+@crafted(f"SELECT id, flags FROM {L.CLASSES.sql()}")
 def class_flags(spark, sf_dir):
     return L.CLASSES.df(spark).select("id", F.array_join(W.class_flags(F.col("class")), ",").alias("flags"))
 
@@ -444,12 +457,12 @@ def event_forest(spark, sf_dir):
 # --- Budgets ---
 
 
-@query("SELECT c AS ctx, least(floor(c * 0.4::DOUBLE) * 4, 12000)::INTEGER AS chars FROM (SELECT unnest([0, 100, 4096, 7499, 7500, 128000])::INTEGER AS c)")
+@crafted("SELECT c AS ctx, least(floor(c * 0.4::DOUBLE) * 4, 12000)::INTEGER AS chars FROM (SELECT unnest([0, 100, 4096, 7499, 7500, 128000])::INTEGER AS c)")
 def char_budget(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in (0, 100, 4096, 7499, 7500, 128000)], "ctx int").select("ctx", budget.char_budget(F.col("ctx")).alias("chars"))
 
 
-@query(f"""
+@crafted(f"""
 WITH n AS (SELECT *, CASE WHEN y + h <= 0 THEN -(y + h) WHEN y >= 800 THEN y - 800 ELSE 0 END AS dist FROM {L.NODES.sql()}),
 t AS (SELECT *, CASE WHEN NOT visible THEN 3 WHEN dist > 0 THEN 2 WHEN inside_interactive THEN 0 ELSE 1 END AS tier FROM n),
 r AS (SELECT page_id, node, sum(length(text)) OVER w AS c, count(*) OVER w AS u FROM t WINDOW w AS (PARTITION BY page_id ORDER BY tier, CASE WHEN tier >= 2 THEN dist ELSE 0 END, inside_interactive DESC, node ROWS UNBOUNDED PRECEDING))
@@ -472,20 +485,20 @@ def prune_pages(spark, sf_dir):
     return budget.prune(nodes, selected).groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("trimmed").alias("n_trimmed"))
 
 
-@query(f"SELECT id, CASE WHEN w > 0 AND h > 0 AND x1 > x0 AND y1 > y0 THEN x0 || ',' || y0 || ',' || (x1 - x0) || ',' || (y1 - y0) END AS box FROM (SELECT *, greatest(0, floor(x - w * 0.1::DOUBLE))::INT AS x0, greatest(0, floor(y - h * 0.1::DOUBLE))::INT AS y0, least(iw, ceil(x + w + w * 0.1::DOUBLE))::INT AS x1, least(ih, ceil(y + h + h * 0.1::DOUBLE))::INT AS y1 FROM {L.BOXES.sql()})")
+@crafted(f"SELECT id, CASE WHEN w > 0 AND h > 0 AND x1 > x0 AND y1 > y0 THEN x0 || ',' || y0 || ',' || (x1 - x0) || ',' || (y1 - y0) END AS box FROM (SELECT *, greatest(0, floor(x - w * 0.1::DOUBLE))::INT AS x0, greatest(0, floor(y - h * 0.1::DOUBLE))::INT AS y0, least(iw, ceil(x + w + w * 0.1::DOUBLE))::INT AS x1, least(ih, ceil(y + h + h * 0.1::DOUBLE))::INT AS y1 FROM {L.BOXES.sql()})")
 def pad_box(spark, sf_dir):
     p = B.pad_box(F.struct("x", "y", "w", "h"), F.col("iw"), F.col("ih"))
     rows = L.BOXES.df(spark).select("id", p.alias("p"))
     return rows.select("id", F.when(F.col("p").isNotNull(), F.concat_ws(",", "p.x", "p.y", "p.w", "p.h")).alias("box"))
 
 
-@query("SELECT w, h, CASE WHEN greatest(w, h) <= 1024 THEN w ELSE greatest(1, floor(w * (1024.0::DOUBLE / greatest(w, h)) + 0.5)) END::INTEGER AS fw, CASE WHEN greatest(w, h) <= 1024 THEN h ELSE greatest(1, floor(h * (1024.0::DOUBLE / greatest(w, h)) + 0.5)) END::INTEGER AS fh FROM (SELECT unnest([100, 2048, 1025, 5000])::INTEGER AS w), (SELECT unnest([1, 768, 3000])::INTEGER AS h)")
+@crafted("SELECT w, h, CASE WHEN greatest(w, h) <= 1024 THEN w ELSE greatest(1, floor(w * (1024.0::DOUBLE / greatest(w, h)) + 0.5)) END::INTEGER AS fw, CASE WHEN greatest(w, h) <= 1024 THEN h ELSE greatest(1, floor(h * (1024.0::DOUBLE / greatest(w, h)) + 0.5)) END::INTEGER AS fh FROM (SELECT unnest([100, 2048, 1025, 5000])::INTEGER AS w), (SELECT unnest([1, 768, 3000])::INTEGER AS h)")
 def fit_within(spark, sf_dir):
     rows = spark.createDataFrame([(w, h) for w in (100, 2048, 1025, 5000) for h in (1, 768, 3000)], "w int, h int")
     return rows.select("w", "h", B.fit_within(F.col("w"), F.col("h")).alias("f")).select("w", "h", F.col("f.w").alias("fw"), F.col("f.h").alias("fh"))
 
 
-@query(f"""
+@crafted(f"""
 WITH a AS (SELECT * FROM {L.DETECTIONS.sql()}), p AS (SELECT a.img, a.score AS s1, b.score AS s2, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h + b.w * b.h AS t FROM a JOIN a b ON a.img = b.img AND a.score > b.score)
 SELECT img, s1, s2, CASE WHEN t - i > 0 THEN i / (t - i) ELSE 0.0 END AS iou FROM p
 """)
@@ -495,7 +508,7 @@ def iou(spark, sf_dir):
     return pairs.select("img", F.col("a.score").alias("s1"), F.col("b.score").alias("s2"), B.iou(F.col("a"), F.col("b")).alias("iou"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0.9::DOUBLE), (1, 0.7), (2, 0.6), (2, 0.5)) AS t(img, score)")
+@crafted("SELECT * FROM (VALUES (1::BIGINT, 0.9::DOUBLE), (1, 0.7), (2, 0.6), (2, 0.5)) AS t(img, score)")
 def nms(spark, sf_dir):
     grouped = L.DETECTIONS.df(spark).groupBy("img").agg(F.collect_list(F.struct("score", "x", "y", "w", "h")).alias("d"))
     return grouped.select("img", F.explode(B.nms(F.col("d"))).alias("k")).select("img", "k.score")
@@ -506,7 +519,7 @@ def img_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", B.img_id(F.col("source"), F.col("n_chars"), F.col("doc_id")).alias("img_id"))
 
 
-@query(f"SELECT id, decision FROM {L.CACHE.sql()}")
+@crafted(f"SELECT id, decision FROM {L.CACHE.sql()}")
 def cache_decide(spark, sf_dir):
     record = F.when(F.col("validated_at").isNotNull(), F.struct("validated_at", "acquired_via", "etag", "last_modified"))
     return L.CACHE.df(spark).select("id", B.cache_decision(record, F.lit(10_000_000.0)).alias("decision"))
@@ -518,7 +531,7 @@ def cache_prune(spark, sf_dir):
     return budget.prunable(records, F.lit(100_000_000.0))
 
 
-@query("SELECT * FROM (VALUES (0::INTEGER, 0.9::DOUBLE, '0.0,0.0,8.0,8.0'), (0, 0.5, '8.0,0.0,8.0,8.0')) AS t(id, score, box)")
+@crafted("SELECT * FROM (VALUES (0::INTEGER, 0.9::DOUBLE, '0.0,0.0,8.0,8.0'), (0, 0.5, '8.0,0.0,8.0,8.0')) AS t(id, score, box)")
 def decode_boxes(spark, sf_dir):
     """Boxes of a detector's level in an image of half the size: cut to it, those in the padding gone."""
     offset = lambda *v: F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(("left", "top", "right", "bottom"), v, strict=True)])
@@ -552,7 +565,7 @@ def ocr_suspects(spark, sf_dir):
     return _line_words(spark, sf_dir).where(I.is_suspect(F.col("text"), F.col("confidence"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT id, out AS boxes FROM {L.READ_WORDS.sql()} WHERE out IS NOT NULL")
+@crafted(f"SELECT id, out AS boxes FROM {L.READ_WORDS.sql()} WHERE out IS NOT NULL")
 def ocr_redactions(spark, sf_dir):
     """Words of a small image that are painted over."""
     rows = L.READ_WORDS.df(spark).withColumns({"box": F.struct("x", F.col("line").alias("y"), F.lit(1).alias("w"), F.lit(1).alias("h")), "img": F.lit(1), "origin": F.lit("https://a.example")})
@@ -571,7 +584,7 @@ def send_gate(spark, sf_dir):
     return e.select("event_id", g.alias("g")).select("event_id", "g.outcome", F.when(F.col("g.boxes").isNotNull(), F.size("g.boxes")).alias("n"))
 
 
-@query(f"SELECT id, looked, processed FROM {L.IMAGE_STATES.sql()}")
+@crafted(f"SELECT id, looked, processed FROM {L.IMAGE_STATES.sql()}")
 def image_outcomes(spark, sf_dir):
     """Lookup and processing of images in every state."""
     state = F.struct(*[c for c in L.IMAGE_STATES.df(spark).columns])
@@ -599,12 +612,12 @@ def sendable_images(spark, sf_dir):
 # --- Agents ---
 
 
-@query(f"SELECT session_id, step, idx, reason FROM {L.POLICY_REASONS.sql()}")
+@crafted(f"SELECT session_id, step, idx, reason FROM {L.POLICY_REASONS.sql()}")
 def policy_check(spark, sf_dir):
     return agent.check_policy(L.ACTIONS.df(spark), L.POLICY_NODES.df(spark), L.POLICY_TOKENS.df(spark)).select("session_id", "step", "idx", "reason")
 
 
-@query(f"WITH r AS (SELECT *, min(CASE WHEN reason IS NOT NULL THEN idx END) OVER (PARTITION BY session_id, step) AS f FROM {L.POLICY_REASONS.sql()}) SELECT session_id, step, idx, CASE WHEN f IS NULL OR idx < f THEN 'run' WHEN idx = f THEN 'blocked' ELSE 'not_run' END AS result FROM r")
+@crafted(f"WITH r AS (SELECT *, min(CASE WHEN reason IS NOT NULL THEN idx END) OVER (PARTITION BY session_id, step) AS f FROM {L.POLICY_REASONS.sql()}) SELECT session_id, step, idx, CASE WHEN f IS NULL OR idx < f THEN 'run' WHEN idx = f THEN 'blocked' ELSE 'not_run' END AS result FROM r")
 def policy_prefix(spark, sf_dir):
     return agent.until_blocked(agent.check_policy(L.ACTIONS.df(spark), L.POLICY_NODES.df(spark), L.POLICY_TOKENS.df(spark))).select("session_id", "step", "idx", "result")
 
@@ -618,17 +631,17 @@ _ANSWERS = L.Table(
 )
 
 
-@query("SELECT * FROM (VALUES ('s', 1::INTEGER, 't', NULL), ('s', 2, 'b {', NULL), ('s', 3, NULL, 'backend_invalid_response')) AS t(session_id, step, thought, reason)")
+@crafted("SELECT * FROM (VALUES ('s', 1::INTEGER, 't', NULL), ('s', 2, 'b {', NULL), ('s', 3, NULL, 'backend_invalid_response')) AS t(session_id, step, thought, reason)")
 def response_retry(spark, sf_dir):
     return agent.first_valid(_ANSWERS.df(spark)).select("session_id", "step", "response.thought", "reason")
 
 
-@query(f"SELECT id, object FROM {L.ANSWERS.sql()}")
+@crafted(f"SELECT id, object FROM {L.ANSWERS.sql()}")
 def first_object(spark, sf_dir):
     return L.ANSWERS.df(spark).select("id", agent.first_json_object(F.col("answer")).alias("object"))
 
 
-@query("""SELECT id, 'ok' AS status, '{"a":3,"b":2}' AS index FROM (VALUES (0::BIGINT)) AS t(id)""")
+@crafted("""SELECT id, 'ok' AS status, '{"a":3,"b":2}' AS index FROM (VALUES (0::BIGINT)) AS t(id)""")
 def image_index(spark, sf_dir):
     """Images of an observation by node; of equal ones the last counts."""
     image = lambda i, n: F.struct(F.lit(i).alias("img_id"), F.lit(n).alias("node"))
@@ -636,7 +649,7 @@ def image_index(spark, sf_dir):
     return agent.to_wire(seen, by=["id"]).select("id", F.get_json_object("json", "$.status").alias("status"), F.get_json_object("json", "$.image_index").alias("index"))
 
 
-@query(f"SELECT session_id, step, count(*)::INTEGER AS n FROM {L.STEPS.sql()} WHERE kept GROUP BY ALL")
+@crafted(f"SELECT session_id, step, count(*)::INTEGER AS n FROM {L.STEPS.sql()} WHERE kept GROUP BY ALL")
 def session_history(spark, sf_dir):
     return agent.history(L.STEPS.df(spark).drop("kept")).select("session_id", "step", F.size("actions").alias("n"))
 
@@ -674,7 +687,7 @@ def page_links(spark, sf_dir):
     return clean.where("field = 'href' OR node < 0").select("page_id", field.alias("field"), "text")
 
 
-@query(f"SELECT unit, out AS text FROM {L.LINKS.sql()}")
+@crafted(f"SELECT unit, out AS text FROM {L.LINKS.sql()}")
 def link_tokens(spark, sf_dir):
     """Links and texts of one session share tokens; sensitive values go whole."""
     return T.sanitize(L.LINKS.df(spark).drop("out"))[0].select("unit", "text")
@@ -706,7 +719,7 @@ def cache_hit_rate(spark, sf_dir):
     return metrics.rates(logs.withColumn("op", named))
 
 
-@query("""SELECT * FROM (VALUES ('"a,b",1,x,,,,,,,,,'), ('"q""q",,y,,,,,"l1' || chr(10) || 'l2",,,,'), ('plain,3,z,,,,,ok,,,,')) AS t(line)""")
+@crafted("""SELECT * FROM (VALUES ('"a,b",1,x,,,,,,,,,'), ('"q""q",,y,,,,,"l1' || chr(10) || 'l2",,,,'), ('plain,3,z,,,,,ok,,,,')) AS t(line)""")
 def log_csv(spark, sf_dir):
     empty = {c: F.lit(None).cast("string") for c in metrics.CSV_COLUMNS if c not in ("session_id", "step", "op", "reason")}
     return csv_lines(L.LOG_FIELDS.df(spark).withColumns(empty))
@@ -716,7 +729,7 @@ _TRUTH = L.Table("img_id bigint, truth_id bigint, size bigint, x double, y doubl
 _FOUND = L.Table("img_id bigint, det_id bigint, x double, y double, w double, h double", [(1, 1, 1.0, 1.0, 18.0, 18.0), (1, 2, 2.0, 2.0, 17.0, 17.0), (2, 3, 90.0, 90.0, 5.0, 5.0)])
 
 
-@query("SELECT * FROM (VALUES (20::BIGINT, 2::BIGINT, 1::BIGINT, 0.5::DOUBLE), (40, 1, 0, 0.0)) AS t(size, n, found, recall)")
+@crafted("SELECT * FROM (VALUES (20::BIGINT, 2::BIGINT, 1::BIGINT, 0.5::DOUBLE), (40, 1, 0, 0.0)) AS t(size, n, found, recall)")
 def recall_by_size(spark, sf_dir):
     return metrics.recall_by_size(metrics.match_boxes(_TRUTH.df(spark), _FOUND.df(spark)))
 
@@ -748,3 +761,6 @@ def unit_chunks(spark, sf_dir):
 def budget_queue(spark, sf_dir):
     items = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "click").alias("ok"))
     return budget.run_with_budget(items, by=["user_id"], order=["event_id"], budget=3).select("user_id", "event_id", "started")
+
+
+from . import derived  # noqa: E402, F401  registers its queries here
