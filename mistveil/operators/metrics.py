@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.boxes import iou
+from ..sources.tables import written
 from .order import at_ranks
 
 LOG = "session_id string, step int, op string, t_start double, t_end double, duration_ms double, outcome string, reason string, ref string, model_id string, tier int, compute string, queue_ms double, counts map<string,bigint>"
@@ -117,34 +119,58 @@ def canary_leaks(texts: DataFrame, canaries: DataFrame, *, text: str = "text", m
     return out.groupBy("id").agg(F.count("*").alias("n"))
 
 
-def match_boxes(truth: DataFrame, found: DataFrame, *, by: str = "img_id", least: float = 0.2) -> DataFrame:
-    """Per image and true box whether a detection met it; detections left over are false positives (truth null).
+def _same(columns: list[str], prefix: str) -> Column:
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return same
+
+
+def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that gone has no equal of, null to null."""
+    named = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in columns])
+    return rows.join(named, _same(columns, "_gone_"), "left_anti")
 
-    Greedy one to one: each true box takes the best free detection whose
-    centre lies inside it and that overlaps enough. Images are small groups.
-    """
 
-    def overlap(a, b) -> float:
-        w = min(a.x + a.w, b.x + b.w) - max(a.x, b.x)
-        h = min(a.y + a.h, b.y + b.h) - max(a.y, b.y)
-        inter = max(0.0, w) * max(0.0, h)
-        union = a.w * a.h + b.w * b.h - inter
-        return inter / union if union > 0 else 0.0
-
-    def match(key, true: pd.DataFrame, detections: pd.DataFrame) -> pd.DataFrame:
-        free, out = list(detections.sort_values("det_id").itertuples()), []
-        for t in true.sort_values("truth_id").itertuples():
-            inside = [d for d in free if t.x <= d.x + d.w / 2 <= t.x + t.w and t.y <= d.y + d.h / 2 <= t.y + t.h and overlap(t, d) >= least]
-            best = max(inside, key=lambda d: overlap(t, d), default=None)
-            if best is not None:
-                free.remove(best)
-            out.append((key[0], t.truth_id, best.det_id if best is not None else None, t.size))
-        out += [(key[0], None, d.det_id, None) for d in free]
-        return pd.DataFrame(out, columns=[by, "truth_id", "det_id", "size"]).astype({"truth_id": "Int64", "det_id": "Int64", "size": "Int64"})
-
-    kind = truth.schema[by].dataType.simpleString()
-    grouped = truth.groupBy(by).cogroup(found.groupBy(by))
-    return grouped.applyInPandas(match, f"{by} {kind}, truth_id long, det_id long, size long")
+def match_boxes(truth: DataFrame, found: DataFrame, *, by: str = "img_id", least: float = 0.2, cell: float = 64.0) -> DataFrame:
+    """by, truth_id, det_id, size: each true box with the detection that met it, if any; detections left over are false positives (truth null).
+
+    One to one: true boxes in order of their id take the best free detection
+    (the smaller id of equal ones) whose centre lies inside and that overlaps
+    enough. Pairs come from a join of grid cells of `cell` pixels. Then rounds
+    do for all images at once what the order does one by one: every true box
+    asks for its best detection, one asked for by several goes to the smallest
+    id for now, the others ask for their next best; when nobody is refused,
+    the matches are those of the order. Boxes without a size or place match
+    nothing.
+    """
+    sides = ("x", "y", "w", "h")
+    span = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(size)) / cell))
+    sound = F.lit(True)
+    for c in sides:
+        sound = sound & F.col(c).isNotNull()
+    boxes = truth.where(sound & (F.col("w") >= 0) & (F.col("h") >= 0)).select(F.col(by).alias("_img"), "truth_id", F.struct(*sides).alias("_t"), F.explode(span("x", "w")).alias("_cx"), "y", "h")
+    boxes = boxes.select("_img", "truth_id", "_t", "_cx", F.explode(span("y", "h")).alias("_cy"))
+    middle = lambda at, size: F.col(at) + F.col(size) / 2
+    centres = found.where(sound).select(F.col(by).alias("_its"), "det_id", F.struct(*sides).alias("_d"), middle("x", "w").alias("_mx"), middle("y", "h").alias("_my"))
+    centres = centres.withColumns({"_dx": F.floor(F.col("_mx") / cell), "_dy": F.floor(F.col("_my") / cell)})
+    inside = F.col("_mx").between(F.col("_t.x"), F.col("_t.x") + F.col("_t.w")) & F.col("_my").between(F.col("_t.y"), F.col("_t.y") + F.col("_t.h"))
+    met = boxes.join(centres, F.col("_img").eqNullSafe(F.col("_its")) & (F.col("_cx") == F.col("_dx")) & (F.col("_cy") == F.col("_dy"))).where(inside)
+    pair = ["_img", "truth_id", "det_id"]
+    open_ = written(met.select(*pair, iou(F.col("_t"), F.col("_d")).alias("_iou")).where(F.col("_iou") >= least), "pairs")
+    while True:
+        asked = open_.groupBy("_img", "truth_id").agg(F.max_by("det_id", F.struct("_iou", -F.col("det_id"))).alias("det_id"))
+        held = asked.groupBy("_img", "det_id").agg(F.min("truth_id").alias("truth_id"))
+        asked, held = written(asked, "asked"), written(held, "held")
+        refused = _without(asked, held, pair)
+        if not refused.limit(1).count():
+            break
+        open_ = written(_without(open_, refused, pair), "pairs")
+    matched = held.select(F.col("_img").alias("_its"), F.col("truth_id").alias("_truth"), F.col("det_id").alias("_det"))
+    ours = truth.join(matched, F.col(by).eqNullSafe(F.col("_its")) & (F.col("truth_id") == F.col("_truth")), "left").select(by, F.col("truth_id").cast("long").alias("truth_id"), F.col("_det").cast("long").alias("det_id"), F.col("size").cast("long").alias("size"))
+    rest = found.join(matched, F.col(by).eqNullSafe(F.col("_its")) & (F.col("det_id") == F.col("_det")), "left_anti")
+    none = F.lit(None).cast("long")
+    return ours.unionByName(rest.select(by, none.alias("truth_id"), F.col("det_id").cast("long").alias("det_id"), none.alias("size")))
 
 
 def recall_by_size(matched: DataFrame) -> DataFrame:
