@@ -63,7 +63,7 @@ class AgentSession(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         given = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
         out, live = [], False
         for r in given.itertuples():
@@ -85,11 +85,11 @@ class AgentSession(StatefulProcessor):
                 self._forget()
         if live:
             last = int(given["ts"].max().timestamp() * 1000)
-            self._wake_at(max(last, timers.getCurrentWatermarkInMs()) + TTL_MS)
+            self._wake_at(max(last, timerValues.getCurrentWatermarkInMs()) + TTL_MS)
         frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUT.split(", ")])
         yield frame.astype({"unit": "Int64", "step": "Int32", "memo": "boolean"})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._forget()
         return iter(())
 
