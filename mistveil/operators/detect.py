@@ -144,6 +144,20 @@ def align_tokens(text: str, pieces: list[tuple[str, str, float]]) -> list[tuple[
     return out
 
 
+def aligned_tokens(text: Column, pieces: Column) -> Column:
+    """align_tokens() as a column: pieces is an array of (entity, word, score); the result has (entity, score, start, end). Null texts and pieces have none."""
+
+    @F.pandas_udf("array<struct<entity:string,score:double,start:int,end:int>>")
+    def align(texts: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for t, p in zip(texts, found, strict=True):
+            placed = [] if t is None or p is None else align_tokens(t, [(x["entity"], x["word"] or "", x["score"]) for x in p])
+            out.append([{"entity": e, "score": s, "start": a, "end": b} for e, s, a, b in placed])
+        return pd.Series(out)
+
+    return align(text, pieces)
+
+
 def group_entities(aligned: DataFrame) -> DataFrame:
     """BIO-tagged pieces (text_id, idx, entity, score, start, end) as entities: text_id, label, start, end, score (the mean).
 

@@ -55,12 +55,6 @@ def csv_line(columns: list[str]) -> Column:
     return F.concat_ws(",", *[field(c) for c in columns])
 
 
-def observation_summary(nodes: DataFrame, *, by: list[str]) -> DataFrame:
-    """Nodes, markers, omissions, trimmed nodes, secrets and interactive nodes per page."""
-    yes = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
-    return nodes.groupBy(*by).agg(F.count("*").alias("n_nodes"), F.count("marker").alias("n_markers"), yes("secret").alias("n_secret"), yes("interactive").alias("n_interactive"), F.sum(F.size("fields")).alias("n_fields"))
-
-
 def breakdown(counts: DataFrame, *, by: list[str], kind: str = "kind", n: str = "n") -> DataFrame:
     """Counts by kind as text: "a 1, b 2"."""
     parts = F.array_sort(F.collect_list(F.concat_ws(" ", F.col(kind), F.col(n).cast("string"))))
@@ -178,29 +172,6 @@ def recall_by_size(matched: DataFrame) -> DataFrame:
     return matched.where("truth_id IS NOT NULL").groupBy("size").agg(F.count("*").alias("n"), F.count("det_id").alias("found"), (F.count("det_id") / F.count("*")).alias("recall"))
 
 
-def side_by_side(summary: DataFrame, order: list[str]) -> DataFrame:
-    """p50 per op with a column for each compute target; ops in the given order, others after it by name."""
-    place = F.coalesce(F.nullif(F.array_position(F.lit(order), F.col("op")), F.lit(0)), F.lit(len(order) + 1))
-    return summary.groupBy("op").pivot("compute", ["wasm", "webgpu"]).agg(F.first("p50")).withColumn("place", place.cast("int"))
-
-
-def markdown_table(rows: DataFrame, *, most: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    lines = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
-    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(most).collect()]
-    return "\n".join(lines)
-
-
-def put_section(document: str, heading: str, body: str) -> str:
-    """document with the section under a heading ("## ...") replaced, or added at its end."""
-    parts = document.split("\n## ")
-    for i, part in enumerate(parts):
-        if part.split("\n", 1)[0].removeprefix("## ") == heading:
-            parts[i] = f"{heading}\n\n{body}\n" if i else f"## {heading}\n\n{body}\n"
-            return "\n## ".join(parts)
-    return f"{document.rstrip()}\n\n## {heading}\n\n{body}\n".lstrip()
-
-
 class Timer:
     """Collects log rows of timed driver-side steps; errors are logged by a code of a fixed list, never by their text."""
 

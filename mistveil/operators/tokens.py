@@ -143,6 +143,20 @@ def resolve(texts: DataFrame, tokens: DataFrame, *, text: str = "text") -> DataF
     return bare.unionByName(back.select(*texts.columns))
 
 
+def resolve_actions(actions: DataFrame, tokens: DataFrame) -> DataFrame:
+    """actions (session_id, step, idx, type, text, value, ...) with known tokens turned back into values where they are typed or selected; all else stays.
+
+    For actions that policy has let pass. Rows are told apart by session_id,
+    step and idx.
+    """
+    key = ["session_id", "step", "idx"]
+    said = F.when(F.col("type") == "type", F.col("text")).when(F.col("type") == "select", F.col("value"))
+    texts = actions.withColumn("_said", said).where(F.col("_said").rlike(TOKEN)).select("session_id", F.struct("step", "idx").alias("id"), F.col("_said").alias("text"))
+    back = resolve(texts, tokens).select("session_id", F.col("id.step").alias("step"), F.col("id.idx").alias("idx"), F.col("text").alias("_told"))
+    told = lambda kind, c: F.when((F.col("type") == kind) & F.col("_told").isNotNull(), F.col("_told")).otherwise(F.col(c))
+    return actions.join(back, key, "left").withColumns({"text": told("type", "text"), "value": told("select", "value")}).select(*actions.columns)
+
+
 def tokens_in(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 

@@ -18,6 +18,7 @@ from ..operators import html as W
 from ..operators import images as I
 from ..operators import tokens as T
 from ..operators.known import known_values
+from ..operators.reports import observation_summary, site_table
 from ..operators.residuals import residual_scan
 from ..operators.trees import forest
 from ..operators.windows import merge_windows, window_texts
@@ -238,6 +239,25 @@ def residual_walk(spark, sf_dir):
     return shown.select("doc_id", F.coalesce("kind", F.lit("strings")).alias("kind"), "n")
 
 
+@query("""
+WITH l AS (SELECT doc_id, range(len(string_split(text, chr(10)))) AS n, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'blocked' ELSE 'ok' END AS outcome, CASE WHEN doc_id % 11 <> 0 THEN len(n) END AS nodes, CASE WHEN doc_id % 11 <> 0 THEN len(n) END AS content_fields,
+  CASE WHEN doc_id % 11 <> 0 THEN CASE WHEN len(n) > 1 THEN 'NAME ' || least(len(n), 3) ELSE 'NAME 1' END END AS tokens, CASE WHEN doc_id % 11 <> 0 THEN 'canvas_skipped ' || len(list_filter(n, lambda i: i % 7 = 0)) END AS markers,
+  CASE WHEN doc_id % 11 <> 0 THEN len(list_filter(n, lambda i: i % 4 = 0)) END AS image_nodes, CASE WHEN doc_id % 11 <> 0 THEN doc_id % 3 END AS images_sent, CASE WHEN doc_id % 11 <> 0 THEN 'too_small ' || len(list_filter(n, lambda i: i % 8 = 0)) END AS images_omitted,
+  CASE WHEN doc_id % 11 <> 0 THEN len(n) > 4 END AS truncated, CASE WHEN doc_id % 11 <> 0 THEN len(list_filter(n, lambda i: i % 5 = 4)) END AS trimmed_nodes FROM l
+""", "observation_summary")
+def observation_summary_query(spark, sf_dir):
+    """Answers of the observing side made of documents, as counts: nodes, fields, tokens, markers, images, what was trimmed."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    say = lambda yes, text: F.when(yes, F.lit(text))
+    node = lambda t, i: F.struct(F.create_map(F.lit("text"), F.concat(F.lit("[PII_NAME_"), (i % 3).cast("string"), F.lit("]"))).alias("content"), say(i % 7 == 0, "canvas_skipped").alias("marker"), say(i % 4 == 0, "img").alias("image"), say(i % 8 == 0, "too_small").alias("image_omitted"), (i % 5 == 4).alias("trimmed"))
+    lines = F.split("text", "\n", -1)
+    seen = F.struct(F.transform(lines, node).alias("dom"), F.array_repeat(F.struct(F.lit("AAAA").alias("data")), F.expr("CAST(doc_id % 3 AS INT)")).alias("images"), (F.size(lines) > 4).alias("truncated"))
+    json = F.to_json(F.struct(F.when(F.col("doc_id") % 11 == 0, "blocked").otherwise("ok").alias("status"), seen.alias("observation")))
+    found = site_table(observation_summary(docs.select("doc_id", json.alias("json")), by=["doc_id"]), by=["doc_id"])
+    return found.drop("text_kb", "images_kb", "leak_candidates")
+
+
 def _line_units(spark, sf_dir):
     """Lines of documents as units of a session each."""
     docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")

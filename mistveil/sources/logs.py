@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.budget import latest
 from ..operators.metrics import CSV_COLUMNS, csv_line
+from ..operators.order import numbered
 
 SESSION = "session_id string, started_at double, backend_id string, backend_model string, models array<struct<capability:string,model_id:string,tier:int,compute:string>>"
 
@@ -31,13 +32,30 @@ def write_json(records: DataFrame, path: str) -> None:
     records.write.json(path)
 
 
+def write_export(records: DataFrame, sessions_: DataFrame, path: str) -> None:
+    """Records and sessions as one JSON object {"records": [...], "sessions": [...]}, in text files that make it when put together in the order of their names.
+
+    Rows are numbered by ranges, so no task holds all of them; only the first
+    of each list lacks a comma before it.
+    """
+
+    def listed(rows: DataFrame, part: int) -> DataFrame:
+        json = rows.select(F.to_json(F.struct(*rows.columns)).alias("_json"), F.monotonically_increasing_id().alias("_i"))
+        comma = F.when(F.col("_place") == 0, "").otherwise(",")
+        return numbered(json, ["_i"], name="_place").select(F.lit(part).alias("part"), F.col("_place").alias("place"), F.concat(comma, "_json").alias("value"))
+
+    frame = records.sparkSession.createDataFrame([(0, 0, '{"records":['), (2, 0, '],"sessions":['), (4, 0, "]}")], "part int, place long, value string")
+    whole = frame.unionByName(listed(records, 1)).unionByName(listed(sessions_, 3))
+    whole.repartitionByRange("part", "place").sortWithinPartitions("part", "place").select("value").write.text(path)
+
+
 def csv_lines(records: DataFrame) -> DataFrame:
     """Lines of the CSV export, without its header."""
     return records.select(csv_line(list(CSV_COLUMNS)).alias("line"))
 
 
 def write_csv(records: DataFrame, path: str) -> None:
-    """The CSV export as text files; the header is the first line of each."""
+    """The CSV export as text files, each a CSV of its own with the header as its first line (a reader of the whole folder sees it once a file)."""
     header = ",".join(CSV_COLUMNS)
 
     def headed(frames):

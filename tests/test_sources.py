@@ -66,15 +66,6 @@ def test_timer():
     assert "secret text" not in str(timer.rows)
 
 
-def test_reports(spark):
-    body = metrics.markdown_table(spark.createDataFrame([("a", 1), (None, 2)], "k string, n int"))
-    assert body == "| k | n |\n| --- | --- |\n| a | 1 |\n|  | 2 |"
-    doc = metrics.put_section("# T\n\n## A\n\nold\n\n## B\n\nb\n", "A", "new")
-    assert "old" not in doc and doc.index("new") < doc.index("## B") and metrics.put_section(doc, "C", "c").endswith("## C\n\nc\n")
-    summary = spark.createDataFrame([("z", "wasm", 1.0), ("z", "webgpu", 2.0), ("a", "wasm", 3.0)], "op string, compute string, p50 double")
-    assert [(r.op, r.wasm, r.webgpu) for r in metrics.side_by_side(summary, ["z"]).orderBy("place", "op").collect()] == [("z", 1.0, 2.0), ("a", 3.0, None)]
-
-
 def test_providers(spark):
     providers = spark.createDataFrame([("ner", "big", 1, True), ("ner", "small", 2, False), ("face", "f", 1, True)], "capability string, id string, preference int, needs_webgpu boolean")
     devices = spark.createDataFrame([("d", "ner", "wasm", None), ("e", "ner", "wasm", "big"), ("e", "face", "wasm", "nope")], "device string, capability string, compute string, override_id string")
