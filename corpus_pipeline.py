@@ -17,27 +17,47 @@ from mistveil.llm.simhash import near_dedup
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that break a rule go."""
+    """Documents that break a rule go.
+
+    Null and empty texts have no words and go; texts of any length are read whole; rows that repeat are judged each;
+    an empty table gives no rows; other columns stay as they are, whatever their names.
+    """
     return keep_good(docs)
 
 
 def line_dedup(spark, docs, sf_dir):
-    """Lines that many documents hold stay in one of them."""
+    """Lines that many documents hold stay in one of them, the largest id.
+
+    Null texts become empty and stay; texts of any length are split whole; rows equal in id and text are treated alike,
+    null is an id; an empty table gives no rows; n_lines and n_dropped of docs stay as they are.
+    """
     return dedup_lines(docs).select(*docs.columns)
 
 
 def simhash_dedup(spark, docs, sf_dir):
-    """Of each group of near-duplicates one document stays."""
+    """Of each group of near-duplicates one document stays: the smallest id, null last, then the smallest digest of its text.
+
+    Null and empty texts are one group; texts of any length count whole; of repeated rows one stays; an empty table gives
+    no rows; other columns stay as they are, whatever their names.
+    """
     return near_dedup(docs)
 
 
 def decontamination(spark, docs, sf_dir):
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none and stay; texts of any length are searched whole; rows that repeat go or stay together;
+    an empty table on either side takes nothing away; other columns stay as they are.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark, docs, sf_dir):
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, with copy (a column of that name is replaced).
+
+    Null texts have size 0 and a null source is a source; texts of any length count whole; repeated rows draw alike;
+    an empty table gives no rows.
+    """
     return mix(docs)
 
 

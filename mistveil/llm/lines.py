@@ -29,8 +29,9 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_
     of at least min_chars code points in at least min_docs documents (distinct
     ids; null is one id, the smallest) are dropped but in the largest id that
     holds them. A null text becomes empty; a text that loses all lines becomes
-    empty; rows with equal id and text are treated alike; columns of docs
-    named n_lines or n_dropped are replaced.
+    empty; texts of any length are split whole; rows with equal id and text
+    are treated alike; an empty table gives no rows; columns of docs named
+    n_lines or n_dropped are replaced.
     """
     key = [F.col(id).alias("_mv_id"), *[h.alias(f"_mv_t{i}") for i, h in enumerate(digest(F.coalesce(F.col(text), F.lit(""))))]]
     lines = docs.select(*key, F.posexplode(split_lines(F.col(text))).alias("_mv_pos", "_mv_line"))

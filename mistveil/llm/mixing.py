@@ -49,8 +49,10 @@ def uniform(key: Column, seed: int) -> Column:
 def plan_mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: int = 0) -> DataFrame:
     """docs with size, source_size, target, rate and copies (how often the mix takes the document).
 
-    Null texts have size 0; a null source is a source of its own; repeated
-    rows draw alike; columns of docs with those names are replaced.
+    Null and empty texts have size 0; texts of any length count whole; a null
+    source is a source of its own; a null id draws like an empty one; repeated
+    rows draw alike; an empty table gives no rows; columns of docs with those
+    names are replaced.
     """
     own = ("size", "source_size", "target", "rate", "copies")
     targets = stored(source_targets(docs, text=text, source=source, weights=weights, cap=cap), "targets")
@@ -65,7 +67,10 @@ def plan_mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row of docs as many times as planned, with copy = 1, 2, ... (a column of docs of that name is replaced)."""
+    """The mixed corpus: each row of docs as many times as planned, with copy = 1, 2, ... (a column of docs of that name is replaced).
+
+    Nulls, empty and long texts, repeated rows and an empty table as in plan_mix(); other columns stay as they are.
+    """
     names = {k: options.get(k, v) for k, v in (("id", "doc_id"), ("text", "text"), ("source", "source"))}
     rows = docs.select(F.struct(*docs.columns).alias("_mv_row"), *[F.col(v).alias(k) for k, v in names.items()])
     planned = plan_mix(rows, **options | {k: k for k in names}).where(F.col("copies") > 0)

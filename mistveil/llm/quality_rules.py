@@ -142,13 +142,18 @@ def _judged(docs: DataFrame, text: str, rules) -> DataFrame:
 def measure_quality(docs: DataFrame, *, text: str = "text", rules=RULES) -> DataFrame:
     """docs with its counts, base_failed, failed_rules and kept.
 
-    Null and empty texts have no words and fail. Repeated rows are judged each
-    on its own. Columns of docs with the names that this adds are replaced.
+    Null and empty texts have no words and fail; texts of any length are
+    counted whole; repeated rows are judged each on its own; an empty table
+    gives no rows; columns of docs with the names that this adds are replaced.
     """
     return _judged(docs, text, rules).drop("_mv_at")
 
 
 def keep_good(docs: DataFrame, *, text: str = "text", rules=RULES) -> DataFrame:
-    """The rows of docs that pass, with the columns of docs."""
+    """The rows of docs that pass, with the columns of docs.
+
+    Null and empty texts do not pass; long texts, repeated rows and an empty
+    table as in measure_quality(); columns of any names stay as they are.
+    """
     marked = docs.select(F.struct(*docs.columns).alias("_mv_row"), F.col(text).alias("text"))
     return _judged(marked, "text", rules).where("kept AND _mv_at >= 0").select("_mv_row.*")

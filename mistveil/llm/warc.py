@@ -42,7 +42,9 @@ def write_warc(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "
 
     Of rows with equal payloads (UTF-8 html; null: empty) of at least
     min_revisit_bytes, those with the largest id are responses and the others
-    revisit it. Rows that share id and payload get records of the same type.
+    revisit it. Rows that share id and payload get records of the same type; what
+    is null leaves its header out; payloads of any length are written whole; an empty table makes no record; other columns
+    are not read.
     Writing goes through Spark's text writer, so any store that Spark reaches will do.
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
