@@ -133,7 +133,8 @@ class Forest:
 
 def cells_of(x: np.ndarray, least: float, most: float, dense: int):
     """(members, centre, radius) of cells of at least `dense` rows of x, none farther than the angle `most` from its centre."""
-    near = (x @ x.T).astype(np.float32) >= least
+    single = x.astype(np.float32)
+    near = single @ single.T >= least
     degree, free = near.sum(1), np.ones(len(x), bool)
     while len(x):
         seed = int(degree.argmax())
@@ -221,11 +222,12 @@ def _united(cells: DataFrame, forest: Forest) -> DataFrame:
                     centre[m] = middle.tolist()
             return pa.table([pa.array(cell), pa.array(into), pa.array(centre, pa.list_(pa.float64())), pa.array(size)], names=["_cell", "_into", "_v", "_n"])
 
-        homed = heads.mapInArrow(deal, "_cell long, _v array<double>, _n long, _home long")
-        if count <= BLOCK:
-            homed = homed.withColumn("_home", F.lit(0).cast("long"))  # few enough for one block
-        sizes = homed.groupBy("_home").agg(F.ceil(F.count("*") / BLOCK).alias("_parts"))
-        salted = homed.join(sizes, "_home").withColumn("_salt", F.pmod(F.xxhash64(F.lit(turn), "_cell"), F.col("_parts")))
+        if count <= BLOCK:  # few enough for one block
+            salted = heads.withColumns({"_home": F.lit(0).cast("long"), "_salt": F.lit(0).cast("long")})
+        else:
+            homed = heads.mapInArrow(deal, "_cell long, _v array<double>, _n long, _home long")
+            sizes = homed.groupBy("_home").agg(F.ceil(F.count("*") / BLOCK).alias("_parts"))
+            salted = homed.join(sizes, "_home").withColumn("_salt", F.pmod(F.xxhash64(F.lit(turn), "_cell"), F.col("_parts")))
         step = stored(salted.groupBy("_home", "_salt").applyInArrow(unite, "_cell long, _into long, _v array<double>, _n long"), "unions")
         onward = step.select(F.col("_cell").alias("_super"), "_into", F.col("_v").alias("_middle"))
         known = stored(known.drop("_middle").join(onward, "_super").select("_cell", "_radius", F.col("_into").alias("_super"), "_middle"), "united")
