@@ -22,7 +22,7 @@ from ..operators import html as W
 from ..operators import images as I
 from ..operators import tokens as T
 from ..sources.logs import csv_lines
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from . import literals as L
 from .queries import _LUHN, _VERHOEFF, query
 
@@ -38,6 +38,11 @@ def picked(key: str, *values) -> str:
     return f"([{text}])[(({key}) % {len(values)} + 1)::INT]"
 
 
+def _customers(spark, sf_dir, *columns: str) -> DataFrame:
+    """Customers by key, with the given columns."""
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey", *columns), "c_custkey")
+
+
 def _spans(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
     each = rows.select(*keep, F.explode(pattern_spans(text)).alias("s"))
     return each.select(*keep, "s.type", "s.start", F.col("s.end").alias("end_"))
@@ -69,12 +74,12 @@ def span_claims(spark, sf_dir):
     """Handles, addresses and numbers that hold one another: earlier patterns claim their text first."""
     u = F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
     text = F.concat(F.lit("pay "), u, F.lit("@okbank or "), u, F.lit("@okbank.com 27ABCPE1234F1Z5"))
-    return _spans(table(spark, sf_dir, "customer"), text, "c_custkey")
+    return _spans(_customers(spark, sf_dir), text, "c_custkey")
 
 
 def _planted(spark, sf_dir) -> DataFrame:
     """Documents by id, each with one of the canaries."""
-    ids = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id")
+    ids = dealt(table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id"), "doc_id")
     return ids.join(F.broadcast(L.CANARIES.df(spark)), F.pmod("doc_id", F.lit(len(L.CANARIES.rows))) == -F.col("id") - 1)
 
 
@@ -151,7 +156,7 @@ def public_email(spark, sf_dir):
 def decide_spans(spark, sf_dir):
     """A name, an address and a word of unknown kind: tags on addresses fall away, public addresses go, kinds nobody knows are OTHER."""
     mail = F.when(F.col("c_custkey") % 2 == 0, "support@example.com").otherwise(F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@b.example")))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.length("c_name").alias("n"), F.length(mail).alias("m"), F.concat("c_name", F.lit(" to "), mail, F.lit(" today")).alias("text"))
+    rows = _customers(spark, sf_dir, "c_name").select("c_custkey", F.length("c_name").alias("n"), F.length(mail).alias("m"), F.concat("c_name", F.lit(" to "), mail, F.lit(" today")).alias("text"))
     tag = lambda kind, a, b: F.struct(F.lit(kind).alias("type"), a.cast("int").alias("start"), b.cast("int").alias("end"))
     n, m = F.col("n"), F.col("m")
     tags = F.array(tag("NAME", F.lit(0), n), tag("EMAIL", n + 5, n + 8), tag("WHAT", n + m + 5, n + m + 10))
@@ -163,7 +168,7 @@ def decide_spans(spark, sf_dir):
 def mask_map(spark, sf_dir):
     """What a tagger sees, and its tags moved back; a tag on the mask is dropped."""
     text = F.concat(F.lit("mail u"), F.col("c_custkey").cast("string"), F.lit("@c.example or "), "c_name")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", text.alias("text")).withColumn("m", D.masked(F.col("text"), pattern_spans(F.col("text"))))
+    rows = _customers(spark, sf_dir, "c_name").select("c_custkey", "c_name", text.alias("text")).withColumn("m", D.masked(F.col("text"), pattern_spans(F.col("text"))))
     tag = lambda s, e: F.struct(F.lit("NAME").alias("type"), s.cast("int").alias("start"), e.cast("int").alias("end"))
     moved = D.unmasked(F.array(tag(F.lit(20), F.lit(20) + F.length("c_name")), tag(F.lit(4), F.lit(8))), F.col("m.places"))
     return rows.select("c_custkey", F.col("m.text").alias("shown"), F.array_join(F.transform(moved, lambda s: F.concat_ws(":", s["type"], s["start"], s["end"])), ",").alias("moved"))
@@ -218,7 +223,7 @@ def url_sanitize_crafted(spark, sf_dir):
     url = F.when(at == 0, F.concat(F.lit("https://user:pw@Host"), key, F.lit(".example:443/a/b?token=t"), key, F.lit("&page="), key, F.lit("#top")))
     url = url.when(at == 1, F.concat(F.lit("/p/u"), key, F.lit("%40b.example?id="), key, F.lit("000"))).when(at == 2, F.concat(F.lit("https://x.example/?email=&q=u"), key, F.lit("@b.example")))
     url = url.when(at == 3, F.concat(F.lit("mailto:u"), key, F.lit("@b.example"))).when(at == 4, F.concat(F.lit("https://x.example/50%zz?token="), key)).otherwise(F.concat(F.lit("/%zz/u"), key, F.lit("@b.example/"), key))
-    return table(spark, sf_dir, "pages").select("page_id", masked_url(url).alias("clean"))
+    return dealt(table(spark, sf_dir, "pages").select("page_id"), "page_id").select("page_id", masked_url(url).alias("clean"))
 
 
 _NETS = (10, 172, 192, 169, 100, 127, 8, 0)
@@ -369,7 +374,7 @@ def cache_decide(spark, sf_dir):
 
 def _copies(spark, sf_dir, rows: L.Table) -> DataFrame:
     """The cases of a small list of fixed length for every customer."""
-    return table(spark, sf_dir, "customer").select("c_custkey").join(F.broadcast(rows.df(spark)))
+    return _customers(spark, sf_dir).join(F.broadcast(rows.df(spark)))
 
 
 def _each(rows: L.Table) -> str:

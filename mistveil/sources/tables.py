@@ -11,6 +11,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt out by keys to as many parts as shuffles have: for narrow rows with much work each, as a table small in bytes is read by a task or a few.
+
+    The number of parts is given, as parts small in bytes would be merged again.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
