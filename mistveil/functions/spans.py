@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .checksums import passes
-from .patterns import MAYBE, PATTERNS
+from .patterns import MAYBE, MAYBE_DIGITS, PATTERNS, WITH_AT
 
 SPAN = "struct<type:string,start:int,end:int>"
 
@@ -16,9 +16,36 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Signs that stand around hits while a text is cut up, and in place of such a sign in a text.
+_MARK, _NO_MARK = "\x01", "\x02"
+
+
+def _hits(text: Column, form: Column) -> Column:
+    """hits() of a text without _MARK: one pass sets marks around hits, and a split at a plain sign, which compiles nothing, cuts there."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def placed(parts: Column) -> Column:
+        # Every second part is a hit.
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.get(parts, i * 2))
+            end = start + F.length(F.get(parts, i * 2 + 1))
+            return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"))).alias("out"))
+
+        last = (F.size(parts) / 2).cast("int") - 1
+        return F.aggregate(F.sequence(F.lit(0), last), F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+
+    cut = F.split(F.regexp_replace(text, form, F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    return F.when(F.rlike(text, form), let(cut, placed)).otherwise(none)
+
+
 def hits(text: Column, pattern: str | Column) -> Column:
     """Non-overlapping hits of a pattern: array of (start, end)."""
     form = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return F.when(F.contains(text, F.lit(_MARK)), _slow_hits(text, form)).otherwise(_hits(text, form))
+
+
+def _slow_hits(text: Column, form: Column) -> Column:
+    """hits() of any text, by hits and what lies between them."""
     found, between = F.regexp_extract_all(text, form, F.lit(0)), F.split(text, form, F.lit(-1))
 
     def placed(m: Column) -> Column:
@@ -54,8 +81,8 @@ def by_start(spans: Column) -> Column:
 
 
 def candidates(text: Column, kind: str, pattern: str, check: str | None) -> Column:
-    """Hits of one pattern as spans, those with a wrong checksum left out."""
-    found = F.transform(hits(text, pattern), lambda h: F.struct(F.lit(kind).alias("type"), h["start"].alias("start"), h["end"].alias("end")))
+    """Hits of one pattern as spans, those with a wrong checksum left out. The text has no _MARK."""
+    found = F.transform(_hits(text, F.lit(pattern)), lambda h: F.struct(F.lit(kind).alias("type"), h["start"].alias("start"), h["end"].alias("end")))
     return F.filter(found, lambda s: passes(check, piece(text, s))) if check else found
 
 
@@ -63,11 +90,16 @@ def pattern_spans(text: Column) -> Column:
     """All identifiers in a text, sorted by start: earlier patterns claim text first; hits with a wrong checksum claim nothing. Null: none."""
     none = F.array().cast(f"array<{SPAN}>")
 
+    def some(t: Column, kinds: list[tuple]) -> Column:
+        return F.concat(*[candidates(t, *p) for p in kinds])
+
     def of(t: Column) -> Column:
-        return by_start(claim(F.concat(*[candidates(t, *p) for p in PATTERNS])))
+        mail = F.when(F.contains(t, F.lit("@")), some(t, [p for p in PATTERNS if p[0] in WITH_AT])).otherwise(none)
+        others = F.when(t.rlike(MAYBE_DIGITS), some(t, [p for p in PATTERNS if p[0] not in WITH_AT])).otherwise(none)
+        return by_start(claim(F.concat(mail, others)))  # those with an at sign are the first patterns
 
     whole = F.coalesce(text, F.lit(""))
-    return F.when(whole.rlike(MAYBE), let(whole, of)).otherwise(none)
+    return F.when(whole.rlike(MAYBE), let(F.replace(whole, F.lit(_MARK), F.lit(_NO_MARK)), of)).otherwise(none)  # no pattern tells one sign from the other
 
 
 def replaced(text: Column, parts: Column) -> Column:
