@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import let, pattern_spans
+
 #: Fixed values.
 SENSITIVE_KEYS = ("token", "auth", "session", "sid", "key", "code", "email", "phone", "user", "uid")
 LONG_ID, LONGEST_ANCHOR = 8, 24
@@ -15,14 +17,17 @@ _RELATIVE = r"^()()([^?#]*)(\?[^#]*)?(#.*)?$"
 
 def split_url(raw: Column) -> Column:
     """scheme, host (without user), path, query (with ?), fragment (with #); scheme and host are empty for relative URLs."""
-    absolute = raw.rlike(_SHAPE)
-    part = lambda i: F.when(absolute, F.regexp_extract(raw, _SHAPE, i)).otherwise(F.regexp_extract(raw, _RELATIVE, i))
-    host = F.lower(F.regexp_replace(part(2), "^.*@", ""))
-    scheme = F.lower(part(1))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    path = part(3)
-    rooted = F.when((scheme.isin("http", "https") | ~absolute) & ~F.startswith(path, F.lit("/")), F.concat(F.lit("/"), path)).otherwise(path)
-    return F.struct(scheme.alias("scheme"), host.alias("host"), rooted.alias("path"), part(4).alias("query"), part(5).alias("fragment"))
+
+    def of(parts: Column) -> Column:
+        part = lambda i: F.get(parts, F.lit(i - 1))
+        scheme, host = F.lower(part(1)), F.lower(F.regexp_replace(part(2), "^.*@", ""))
+        host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+        path = part(3)
+        rooted = F.when((scheme.isin("http", "https", "")) & ~F.startswith(path, F.lit("/")), F.concat(F.lit("/"), path)).otherwise(path)
+        return F.struct(scheme.alias("scheme"), host.alias("host"), rooted.alias("path"), part(4).alias("query"), part(5).alias("fragment"))
+
+    read = lambda shape: F.array(*[F.regexp_extract(raw, shape, i) for i in range(1, 6)])
+    return let(F.when(raw.rlike(_SHAPE), read(_SHAPE)).otherwise(read(_RELATIVE)), of)
 
 
 def encode_component(text: Column) -> Column:
@@ -54,8 +59,12 @@ def _values(query: Column) -> Column:
     pairs = F.filter(F.split(F.substring(query, F.lit(2), F.length(query)), "&", -1), lambda p: p != "")
     form = lambda t: F.coalesce(F.try_url_decode(t), t)
     read = F.transform(pairs, lambda p: F.struct(form(F.substring_index(p, "=", 1)).alias("k"), form(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v")))
-    keys = F.array_distinct(F.transform(read, lambda p: p["k"]))
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(read, lambda p: p["k"] == k), -1)["v"].alias("v")))
+
+    def last(rows: Column) -> Column:
+        keys = F.array_distinct(F.transform(rows, lambda p: p["k"]))
+        return F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(rows, lambda p: p["k"] == k), -1)["v"].alias("v")))
+
+    return let(read, last)
 
 
 def _malformed(segments: Column) -> Column:
@@ -69,12 +78,14 @@ def url_texts(raw: Column) -> Column:
     code in its path is one text, as it is; an absolute one says nothing that
     could be shown (one null text).
     """
-    url = split_url(raw)
     part = lambda t, o: F.struct(t.alias("text"), o.alias("opaque"))
-    unread = F.when(url["scheme"] == "", raw)
-    segments = _segments(url["path"])
-    values = F.transform(_values(url["query"]), lambda p: part(p["v"], (p["v"] != "") & is_sensitive(p["k"], p["v"])))
-    return F.when(_malformed(segments), F.array(part(unread, F.lit(False)))).otherwise(F.concat(F.transform(segments, lambda s: part(s, F.lit(False))), values))
+
+    def said(url: Column) -> Column:
+        unread = F.when(url["scheme"] == "", raw)
+        values = F.transform(_values(url["query"]), lambda p: part(p["v"], (p["v"] != "") & is_sensitive(p["k"], p["v"])))
+        return let(_segments(url["path"]), lambda segments: F.when(_malformed(segments), F.array(part(unread, F.lit(False)))).otherwise(F.concat(F.transform(segments, lambda s: part(s, F.lit(False))), values)))
+
+    return let(split_url(raw), said)
 
 
 def url_of(raw: Column, texts: Column) -> Column:
@@ -82,16 +93,21 @@ def url_of(raw: Column, texts: Column) -> Column:
 
     Null for an absolute URL with a malformed percent code in its path, so that nothing of it gets out.
     """
-    url = split_url(raw)
-    segments, values = _segments(url["path"]), _values(url["query"])
-    path = F.array_join(F.transform(F.slice(texts, F.lit(1), F.size(segments)), lambda s: F.when(s == "", s).otherwise(encode_component(s))), "/")
-    cleaned = F.slice(texts, F.size(segments) + 1, F.size(values))
-    joined = F.array_join(F.zip_with(values, cleaned, lambda p, t: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(t))), "&")
-    query = F.when(joined == "", "").otherwise(F.concat(F.lit("?"), joined))
-    anchor = url["fragment"].rlike(rf"^#[A-Za-z0-9_\-]{{1,{LONGEST_ANCHOR}}}$")
-    front = F.when(url["scheme"] == "", "").otherwise(F.concat(url["scheme"], F.lit("://"), url["host"]))
-    whole = F.concat(front, path, query, F.when(anchor, url["fragment"]).otherwise(""))
-    return F.when(_malformed(segments), F.get(texts, F.lit(0))).otherwise(whole)
+
+    def joined(url: Column, segments: Column, values: Column) -> Column:
+        path = F.array_join(F.transform(F.slice(texts, F.lit(1), F.size(segments)), lambda s: F.when(s == "", s).otherwise(encode_component(s))), "/")
+        cleaned = F.slice(texts, F.size(segments) + 1, F.size(values))
+        pairs = F.array_join(F.zip_with(values, cleaned, lambda p, t: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(t))), "&")
+        query = let(pairs, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+        anchor = url["fragment"].rlike(rf"^#[A-Za-z0-9_\-]{{1,{LONGEST_ANCHOR}}}$")
+        front = F.when(url["scheme"] == "", "").otherwise(F.concat(url["scheme"], F.lit("://"), url["host"]))
+        return F.concat(front, path, query, F.when(anchor, url["fragment"]).otherwise(""))
+
+    def whole(url: Column) -> Column:
+        read = F.struct(_segments(url["path"]).alias("segments"), _values(url["query"]).alias("values"))
+        return let(read, lambda r: F.when(_malformed(r["segments"]), F.get(texts, F.lit(0))).otherwise(joined(url, r["segments"], r["values"])))
+
+    return let(split_url(raw), whole)
 
 
 def clean_url(raw: Column, clean_text, opaque) -> Column:
@@ -105,6 +121,5 @@ def clean_url(raw: Column, clean_text, opaque) -> Column:
 def masked_url(raw: Column) -> Column:
     """A URL with identifiers and sensitive values shown by type only: [PII_<TYPE>]."""
     from ..operators.detect import masked
-    from .spans import pattern_spans
 
     return clean_url(raw, lambda t: masked(t, pattern_spans(t))["text"], lambda v: F.lit("[PII_OTHER]"))
