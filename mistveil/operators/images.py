@@ -57,13 +57,16 @@ def ocr_lines(words: DataFrame, *, by: list[str]) -> DataFrame:
     out; the others are joined by one space. What meets in a task is one line.
     """
     trimmed = F.regexp_replace("text", rf"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
-    shown = words.withColumn("_t", trimmed).where("_t <> ''")
-    before = Window.partitionBy(*by, "line").orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
+    # What goes through the exchange is no more than the columns asked for need: text has an aggregate of its own, without places and boxes.
+    suspect = is_suspect(F.col("text"), F.col("confidence"))
+    shown = words.select(*by, "line", "word", trimmed.alias("_t"), suspect.alias("suspect"), "box").where("_t <> ''")
+    before = Window.partitionBy(*by, "line").orderBy("word", "_t").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("_t") + 1).over(before), F.lit(0)).cast("int")
     placed = shown.withColumn("_start", start)
-    one = F.struct("word", F.col("_start").alias("start"), (F.col("_start") + F.length("_t")).alias("end"), is_suspect(F.col("text"), F.col("confidence")).alias("suspect"), "box", F.col("_t").alias("text"))
-    lines = placed.groupBy(*by, "line").agg(F.array_sort(F.collect_list(one)).alias("words"))
-    return lines.withColumn("text", F.array_join(F.transform("words", lambda w: w["text"]), " "))
+    one = F.struct("word", F.col("_start").alias("start"), (F.col("_start") + F.length("_t")).alias("end"), "suspect", "box", F.col("_t").alias("text"))
+    in_order = F.array_sort(F.collect_list(F.struct("word", "_t")))
+    joined = F.array_join(F.transform(in_order, lambda w: w["_t"]), " ")
+    return placed.groupBy(*by, "line").agg(F.array_sort(F.collect_list(one)).alias("words"), joined.alias("text"))
 
 
 def covered(words: Column, span: Column) -> Column:
