@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, maybe_among, stored
+from .common import digest, discard, maybe_among, stored
 from .graph import components
 
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 4, 16, 3
@@ -194,22 +194,25 @@ class Ring:
     def budget(self, bits: int) -> int:
         return int(bits * self.rate + 2 * sqrt(bits * self.rate * (1 - self.rate)))
 
-    def turned(self, place: int) -> list[Column]:
-        """The columns f0, f1, ... of a fingerprint, turned so that the place stands in front."""
-        at, by = divmod(place * WIDE // self.places, 64)
-        long = lambda k: F.col(f"f{(at + k) % LONGS}")
-        return [F.shiftleft(long(k), by).bitwiseOR(F.shiftrightunsigned(long(k + 1), 64 - by)) if by else long(k) for k in range(LONGS)]
-
     def keyed(self, nodes: DataFrame, *columns: str, longs: int = LONGS) -> DataFrame:
-        """A row for each node and place: key, the first longs of the turned fingerprint (with all of them also earlier, the keys of the places before), the given columns."""
-        rows, keys = [], []
-        for i in range(self.places):
-            turned = self.turned(i)
-            key = F.shiftleft(F.lit(i).cast("long"), self.bits).bitwiseOR(F.shiftrightunsigned(turned[0], 64 - self.bits))
-            earlier = [F.array(*keys).cast("array<long>").alias("earlier")] if longs == LONGS else []
-            rows.append(F.struct(key.alias("key"), *[t.alias(f"r{k}") for k, t in enumerate(turned[:longs])], *earlier))
-            keys.append(key)
-        return nodes.select(*columns, F.inline(F.array(*rows)))
+        """A row for each node and place: key, the first longs of the fingerprint turned so that the place stands in front (r0, r1, ...; with all of them also earlier, the keys of the places before), the given columns.
+
+        Places are counted in rows, not written out one by one, so the plan is of one size however many there are.
+        """
+        start = lambda i: f"CAST({i} * {WIDE} DIV {self.places} AS INT)"
+
+        def turned(i: str, k: int) -> str:
+            at, by = f"{start(i)} DIV 64 + {k}", f"CAST({start(i)} % 64 AS INT)"
+            long = lambda j: f"_f[CAST(({at} + {j}) % {LONGS} AS INT)]"
+            # The last long goes in two steps: a shift by 64 would be one by 0.
+            return f"(shiftleft({long(0)}, {by}) | shiftrightunsigned(shiftrightunsigned({long(1)}, 1), 63 - {by}))"
+
+        key = f"shiftleft(CAST(i AS BIGINT), {self.bits}) | shiftrightunsigned({turned('i', 0)}, {64 - self.bits})"
+        whole = nodes.select(*columns, F.array(*[f"f{k}" for k in range(LONGS)]).alias("_f"))
+        keys = whole.withColumn("_keys", F.expr(f"transform(sequence(0, {self.places - 1}), i -> {key})"))
+        each = keys.select(*columns, "_f", "_keys", F.posexplode("_keys").alias("_place", "key"))
+        earlier = [F.slice("_keys", F.lit(1), F.col("_place")).alias("earlier")] if longs == LONGS else []
+        return each.select(*columns, "key", *[F.expr(turned("_place", k)).alias(f"r{k}") for k in range(longs)], *earlier)
 
     def close(self, longs: int = LONGS) -> Column:
         """Whether every chain of 1, 2, 4, ... longs of a and b stays within its budget."""
@@ -342,12 +345,13 @@ def similar_nodes(nodes: DataFrame, docs: DataFrame, *, id: str, text: str, widt
     sizes = whole.groupBy("part").agg(F.count("*").alias("size"))
     lead = ring.keyed(whole.join(sizes.hint("merge"), "part"), "part", "size", longs=1).groupBy("key").agg(F.max(F.struct("size", "part")).alias("m"), F.count("*").alias("rows"))
     lead = stored(lead.where("rows > 1").select("key", F.col("m.part").alias("lead")), "lead-parts")
-    rows = ring.keyed(whole, "node", "n", "part").join(lead.hint("merge"), "key")
+    rows = stored(ring.keyed(whole, "node", "n", "part").join(lead.hint("merge"), "key"), "keyed")  # read four times
     a, b = rows.where("part <> lead").alias("a"), rows.where("part = lead").alias("b")
     close = (F.col("a.key") == F.col("b.key")) & ring.close() & _like_sizes(similarity)
     near = stored(a.join(b.hint("merge"), close, "left_semi").select("node", F.col("lead").alias("part")).distinct(), "near")
     others = a.join(rows.where("part <> lead").alias("b").hint("merge"), close & (F.col("a.part") != F.col("b.part")) & (F.col("a.node") < F.col("b.node")) & ~F.arrays_overlap("a.earlier", "b.earlier"))
     met = stored(others.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), "met")  # each pair once: at the first key that both have
+    discard(rows)
     members = whole.select("node", "part").join(near.select("part").distinct().hint("merge"), "part", "left_semi").select("node")
     sets = _sets_of(ends(met).union(near.select("node")).union(members), nodes, docs, **options)
     # A part stands for its nodes: only links between parts are joined up again.
