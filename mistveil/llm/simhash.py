@@ -94,11 +94,14 @@ def _key(i: Column, r: Column, segments: int) -> Column:
 
 
 def _links(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs a < b with an equal key whose chain stays in its budgets and that differ in at most MAX_BITS bits."""
+    """Pairs a < b with an equal key whose chain stays in its budgets and that differ in at most MAX_BITS bits.
+
+    Merged, as the planner takes exploded rows to be as few as those they come from and would broadcast them.
+    """
     a, b = probes.select("key", F.col("fp").alias("u"), F.col("r").alias("ru")), index.select("key", F.col("fp").alias("v"), F.col("r").alias("rv"))
     differ = F.col("ru").bitwiseXOR(F.col("rv"))
     chain = F.bit_count(F.shiftrightunsigned(differ, 64 - 3 * SEGMENT_BITS)) <= 2
-    return a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & chain & (F.bit_count(differ) <= MAX_BITS)).select("u", "v")
+    return a.join(b.hint("merge"), (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & chain & (F.bit_count(differ) <= MAX_BITS)).select("u", "v")
 
 
 def similar_prints(prints: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:

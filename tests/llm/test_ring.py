@@ -1,8 +1,8 @@
-"""Keys of wide fingerprints against plain numbers, and the size of their plan."""
+"""Keys of wide fingerprints against plain numbers, the size of their plan, and joins of fingerprints."""
 
 import numpy as np
 
-from mistveil.llm.simhash import LONGS, WIDE, Ring
+from mistveil.llm.simhash import LONGS, WIDE, Ring, similar_prints
 
 
 def rows_of(spark, n: int):
@@ -32,3 +32,11 @@ def test_plan_does_not_grow_with_places(spark):
     _, frame = rows_of(spark, 1)
     size = lambda places: len(Ring(8, places, 0.15).keyed(frame, "node")._jdf.queryExecution().optimizedPlan().toJSON())
     assert size(400) < 1.1 * size(4)
+
+
+def test_index_of_fingerprints_is_not_broadcast(spark):
+    prints = spark.range(40).selectExpr("id AS fp")
+    for hot_bucket in (1 << 15, 4):
+        plan = similar_prints(prints, hot_bucket)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [key" in plan and "bit_count" in plan
+        assert not [line for line in plan.splitlines() if "Broadcast" in line and "bit_count" in line]
