@@ -125,7 +125,7 @@ def with_spans(units: DataFrame, tag=no_tags) -> DataFrame:
     covered = found.withColumn("_mask", masked(text, F.col("_found") if known is None else by_start(F.concat(known, "_found"))))
     shown = covered.select(F.col("_mask.text").alias("_shown")).distinct()
     tagged = shown.withColumn("_tags", tag(F.col("_shown")))
-    both = covered.withColumn("_shown", F.col("_mask.text")).join(tagged, "_shown", "left")
+    both = covered.withColumn("_shown", F.col("_mask.text")).join(tagged.hint("merge"), "_shown", "left")
     tags = unmasked(F.when(text.isNull(), no_tags(text)).otherwise(F.col("_tags")), F.col("_mask.places"))
     return both.withColumn("spans", decided(tags)).drop("_found", "_mask", "_shown", "_tags")
 

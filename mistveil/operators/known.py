@@ -72,8 +72,8 @@ def known_values(units: DataFrame, tokens: DataFrame, *, version: str = "unit")
     spots = units.where("text IS NOT NULL").select(*keys, F.col(version).alias("_known_version"), F.explode(words).alias("_hash"))
     index = known_index(tokens)
     seen = F.lit(True) if "first" not in tokens.columns else F.col("_known_version") > F.col("since")
-    held = spots.join(index, "_hash").where(F.col("_known_session").eqNullSafe(F.col("_s")) & F.col("_known_origin").eqNullSafe(F.col("_o")) & seen)
+    held = spots.join(index.hint("merge"), "_hash").where(F.col("_known_session").eqNullSafe(F.col("_s")) & F.col("_known_origin").eqNullSafe(F.col("_o")) & seen)
     listed = held.groupBy("_known_session", "_known_origin", "_known_unit").agg(F.array_sort(F.collect_set(F.struct("type", "value"))).alias("_known_values"))
     same = F.col("session_id").eqNullSafe(F.col("_known_session")) & F.col("origin").eqNullSafe(F.col("_known_origin")) & F.col("unit").eqNullSafe(F.col("_known_unit"))
     known = F.when(F.col("_known_values").isNull() | F.col("text").isNull(), F.array().cast(f"array<{SPAN}>")).otherwise(spans_of_values(F.col("text"), F.col("_known_values")))
-    return units.join(listed, same, "left").withColumn("known", known).drop("_known_session", "_known_origin", "_known_unit", "_known_values")
+    return units.join(listed.hint("merge"), same, "left").withColumn("known", known).drop("_known_session", "_known_origin", "_known_unit", "_known_values")

@@ -2,6 +2,8 @@
 
 Units are rows with session_id, origin, step, unit (order within the session),
 text. Only units with spans take part in joins; all others pass untouched.
+Joins with what comes from exploded rows are merged: the planner takes such
+rows to be as few as those they come from and would broadcast them.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def token_map(found: DataFrame) -> DataFrame:
 
 def token_sources(found: DataFrame, tokens: DataFrame) -> DataFrame:
     """Where each token occurs: token with its places (unit, start) in order."""
-    joined = found.join(tokens.select(*KEY, "token"), list(KEY))
+    joined = found.join(tokens.select(*KEY, "token").hint("merge"), list(KEY))
     return joined.groupBy("session_id", "origin", "token").agg(F.array_sort(F.collect_list(F.struct("unit", "start"))).alias("sources"))
 
 
@@ -57,7 +59,7 @@ def _joined(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str =
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
-    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+    return left.join(named.hint("merge"), same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def rewrite(units: DataFrame, found: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def spotted(units: DataFrame, tag=no_tags) -> DataFrame:
     same = F.lit(True)
     for c in ("session_id", "origin", "unit"):
         same = same & F.col(c).eqNullSafe(F.col(f"_hit_{c}"))
-    others = first.join(hit, same, "left_anti")
+    others = first.join(hit.hint("merge"), same, "left_anti")
     return written(others.unionByName(again).drop("patterns"), "spotted")
 
 
@@ -136,10 +138,10 @@ def resolve(texts: DataFrame, tokens: DataFrame, *, text: str = "text") -> DataF
     gaps = F.split(F.col(text), TOKEN, -1)
     parts = marked.where(F.size("_tokens") > 0).withColumn("_gaps", gaps)
     each = parts.select("session_id", "id", F.posexplode("_tokens").alias("_at", "token"))
-    known = each.join(tokens.select("session_id", "token", "value").distinct(), ["session_id", "token"], "left")
+    known = each.join(tokens.select("session_id", "token", "value").distinct().hint("merge"), ["session_id", "token"], "left")
     values = known.groupBy("session_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("value", "token").alias("v")))), lambda x: x["v"]).alias("_values"))
     woven = F.concat(F.get("_gaps", F.lit(0)), F.array_join(F.zip_with("_values", F.slice("_gaps", F.lit(2), F.size("_gaps")), lambda v, g: F.concat(v, g)), ""))
-    back = parts.join(values, ["session_id", "id"]).withColumn(text, woven)
+    back = parts.join(values.hint("merge"), ["session_id", "id"]).withColumn(text, woven)
     return bare.unionByName(back.select(*texts.columns))
 
 
@@ -154,7 +156,7 @@ def resolve_actions(actions: DataFrame, tokens: DataFrame) -> DataFrame:
     texts = actions.withColumn("_said", said).where(F.col("_said").rlike(TOKEN)).select("session_id", F.struct("step", "idx").alias("id"), F.col("_said").alias("text"))
     back = resolve(texts, tokens).select("session_id", F.col("id.step").alias("step"), F.col("id.idx").alias("idx"), F.col("text").alias("_told"))
     told = lambda kind, c: F.when((F.col("type") == kind) & F.col("_told").isNotNull(), F.col("_told")).otherwise(F.col(c))
-    return actions.join(back, key, "left").withColumns({"text": told("type", "text"), "value": told("select", "value")}).select(*actions.columns)
+    return actions.join(back.hint("merge"), key, "left").withColumns({"text": told("type", "text"), "value": told("select", "value")}).select(*actions.columns)
 
 
 def tokens_in(text: Column) -> Column:

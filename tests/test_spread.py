@@ -49,3 +49,19 @@ def test_title_of_a_page_is_sanitized_before_it_leaves(spark, tmp_path):
     spark.createDataFrame([(1, "https://a.example/x", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     rows = {r.field: r.text for r in queries.QUERIES["page_links"](spark, str(tmp_path)).collect()}
     assert rows["title"] == 'By "ann" [PII_EMAIL_1]'
+
+
+def test_tables_of_exploded_rows_are_not_broadcast(spark, folder, monkeypatch):
+    """Spark would take them to be as few as the customers, whatever their number."""
+    from mistveil.operators import known, tokens
+    from mistveil.plans import derived, literals
+
+    rows = derived._copies(spark, folder, literals.LINKS).where("session_id = 's'").withColumn("session_id", F.col("c_custkey").cast("string"))
+    rows = tokens.written(rows, "rows")
+    monkeypatch.setattr(tokens, "written", lambda df, name: df)
+    units = rows.select("session_id", "origin", "unit", "text", pattern_spans(F.col("text")).alias("spans"))
+    found = tokens.occurrences(units)
+    held = tokens.token_map(found)
+    for made in (tokens.spotted(units.drop("spans").withColumn("_opaque", F.lit(False))), tokens.rewrite(units, found, held), known.known_values(units, held), tokens.token_sources(found, held)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
